@@ -150,7 +150,7 @@ def rule_matches(target: Column, path: Column) -> Column:
         F.replace(quoted, F.lit("*"), F.lit(".*")),
         F.when(path.endswith("$"), r"\z").otherwise(""),
     )
-    return F.when(path.contains("*") | path.endswith("$"), target.rlike(pattern)).otherwise(
+    return F.when(path.contains("*") | path.endswith("$"), F.rlike(target, pattern)).otherwise(
         target.startswith(path)
     )
 

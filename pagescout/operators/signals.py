@@ -45,9 +45,10 @@ SIGNALS: dict[str, SignalBuilder] = {
     "anchor_density": lambda p: H.anchor_density_signal(p.anchor_share),
 }
 
-_PAGE = PageColumns(
-    *[F.col(c) for c in ("url_key", "html", "_markup", "_tags", "_metas", "_crumbs", "_canonical", "_share")]
-)
+def page_columns() -> PageColumns:
+    """The columns :func:`with_markup` adds."""
+    names = ["url_key", "html", "_markup", "_tags", "_metas", "_crumbs", "_canonical", "_share"]
+    return PageColumns(*[F.col(name) for name in names])
 
 
 def with_markup(pages: DataFrame) -> DataFrame:
@@ -92,11 +93,12 @@ def page_signals(
 
 def _scored(marked, signals, weights, threshold, keep, extra=()) -> DataFrame:
     chosen = SIGNALS if signals is None else signals
+    page = page_columns()
     flags = marked.select(
         *keep,
         "url_key",
-        *[build(_PAGE).alias(f"sig_{name}") for name, build in chosen.items()],
-        _PAGE.anchor_share.alias("anchor_density"),
+        *[build(page).alias(f"sig_{name}") for name, build in chosen.items()],
+        page.anchor_share.alias("anchor_density"),
         *extra,
     )
     computed = [f"sig_{name}" for name in chosen] + ["anchor_density"]
