@@ -24,21 +24,18 @@ def seed_frontier(seeds: DataFrame) -> DataFrame:
     return U.with_normal_url(rows, "url", "url_key").withColumn("src", F.lit(None).cast("string"))
 
 
-def link_frontier(expanded: DataFrame) -> DataFrame:
-    """Links of expanded pages, one level deeper, in the domain of the page's task.
+def link_frontier(followed: DataFrame) -> DataFrame:
+    """Link targets of expanded pages, one level deeper, in the domain of the page's task.
 
-    ``expanded`` has ``url_key``, ``depth``, ``domain`` and the array ``hrefs``. The links are
-    resolved, judged and normalized here.
+    ``followed`` has ``url_key``, ``depth`` and ``domain`` of the page and ``dst``, the
+    normalized target.
     """
-    anchors = U.with_base_parts(expanded, "url_key").select(
-        F.col("url_key").alias("src"), "depth", "domain", *U.BASE_COLUMNS, F.explode("hrefs").alias("href")
-    )
-    return U.with_link_target(anchors, "href").where(F.col("dst").isNotNull()).select(
+    return followed.select(
         F.col("dst").alias("url"),
         (F.col("depth") + 1).alias("depth"),
         "domain",
         F.col("dst").alias("url_key"),
-        "src",
+        F.col("url_key").alias("src"),
     )
 
 

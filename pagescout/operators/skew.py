@@ -15,22 +15,26 @@ def lookup_join(
     key: str,
     broadcast_limit: int = S.BROADCAST_LIMIT_BYTES,
     rows_per_task: int = S.ROWS_PER_TASK,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Left join of a large table with a lookup table that has one row per ``key``.
 
     The lookup is measured first. Up to ``broadcast_limit`` bytes it is broadcast and the
     large side does not move. Beyond that the join is a shuffle in which every key with more
-    than ``rows_per_task`` rows is spread over several tasks.
+    than ``rows_per_task`` rows is spread over several tasks. ``fits`` is the result of
+    :func:`fits_broadcast` where it is known already.
     """
-    if measured_bytes(lookup, broadcast_limit) <= broadcast_limit:
+    if fits is None:
+        fits = fits_broadcast(lookup, broadcast_limit)
+    if fits:
         return left.join(F.broadcast(lookup), key, "left")
     return salted_join(left, lookup, key, rows_per_task)
 
 
-def measured_bytes(df: DataFrame, limit: int) -> int:
-    """Size of the rows as JSON text, an upper bound for what a broadcast would carry."""
+def fits_broadcast(df: DataFrame, limit: int = S.BROADCAST_LIMIT_BYTES) -> bool:
+    """Whether the rows, measured as JSON text with a margin, stay below the limit."""
     size = F.sum(F.length(F.to_json(F.struct(*df.columns))).cast("long") * 2 + 64)
-    return df.agg(F.coalesce(size, F.lit(0))).first()[0]
+    return df.agg(F.coalesce(size, F.lit(0))).first()[0] <= limit
 
 
 def salted_join(left: DataFrame, lookup: DataFrame, key: str, rows_per_task: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """The bounded crawl over stored pages.
 
-Every page is read once: :func:`page_facts` reduces it to its decision and its links. The
-rounds of the crawl only join narrow tables on the normalized URL.
+Every page is read once: :func:`parse_pages` reduces it to its decision and its links. The
+rounds of the crawl only join narrow tables, bucketed by the normalized URL, so that only the
+frontier moves.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from pagescout import settings as S
 from pagescout.functions import html as H
+from pagescout.functions import urls as U
 from pagescout.operators import frontier as FR
 from pagescout.operators.robots import host_policy, robots_verdict
 from pagescout.operators.signals import SIGNALS, SignalBuilder, _scored, with_markup
 from pagescout.operators.sitemaps import sitemap_products
 from pagescout.sources.tables import scan_pages, scan_robots
+from pagescout.operators.skew import fits_broadcast
 from pagescout.storage import materialize, materialize_bucketed
 
 
@@ -36,7 +39,7 @@ class CrawlOptions:
 
 @dataclass(frozen=True)
 class CrawlResult:
-    """``visited(url, depth, domain, url_key, src, allowed, fetched, score, is_product)``."""
+    """``visited(url, depth, domain, url_key, src, allowed, fetched, page_id, score, is_product)``."""
 
     visited: DataFrame
     dropped: DataFrame | None = None
@@ -53,23 +56,38 @@ class CrawlResult:
         return self.visited.where(~F.col("allowed"))
 
 
-def page_facts(pages: DataFrame, options: CrawlOptions | None = None) -> DataFrame:
-    """``(url_key, score, is_product, hrefs)``, one row per normalized URL.
+def parse_pages(pages: DataFrame, options: CrawlOptions | None = None) -> DataFrame:
+    """``(url_key, page_id, score, is_product, hrefs)``, one row per stored page.
 
-    Where several stored pages share a normalized URL, the one with the smallest ``page_id``
-    stands. Product pages carry no hrefs, since they are never expanded. The only shuffle is
-    the one by ``url_key``, after the wide text is gone and copies of a URL are combined.
+    A narrow stage, and the only one that reads the text. Product pages carry no hrefs, since
+    they are never expanded.
     """
     o = options or CrawlOptions()
     hrefs = H.anchor_hrefs(F.col("_tags")).alias("_hrefs")
     scored = _scored(
         with_markup(scan_pages(pages)), o.signals, o.weights, o.threshold, ["page_id"], [hrefs]
     )
-    followed = F.when(~F.col("is_product"), F.array_distinct("_hrefs")).alias("hrefs")
-    first = F.min_by(F.struct("score", "is_product", followed), "page_id").alias("page")
-    return scored.groupBy("url_key").agg(first).select(
-        "url_key", "page.score", "page.is_product", "page.hrefs"
+    followed = F.when(~F.col("is_product"), F.array_distinct("_hrefs"))
+    return scored.select("url_key", "page_id", "score", "is_product", followed.alias("hrefs"))
+
+
+def page_facts(parsed: DataFrame) -> DataFrame:
+    """``(url_key, page_id, score, is_product)``, one row per normalized URL.
+
+    Where several stored pages share a normalized URL, the one with the smallest ``page_id``
+    stands. Copies are combined before the shuffle.
+    """
+    first = F.min(F.struct("page_id", "score", "is_product")).alias("page")
+    return parsed.groupBy("url_key").agg(first).select("url_key", "page.*")
+
+
+def page_edges(parsed: DataFrame) -> DataFrame:
+    """``(url_key, page_id, dst)``, the accepted links of the pages that may be expanded."""
+    anchors = U.with_base_parts(parsed.where(~F.col("is_product")), "url_key").select(
+        "url_key", "page_id", *U.BASE_COLUMNS, F.explode("hrefs").alias("href")
     )
+    judged = U.with_link_target(anchors, "href")
+    return judged.where(F.col("dst").isNotNull()).select("url_key", "page_id", "dst")
 
 
 def crawl_closure(
@@ -90,7 +108,10 @@ def crawl_closure(
     """
     o = options or CrawlOptions()
     policy = materialize(host_policy(scan_robots(robots), o.user_agent), "policy")
-    facts = materialize_bucketed(page_facts(pages, o), "facts", "url_key", o.buckets)
+    policy_fits = fits_broadcast(policy)
+    parsed = materialize(parse_pages(pages, o), "parsed")
+    facts = materialize_bucketed(page_facts(parsed), "facts", "url_key", o.buckets)
+    edges = materialize_bucketed(page_edges(parsed), "edges", "url_key", o.buckets)
 
     frontier = FR.seed_frontier(seeds)
     rounds: list[DataFrame] = []
@@ -103,35 +124,36 @@ def crawl_closure(
             new = materialize(new, f"new-{depth}")
             new, rest = FR.frontier_cap(new, o.frontier_cap)
             dropped.append(rest)
-        visited = materialize(_visit(new, policy, facts, o), f"visited-{depth}")
+        visited = materialize(_visit(new, policy, policy_fits, facts, o), f"visited-{depth}")
         if visited.isEmpty():
             break
         rounds.append(visited)
         if depth < o.max_depth:
-            frontier = _next_frontier(visited, facts, sitemaps, depth, o)
+            frontier = _next_frontier(visited, edges, sitemaps, depth, o)
     result = FR.frontier_union(*(rounds or [visited]))
     return CrawlResult(result, FR.frontier_union(*dropped) if dropped else None)
 
 
-def _visit(new: DataFrame, policy: DataFrame, facts: DataFrame, o: CrawlOptions) -> DataFrame:
+def _visit(new: DataFrame, policy: DataFrame, policy_fits: bool, facts: DataFrame, o: CrawlOptions):
     """Verdict, fetch and score of one round; every new URL stays, with what became of it."""
-    judged = robots_verdict(new, policy, o.crawl_delay)
-    page = facts.select("url_key", "score", F.col("is_product").alias("_product"))
+    judged = robots_verdict(new, policy, o.crawl_delay, fits=policy_fits)
+    page = facts.select("url_key", "page_id", "score", F.col("is_product").alias("_product"))
     fetched = F.col("allowed") & F.col("_product").isNotNull()
     return judged.join(page, "url_key", "left").select(
         *FR.COLUMNS,
         "allowed",
         fetched.alias("fetched"),
+        F.when(fetched, F.col("page_id")).alias("page_id"),
         F.when(fetched, F.col("score")).alias("score"),
         (fetched & F.col("_product")).alias("is_product"),
     )
 
 
-def _next_frontier(visited, facts, sitemaps, depth: int, o: CrawlOptions) -> DataFrame:
-    open_pages = visited.where(F.col("fetched") & ~F.col("is_product"))
-    links = FR.link_frontier(
-        FR.fetch_join(open_pages.select("url_key", "depth", "domain"), facts.select("url_key", "hrefs"))
+def _next_frontier(visited, edges, sitemaps, depth: int, o: CrawlOptions) -> DataFrame:
+    open_pages = visited.where(F.col("fetched") & ~F.col("is_product")).select(
+        "url_key", "page_id", "depth", "domain"
     )
+    links = FR.link_frontier(open_pages.join(edges, ["url_key", "page_id"]))
     if depth > 0:
         return links
     listed = sitemap_products(visited.where("allowed"), sitemaps, o.strict_sitemaps)

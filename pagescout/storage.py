@@ -44,16 +44,13 @@ def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int | None
     """Like :func:`materialize`, hash-bucketed by ``key``.
 
     Repeated joins on ``key`` then read the table in place instead of shuffling it each time.
-    With the default number of buckets a ``df`` that was grouped by ``key`` is already
-    partitioned that way and is written without another shuffle.
     """
     spark = df.sparkSession
-    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = buckets or default
-    placed = df if count == default else df.repartition(count, key)
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"pagescout_{name}_{uuid.uuid4().hex}"
     (
-        placed.write.bucketBy(count, key)
+        df.repartition(count, key)
+        .write.bucketBy(count, key)
         .sortBy(key)
         .option("path", new_path(spark, name))
         .format("parquet")

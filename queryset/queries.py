@@ -591,7 +591,7 @@ _VISITED = "url, CAST(depth AS BIGINT) AS depth, domain, url_key, src, allowed,
 
 @query(f"SELECT {_VISITED} FROM visited")
 def crawl_closure(spark, sf):
-    return big(_crawl(spark, sf).visited, "depth", "score")
+    return big(_crawl(spark, sf).visited, "depth", "score").drop("page_id")
 
 
 @query("SELECT DISTINCT domain, loc AS url FROM listed")
