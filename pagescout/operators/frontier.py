@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagescout import settings as S
 from pagescout.functions import urls as U
-from pagescout.operators.skew import first_n_per_group, rank_in_group
+from pagescout.operators.skew import first_n_per_group, rank_in_group, salted_join
 
 COLUMNS = ["url", "depth", "domain", "url_key", "src"]
 
@@ -68,17 +68,24 @@ def first_discovery(frontier: DataFrame) -> DataFrame:
 
 def unvisited(frontier: DataFrame, visited: DataFrame) -> DataFrame:
     """Frontier rows whose URL was not visited before, each URL once."""
-    return first_discovery(frontier).join(visited.select("url_key"), "url_key", "left_anti")
+    return first_discovery(frontier).join(
+        visited.select("url_key").distinct(), "url_key", "left_anti"
+    )
 
 
 def fetch_join(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Frontier rows joined with their page. "Fetching" is a join on the normalized URL."""
-    return frontier.join(pages, "url_key")
+    """Frontier rows joined with their pages. "Fetching" is a join on the normalized URL.
+
+    ``frontier`` has each ``url_key`` once. A URL stored many times is spread over tasks.
+    """
+    wanted = frontier.withColumn("_wanted", F.lit(True))
+    found = salted_join(pages, wanted, "url_key", S.ROWS_PER_TASK).where(F.col("_wanted"))
+    return found.drop("_wanted")
 
 
 def unfetched(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     """Frontier rows without a page. They stay visited and are not tried again."""
-    return frontier.join(pages.select("url_key"), "url_key", "left_anti")
+    return frontier.join(pages.select("url_key").distinct(), "url_key", "left_anti")
 
 
 def max_urls_per_domain(products: DataFrame, n: int = S.MAX_URLS_PER_DOMAIN) -> DataFrame:

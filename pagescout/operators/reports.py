@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagescout import settings as S
-from pagescout.operators.skew import rank_in_group
+from pagescout.operators.skew import rank_in_group, salted_join
 
 
 def distinct_products(products: DataFrame) -> DataFrame:
@@ -91,10 +91,13 @@ def _ratio(part: str, whole: str) -> Column:
 def detection_accuracy(scored: DataFrame, labels: DataFrame) -> DataFrame:
     """Confusion counts and rates of ``is_product`` against labelled URLs.
 
-    ``labels`` has ``url_key`` and ``label`` (boolean).
+    ``labels`` has each ``url_key`` once, with ``label`` (boolean).
     """
     said, true = F.col("is_product"), F.col("label")
-    counts = scored.select("url_key", "is_product").join(labels, "url_key").agg(
+    labelled = salted_join(
+        scored.select("url_key", "is_product"), labels, "url_key", S.ROWS_PER_TASK
+    ).where(true.isNotNull())
+    counts = labelled.agg(
         F.count_if(said & true).alias("true_pos"),
         F.count_if(said & ~true).alias("false_pos"),
         F.count_if(~said & true).alias("false_neg"),

@@ -15,6 +15,7 @@ from pagescout import settings as S
 from pagescout.functions import html as H
 from pagescout.functions import urls as U
 from pagescout.functions.steps import settle
+from pagescout.operators.skew import salted_join
 
 
 @dataclass(frozen=True)
@@ -123,21 +124,23 @@ def with_score(
     return flags.withColumn("score", score).withColumn("is_product", F.col("score") >= threshold)
 
 
-def listed_in_sitemap(pages: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
-    """Optional ninth signal: adds ``in_sitemap``, true for pages a product sitemap lists.
+def with_sitemap_signal(flags: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
+    """Optional ninth signal: adds ``sig_in_sitemap``, true for pages a product sitemap lists.
 
-    Use it as ``signals={**SIGNALS, "in_sitemap": lambda p: F.col("in_sitemap")}`` with a
-    weight of choice. ``sitemap_urls`` has a column ``url``.
+    ``flags`` is the result of :func:`page_signals`, so the join moves narrow rows only;
+    ``with_score(flags, [*SIGNALS, "in_sitemap"], {"in_sitemap": ...})`` then counts it.
+    ``sitemap_urls`` has a column ``url``.
     """
-    keyed = U.with_normal_url(pages, "url", "url_key")
     listed = (
         U.with_normal_url(sitemap_urls.select("url"), "url", "url_key")
         .select("url_key")
         .distinct()
-        .withColumn("in_sitemap", F.lit(True))
+        .withColumn("_listed", F.lit(True))
     )
-    return keyed.join(listed, "url_key", "left").withColumn(
-        "in_sitemap", F.coalesce(F.col("in_sitemap"), F.lit(False))
+    return (
+        salted_join(flags, listed, "url_key", S.ROWS_PER_TASK)
+        .withColumn("sig_in_sitemap", F.coalesce(F.col("_listed"), F.lit(False)))
+        .drop("_listed")
     )
 
 

@@ -117,9 +117,10 @@ def crawl_closure(
     rounds: list[DataFrame] = []
     dropped: list[DataFrame] = []
     for depth in range(o.max_depth + 1):
-        new = FR.first_discovery(frontier)
-        for earlier in rounds:
-            new = new.join(earlier.select("url_key"), "url_key", "left_anti")
+        if rounds:
+            new = FR.unvisited(frontier, FR.frontier_union(*rounds))
+        else:
+            new = FR.first_discovery(frontier)
         if o.frontier_cap is not None:
             new = materialize(new, f"new-{depth}")
             new, rest = FR.frontier_cap(new, o.frontier_cap)

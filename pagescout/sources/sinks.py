@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagescout import settings as S
 from pagescout.operators.reports import distinct_products, product_urls_by_domain
+from pagescout.operators.skew import lookup_join
+from pagescout.storage import materialize
 
 
 def product_json_lines(products: DataFrame) -> DataFrame:
@@ -14,9 +16,10 @@ def product_json_lines(products: DataFrame) -> DataFrame:
 
     The texts, joined by line breaks in the order of domain and URL, form the object
     ``{domain: [urls]}`` with an indent of two. First and last rows are found by grouped
-    minima and maxima, so the document is never assembled anywhere.
+    minima and maxima, so the document is never assembled anywhere, and a domain with a large
+    part of all URLs is spread over tasks.
     """
-    rows = distinct_products(products)
+    rows = materialize(distinct_products(products), "products")
     ends = rows.groupBy("domain").agg(
         F.min("url").alias("first_url"),
         F.max("url").alias("last_url"),
@@ -34,7 +37,9 @@ def product_json_lines(products: DataFrame) -> DataFrame:
     )
     # "outer" is a single row.
     return (
-        rows.join(ends, "domain").join(F.broadcast(outer)).select("domain", "url", text.alias("text"))
+        lookup_join(rows, ends, "domain")
+        .join(F.broadcast(outer))
+        .select("domain", "url", text.alias("text"))
     )
 
 

@@ -377,6 +377,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before each becomes a document a hundred times its size.
+
+    A table that is read in at least that many splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
 
@@ -390,7 +399,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier")
     return (
         derive(table(spark, sf_dir, "pages"), GIVEN_PAGE)
-        .unionByName(derive(table(spark, sf_dir, "part"), PART_PAGE))
+        .unionByName(derive(spread(table(spark, sf_dir, "part")), PART_PAGE))
         .unionByName(derive(supplier, HOME_PAGE))
         .unionByName(derive(_each(supplier, CATEGORIES), CATEGORY_PAGE))
     )

@@ -286,9 +286,9 @@ def product_pages(spark, sf):
 def signal_registry(spark, sf):
     """A registry of one's own: two of the built-in signals and the sitemap listing."""
     listed = SM.sitemap_products(_seed_rows(spark, sf), C.sitemaps(spark, sf))
-    marked = SG.listed_in_sitemap(C.pages(spark, sf), listed)
-    signals = {k: SG.SIGNALS[k] for k in ("meta", "canonical")} | {"in_sitemap": lambda p: F.col("in_sitemap")}
-    scored = SG.page_signals(marked, signals, {"meta": 40, "in_sitemap": 25})
+    chosen = {k: SG.SIGNALS[k] for k in ("meta", "canonical")}
+    flags = SG.with_sitemap_signal(SG.page_signals(C.pages(spark, sf), chosen), listed)
+    scored = SG.with_score(flags, [*chosen, "in_sitemap"], {"meta": 40, "in_sitemap": 25})
     return big(scored.select("page_id", "score"), "score")
 
 
@@ -647,7 +647,8 @@ def _page_streams(spark, sf) -> DataFrame:
         schema = C.table(spark, sf, name).schema
         return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
-    return C.derive(stream("pages"), C.GIVEN_PAGE).unionByName(C.derive(stream("part"), C.PART_PAGE))
+    parts = stream("part").repartition(2 * spark.sparkContext.defaultParallelism)
+    return C.derive(stream("pages"), C.GIVEN_PAGE).unionByName(C.derive(parts, C.PART_PAGE))
 
 
 @query(
