@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagescout import settings as S
 from pagescout.operators.skew import rank_in_group, salted_join
+from pagescout.storage import materialize
 
 
 def distinct_products(products: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def detection_accuracy(scored: DataFrame, labels: DataFrame) -> DataFrame:
     """
     said, true = F.col("is_product"), F.col("label")
     labelled = salted_join(
-        scored.select("url_key", "is_product"), labels, "url_key", S.ROWS_PER_TASK
+        materialize(scored.select("url_key", "is_product"), "decisions"), labels, "url_key", S.ROWS_PER_TASK
     ).where(true.isNotNull())
     counts = labelled.agg(
         F.count_if(said & true).alias("true_pos"),

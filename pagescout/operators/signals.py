@@ -6,7 +6,6 @@ One narrow stage: no shuffle, and the wide ``html`` column ends where the signal
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,20 +15,40 @@ from pagescout.functions import html as H
 from pagescout.functions import urls as U
 from pagescout.functions.steps import settle
 from pagescout.operators.skew import salted_join
+from pagescout.storage import materialize
 
 
-@dataclass(frozen=True)
 class PageColumns:
-    """What a signal may look at; every column is computed once per page."""
+    """What a signal may look at; every column is computed once per page, and only if used.
 
-    url: Column  # normalized URL
-    html: Column  # page as stored
-    markup: Column  # page without comments and script text
-    tags: Column  # ARRAY<STRING> of start tags
-    metas: Column  # ARRAY<STRUCT<property, name, content>>
-    breadcrumbs: Column  # ARRAY<STRING> of breadcrumb texts
-    canonical: Column  # href of the canonical link
-    anchor_share: Column  # links / elements
+    ``url`` normalized URL, ``html`` page as stored, ``markup`` page without comments and
+    script text, ``tags`` array of start tags, ``metas`` array of ``meta`` facts,
+    ``breadcrumbs`` array of breadcrumb texts, ``canonical`` href of the canonical link,
+    ``anchor_share`` links per element.
+    """
+
+    _NAMES = {
+        "url": "url_key",
+        "html": "html",
+        "markup": "_markup",
+        "tags": "_tags",
+        "metas": "_metas",
+        "breadcrumbs": "_crumbs",
+        "canonical": "_canonical",
+        "anchor_share": "_share",
+    }
+
+    def __init__(self) -> None:
+        self.used: set[str] = set()
+
+    def __getattr__(self, name: str) -> Column:
+        if name not in self._NAMES:
+            raise AttributeError(name)
+        self.used.add(name)
+        return F.col(self._NAMES[name])
+
+    def reads_markup(self) -> bool:
+        return bool(self.used - {"url", "html"})
 
 
 SignalBuilder = Callable[[PageColumns], Column]
@@ -46,25 +65,19 @@ SIGNALS: dict[str, SignalBuilder] = {
     "anchor_density": lambda p: H.anchor_density_signal(p.anchor_share),
 }
 
-def page_columns() -> PageColumns:
-    """The columns :func:`with_markup` adds."""
-    names = ["url_key", "html", "_markup", "_tags", "_metas", "_crumbs", "_canonical", "_share"]
-    return PageColumns(*[F.col(name) for name in names])
+def with_url_key(pages: DataFrame) -> DataFrame:
+    """Adds the normalized URL unless it is there already."""
+    if "url_key" in pages.columns:
+        return pages
+    return U.with_normal_url(pages, "url", "url_key")
 
 
 def with_markup(pages: DataFrame) -> DataFrame:
-    """Adds ``url_key`` and the intermediate results all HTML features share.
-
-    Those a query does not use are pruned by the optimizer.
-    """
-    if "url_key" not in pages.columns:
-        pages = U.with_normal_url(pages, "url", "url_key")
+    """Adds ``url_key`` and the intermediate results all HTML features share."""
+    read = with_url_key(pages).withColumn("_markup", H.markup(F.col("html")))
     tags = F.col("_tags")
-    read = pages.withColumn("_markup", H.markup(F.col("html"))).withColumn(
-        "_tags", H.start_tags(F.col("_markup"))
-    )
     return (
-        settle(read, "_markup", "_tags")
+        settle(read.withColumn("_tags", H.start_tags(F.col("_markup"))), "_markup", "_tags")
         .withColumns(
             {
                 "_metas": H.meta_facts(tags),
@@ -87,22 +100,34 @@ def page_signals(
     """One ``sig_*`` flag per signal, ``anchor_density``, ``score`` and ``is_product``.
 
     ``weights`` overrides single weights; a signal without a weight counts 0. ``keep`` names
-    columns of ``pages`` to carry along (default: all but ``html``).
+    columns of ``pages`` to carry along (default: all but ``html``). Without a signal that
+    needs it the text is not read, and there is no ``anchor_density``.
     """
-    return _scored(with_markup(pages), signals, weights, threshold, keep or _narrow(pages))
+    return scored_pages(pages, signals, weights, threshold, keep or _narrow(pages))
 
 
-def _scored(marked, signals, weights, threshold, keep, extra=()) -> DataFrame:
+def scored_pages(
+    pages: DataFrame,
+    signals: dict[str, SignalBuilder] | None,
+    weights: dict[str, int] | None,
+    threshold: int,
+    keep: list[str],
+    with_hrefs: bool = False,
+) -> DataFrame:
+    """:func:`page_signals`, on request with the array ``hrefs`` from the same pass."""
     chosen = SIGNALS if signals is None else signals
-    page = page_columns()
+    page = PageColumns()
+    computed = {f"sig_{name}": build(page) for name, build in chosen.items()}
+    if "anchor_density" in chosen:
+        computed["anchor_density"] = page.anchor_share
+    if with_hrefs:
+        computed["hrefs"] = H.anchor_hrefs(page.tags)
+    marked = with_markup(pages) if page.reads_markup() else with_url_key(pages)
     flags = marked.select(
         *keep,
         "url_key",
-        *[build(page).alias(f"sig_{name}") for name, build in chosen.items()],
-        page.anchor_share.alias("anchor_density"),
-        *extra,
+        *[column.alias(name) for name, column in computed.items()],
     )
-    computed = [f"sig_{name}" for name in chosen] + ["anchor_density"]
     return with_score(settle(flags, *computed), list(chosen), weights, threshold)
 
 
@@ -138,7 +163,7 @@ def with_sitemap_signal(flags: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
         .withColumn("_listed", F.lit(True))
     )
     return (
-        salted_join(flags, listed, "url_key", S.ROWS_PER_TASK)
+        salted_join(materialize(flags, "flags"), listed, "url_key", S.ROWS_PER_TASK)
         .withColumn("sig_in_sitemap", F.coalesce(F.col("_listed"), F.lit(False)))
         .drop("_listed")
     )

@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagescout import settings as S
-from pagescout.functions import html as H
 from pagescout.functions import urls as U
 from pagescout.operators import frontier as FR
 from pagescout.operators.robots import host_policy, robots_verdict
-from pagescout.operators.signals import SIGNALS, SignalBuilder, _scored, with_markup
+from pagescout.operators.signals import SIGNALS, SignalBuilder, scored_pages
 from pagescout.operators.sitemaps import sitemap_products
 from pagescout.sources.tables import scan_pages, scan_robots
 from pagescout.operators.skew import fits_broadcast
@@ -63,11 +62,10 @@ def parse_pages(pages: DataFrame, options: CrawlOptions | None = None) -> DataFr
     they are never expanded.
     """
     o = options or CrawlOptions()
-    hrefs = H.anchor_hrefs(F.col("_tags")).alias("_hrefs")
-    scored = _scored(
-        with_markup(scan_pages(pages)), o.signals, o.weights, o.threshold, ["page_id"], [hrefs]
+    scored = scored_pages(
+        scan_pages(pages), o.signals, o.weights, o.threshold, ["page_id"], with_hrefs=True
     )
-    followed = F.when(~F.col("is_product"), F.array_distinct("_hrefs"))
+    followed = F.when(~F.col("is_product"), F.array_distinct("hrefs"))
     return scored.select("url_key", "page_id", "score", "is_product", followed.alias("hrefs"))
 
 
