@@ -280,7 +280,10 @@ def signal_columns() -> dict[str, str]:
     metas = tags_named("meta")
     og = f"list_filter({metas}, lambda t: {attr('t', 'property')} = 'og:type')[1]"
     phrases = words(S.PRODUCT_PHRASES)
-    blocks = lambda n: rf"regexp_extract_all(marked, {lit(f'(?is)<{n}(?:[ />]){REST[:0]}.*?</{n}>')}, 0)"
+
+    def blocks(name: str) -> str:
+        return f"regexp_extract_all(marked, {lit(f'(?is)<{name}[ />].*?</{name}>')}, 0)"
+
     ld = r"""(?is)<script type="application/ld\+json">(.*?)</script>"""
     return {
         "sig_url_pattern": product_url("url_key"),

@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescout import settings as S
 from pagescout.functions import html as H
 from pagescout.functions import urls as U
 from pagescout.operators import frontier as FR
@@ -47,6 +46,11 @@ def big(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
 
 
+def naive(df: DataFrame, name: str) -> DataFrame:
+    """Times without zone, as the given tables have them."""
+    return df.withColumn(name, F.col(name).cast("timestamp_ntz"))
+
+
 # --- 2.1 sources and sinks --------------------------------------------------------------
 
 
@@ -516,7 +520,7 @@ def first_discovery(spark, sf):
 )
 def stall_monitor(spark, sf):
     events = C.table(spark, sf, "events").select("ts")
-    return RP.stall_monitor(events)
+    return naive(RP.stall_monitor(events), "tick")
 
 
 ORACLE["stall_monitor"] = (
@@ -682,4 +686,4 @@ def stream_progress(spark, sf):
     path = new_path(spark, "progress")
     ST.start_upsert(counts, path, f"{path}-checkpoint", once=True).awaitTermination()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema)
-    return ST.latest(spark, path, ["start", "domain"], schema)
+    return naive(ST.latest(spark, path, ["start", "domain"], schema), "start")
