@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagescout.llm import quality_gam, token_counts, toxicity
+from pagescout.llm import decontaminate, mixing, quality_gam, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,56 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    return mixing.interleave(docs)
+
+
+# One slot of the round is one step of the recursion; "done" counts the blocks of each source so far.
+ORACLE["op8_mixing"] = """
+WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS source, sqrt(count(*)) AS w FROM documents GROUP BY 1),
+weighted AS (SELECT source, w, greatest(1000, 2 * count(*) OVER ()) AS q, count(*) OVER () AS s, sum(w) OVER () AS total FROM sizes),
+exact AS (SELECT source, q, (q - s) * w / total AS e FROM weighted),
+parts AS (SELECT source, q, 1 + floor(round(e, 9))::BIGINT AS part, round(e - floor(e), 9) AS rest FROM exact),
+shares AS (SELECT source, q, part + (row_number() OVER (ORDER BY rest DESC, source)
+             <= q - sum(part) OVER ())::BIGINT AS share FROM parts),
+setup AS (SELECT list(source ORDER BY source) AS sources, list(share ORDER BY source) AS share, max(q) AS q FROM shares),
+rounds AS (
+  SELECT 0::BIGINT AS slot, [0::BIGINT for x in share] AS done, NULL::BIGINT AS k, NULL::BIGINT AS turn FROM setup
+  UNION ALL
+  SELECT slot + 1, [done[i] + (i = pick.k)::BIGINT for i in range(1, len(done) + 1)], pick.k, pick.turn
+  FROM (SELECT slot, done, list_min([{'due': ceil((done[i] + 1) * q / share[i]), 'k': i, 'turn': done[i]}
+          for i in range(1, len(done) + 1) if floor(done[i] * q / share[i]) <= slot]) AS pick
+        FROM rounds, setup WHERE slot < q)
+),
+plan AS (SELECT sources[k] AS source, turn, slot - 1 AS slot FROM rounds, setup WHERE k IS NOT NULL),
+ranked AS (SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS r FROM documents),
+blocks AS (SELECT doc_id, r.source, r.s, r % 16 AS place, (r // 16) // share AS round, (r // 16) % share AS turn, q FROM ranked r JOIN shares ON r.s = shares.source)
+SELECT doc_id, b.source, round * q + slot AS mix_slot, place::INTEGER AS mix_place
+FROM blocks b JOIN plan p ON p.source = b.s AND p.turn = b.turn
+"""
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
+_WORDS_10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE["op10_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_10} AS w FROM documents),
+it AS (SELECT item_id, {_WORDS_10} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+       FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM it WHERE len(w) > 0)),
+dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw))),
+hit AS (SELECT r, i, n, item_id FROM dw JOIN iw USING (n, g)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
