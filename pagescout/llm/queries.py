@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescout.llm import decontaminate, line_dedup, mixing, quality_gam, token_counts, toxicity
+from pagescout.llm import decontaminate, line_dedup, mixing, quality_gam, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,45 @@ SELECT doc_id, coalesce(w.n, 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS
   sha256(CASE WHEN g.n IS NULL THEN t ELSE array_to_string([lines[i] for i in range(1, len(lines) + 1) if NOT list_contains(gone, i)], chr(10)) END) AS text_sha256
 FROM d LEFT JOIN gone g USING (r) LEFT JOIN worded w USING (r)
 """
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality_rules.apply_rules(docs.select("doc_id", "lang", "text"), keep=["doc_id"])
+
+
+_CLASSES = ["a-z", r"\x20\x09-\x0D", "A-Z", r"\x{80}-\x{10FFFF}", "0-9", ".,;:''\"?!()\\-"]
+_SIZES = ", ".join(f"len(regexp_replace(t, '[^{c}]+', '', 'g'))" for c in _CLASSES)
+_COMMON = ", ".join(f"'{w}'" for w in quality_rules.common_words())
+_LIMITS = quality_rules.Limits()
+ORACLE["op1_quality_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT r, len(w)::BIGINT AS n_words, len(t) AS total, [{_SIZES}] AS sizes, len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM win
+  JOIN (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1) USING (r, g)) GROUP BY r),
+m AS (SELECT d.r, doc_id, lang, n_words, total, list_concat(sizes, [total - list_sum(sizes)]) AS chars, total - sizes[2] AS word_chars, n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  n_words < 20 OR 100 * coalesce(rep.n, 0) > 30 * n_words AS base_failed FROM d JOIN c USING (r) LEFT JOIN rep USING (r)),
+cw AS (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS x FROM d) WHERE x IN ({_COMMON}) GROUP BY r, x),
+good AS (SELECT * FROM m WHERE NOT base_failed AND lang IS NOT NULL AND n_words >= {_LIMITS.least_words}),
+langs AS (SELECT lang, sum(n_words) AS n FROM good GROUP BY lang HAVING count(*) >= (SELECT count(*) FROM d) / 64.0),
+qc AS (SELECT lang, i, sum(chars[i]) / sum(sum(chars[i])) OVER (PARTITION BY lang) AS q FROM (SELECT lang, chars, unnest(range(1, 8)) AS i FROM good) GROUP BY lang, i),
+words AS (SELECT unnest([{_COMMON}]) AS x),
+qw AS (SELECT l.lang, w.x, coalesce(s.n, 0) / l.n AS q FROM langs l CROSS JOIN words w
+  LEFT JOIN (SELECT lang, x, sum(cw.n) AS n FROM good JOIN cw USING (r) GROUP BY lang, x) s ON s.lang = l.lang AND s.x = w.x),
+other AS (SELECT lang, '' AS x, 1 - sum(q) AS q FROM qw GROUP BY lang),
+pc AS (SELECT r, lang, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END) AS v
+  FROM (SELECT r, qc.lang, q, chars[i] / greatest(total, 1) AS p FROM m, qc WHERE qc.lang IN (SELECT lang FROM langs)) GROUP BY r, lang),
+pw0 AS (SELECT r, x, n FROM cw UNION ALL SELECT m.r, '', n_words - coalesce((SELECT sum(n) FROM cw WHERE cw.r = m.r), 0) FROM m),
+pw AS (SELECT r, lang, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END) + (1 - sum(q)) / 2 AS v
+  FROM (SELECT r, l AS lang, q, pw0.n / greatest(n_words, 1) AS p FROM pw0 JOIN m USING (r) JOIN (SELECT lang AS l, x, q FROM qw UNION ALL SELECT * FROM other) USING (x))
+  GROUP BY r, lang),
+near AS (SELECT r, min({{'both': sqrt(greatest(pc.v, 0)) + sqrt(greatest(pw.v, 0)), 'c': sqrt(greatest(pc.v, 0)), 'w': sqrt(greatest(pw.v, 0))}}) AS n FROM pc JOIN pw USING (r, lang) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(n.c, 6) AS char_distance, round(n.w, 6) AS word_distance,
+  NOT base_failed AND NOT coalesce(total >= {_LIMITS.least_chars} AND n.c > {_LIMITS.chars}, false)
+  AND NOT coalesce(n_words >= {_LIMITS.least_words} AND n.w > {_LIMITS.words}, false) AS kept
+FROM m LEFT JOIN near USING (r)
+"""
