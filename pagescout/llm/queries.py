@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescout.llm import decontaminate, line_dedup, mixing, quality_gam, quality_rules, token_counts, toxicity
+from pagescout.llm import decontaminate, line_dedup, mixing, ngram_join, quality_gam, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -156,3 +156,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND NOT coalesce(n_words >= {_LIMITS.least_words} AND n.w > {_LIMITS.words}, false) AS kept
 FROM m LEFT JOIN near USING (r)
 """
+
+
+@query
+def op2_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf, "documents")).drop("key")
+
+
+ORACLE["op2_ngram_join"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON a = x.r JOIN n y ON b = y.r WHERE 100 * m >= 80 * (x.n + y.n - m)),
+sides AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
+least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON reach.b = d.r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN least USING (r) LEFT JOIN n USING (r)
+"""
