@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescout.llm import decontaminate, line_dedup, mixing, ngram_join, quality_gam, quality_rules, token_counts, toxicity
+from pagescout.llm import decontaminate, line_dedup, mixing, ngram_join, quality_gam, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -175,3 +175,22 @@ reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, sides.b FROM reach
 least AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON reach.b = d.r GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN least USING (r) LEFT JOIN n USING (r)
 """
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substring_dedup.remove_passages(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+ORACLE["op9_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win JOIN twice USING (g)),
+lists AS (SELECT r, list(p) AS gone FROM gone GROUP BY r),
+words AS (SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+left_over AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN lists USING (r) LEFT JOIN left_over USING (r)
+"""
