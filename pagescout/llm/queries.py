@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescout.llm import decontaminate, line_dedup, mixing, ngram_join, quality_gam, quality_rules, substring_dedup, token_counts, toxicity
+from pagescout.llm import decontaminate, interpolated_lm, line_dedup, mixing, ngram_join, quality_gam, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -194,3 +194,8 @@ left_over AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM words ANTI JO
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN lists USING (r) LEFT JOIN left_over USING (r)
 """
+
+
+@query
+def op6_interpolated_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return interpolated_lm.score_by_fold(table(spark, sf, "documents"))
