@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagescout import settings as S
 from pagescout.functions import urls as U
-from pagescout.operators.skew import first_n_per_group, rank_in_group, salted_join
+from pagescout.operators.skew import first_n_per_group, fits_broadcast, rank_in_group, salted_join
 
 COLUMNS = ["url", "depth", "domain", "url_key", "src"]
 
@@ -68,17 +68,35 @@ def first_discovery(frontier: DataFrame) -> DataFrame:
 
 def unvisited(frontier: DataFrame, visited: DataFrame) -> DataFrame:
     """Frontier rows whose URL was not visited before, each URL once."""
-    return first_discovery(frontier).join(
-        visited.select("url_key").distinct(), "url_key", "left_anti"
-    )
+    return _without(first_discovery(frontier), visited)
+
+
+def not_in_rounds(frontier: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """J1 for a crawl: frontier rows of no earlier round, each URL once.
+
+    One join a round: a round that is bucketed by ``url_key`` is read in place, which a union of
+    rounds would not be.
+    """
+    new = first_discovery(frontier)
+    for visited in rounds:
+        new = _without(new, visited)
+    return new
+
+
+def _without(frontier: DataFrame, visited: DataFrame) -> DataFrame:
+    return frontier.join(visited.select("url_key"), "url_key", "left_anti")
 
 
 def fetch_join(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     """Frontier rows joined with their pages. "Fetching" is a join on the normalized URL.
 
-    ``frontier`` has each ``url_key`` once. A URL stored many times is spread over tasks.
+    ``frontier`` has each ``url_key`` once. A frontier that is measured as small is broadcast and
+    the pages do not move. Beyond that, pages are reduced by their key first, and a URL stored many
+    times is spread over tasks.
     """
     wanted = frontier.withColumn("_wanted", F.lit(True))
+    if fits_broadcast(frontier):
+        return pages.join(F.broadcast(frontier), "url_key")
     found = salted_join(pages, wanted, "url_key", S.ROWS_PER_TASK).where(F.col("_wanted"))
     return found.drop("_wanted")
 

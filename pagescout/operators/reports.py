@@ -51,9 +51,14 @@ def product_urls_by_domain(products: DataFrame, chunk: int = S.URLS_PER_DOCUMENT
 
 
 def product_map(by_domain: DataFrame) -> DataFrame:
-    """The whole result as one ``MAP<STRING, ARRAY<STRING>>`` row; for small results only."""
+    """The whole result as one ``MAP<STRING, ARRAY<STRING>>`` row, all chunks of a domain in order.
+
+    One row by definition; for results of any size use :func:`product_urls_by_domain` itself.
+    """
+    chunks = F.array_sort(F.collect_list(F.struct("chunk", "product_urls")))
+    whole = F.flatten(F.transform(chunks, lambda c: c["product_urls"])).alias("product_urls")
     entries = F.collect_list(F.struct("domain", "product_urls"))
-    return by_domain.where("chunk = 0").agg(F.map_from_entries(entries).alias("products"))
+    return by_domain.groupBy("domain").agg(whole).agg(F.map_from_entries(entries).alias("products"))
 
 
 def crawl_report(

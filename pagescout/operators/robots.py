@@ -91,12 +91,18 @@ def status_policy(status: Column) -> Column:
     )
 
 
+def product_token(agent: str) -> str:
+    """The name by which robots files call an agent: its text before the first slash."""
+    return agent.split("/")[0].strip().lower()
+
+
 def agent_group(robots: DataFrame, token: str = S.USER_AGENT_TOKEN) -> DataFrame:
     """R2: ``(host, agent)``, the agent whose groups apply to us on each host.
 
-    Our own token when the file names it, else ``*``; hosts with neither are left out.
+    Our own token when the file names it, else ``*``; hosts with neither are left out. A whole
+    agent string may be given, of which only the token counts.
     """
-    name = token.lower()
+    name = product_token(token)
     return (
         robots_lines(robots)
         .where(F.col("field") == _AGENT)
@@ -108,28 +114,41 @@ def agent_group(robots: DataFrame, token: str = S.USER_AGENT_TOKEN) -> DataFrame
 
 
 def host_policy(robots: DataFrame, token: str = S.USER_AGENT_TOKEN) -> DataFrame:
-    """``(host, policy, rules, delay_s)``: all that decides about URLs, one row per host."""
-    mine = [token.lower(), "*"]
-    lines = _with_agents(robots_lines(robots), mine)
-    chosen = agent_group(robots, token)
-    rule = F.col("field").isin(_ALLOW, _DISALLOW) & (F.col("value") != "")
+    """``(host, policy, rules, delay_s)``: all that decides about URLs, one row per host.
+
+    The lines are read once: agents, rules and delays of a group come from the same rows, and the
+    groups of a host, which one bounded file holds, are chosen from in place.
+    """
+    name = product_token(token)
+    is_agent, value = F.col("field") == _AGENT, F.col("value")
+    is_rule = F.col("field").isin(_ALLOW, _DISALLOW) & (value != "")
+    rule = F.struct(
+        F.length(value).alias("path_len"), (F.col("field") == _ALLOW).alias("allow"), U.escape_rule_path(value).alias("path")
+    )
     delay = F.when(F.col("field") == _DELAY, F.expr("try_cast(value AS DOUBLE)"))
-    per_host = (
-        lines.join(chosen, ["host", "agent"])
-        .groupBy("host")
+    groups = (
+        robots_lines(robots)
+        .groupBy("host", "group_no")
         .agg(
-            F.collect_set(
-                F.when(
-                    rule,
-                    F.struct(
-                        F.length("value").alias("path_len"),
-                        (F.col("field") == _ALLOW).alias("allow"),
-                        U.escape_rule_path(F.col("value")).alias("path"),
-                    ),
-                )
-            ).alias("rules"),
+            F.collect_set(F.when(is_agent, F.lower(value))).alias("agents"),
+            F.collect_set(F.when(is_rule, rule)).alias("rules"),
             F.max(F.when(delay > 0, delay)).alias("delay_s"),
         )
+        .groupBy("host")
+        .agg(F.collect_list(F.struct("agents", "rules", "delay_s")).alias("groups"))
+    )
+    named = F.exists("groups", lambda g: F.array_contains(g["agents"], name))
+    agent = F.when(named, F.lit(name)).otherwise(F.lit("*"))
+    ours = settle(
+        groups.withColumn("agent", agent).select(
+            "host", F.filter("groups", lambda g: F.array_contains(g["agents"], F.col("agent"))).alias("ours")
+        ),
+        "ours",
+    )
+    per_host = ours.where(F.size("ours") > 0).select(
+        "host",
+        F.array_distinct(F.flatten(F.transform("ours", lambda g: g["rules"]))).alias("rules"),
+        F.array_max(F.transform("ours", lambda g: g["delay_s"])).alias("delay_s"),
     )
     return robots.select("host", status_policy(F.col("status")).alias("policy")).join(
         per_host, "host", "left"

@@ -18,19 +18,27 @@ from pagescout.functions.steps import settle
 def sitemap_probes(seeds: DataFrame) -> DataFrame:
     """``(url, domain, sitemap_url)``, the places where a seed's sitemap may be.
 
-    A trailing slash of the seed does not lead to a doubled one.
+    A fragment of the seed is no part of the place, and a trailing slash does not lead to a
+    doubled one.
     """
-    root = F.regexp_replace(F.col("url"), "/+$", "")
+    root = F.regexp_replace(F.regexp_replace(F.col("url"), "#.*$", ""), "/+$", "")
     places = F.array(*[F.concat(root, F.lit(path)) for path in S.SITEMAP_PATHS])
     return seeds.select("url", "domain", F.explode(places).alias("sitemap_url"))
 
 
 def scan_sitemaps(seeds: DataFrame, sitemaps: DataFrame) -> DataFrame:
-    """The sitemap documents that exist for the seeds, ``(domain, sitemap_url, body)``."""
-    found = sitemaps.where(F.col("status") == 200).select(
-        F.col("url").alias("sitemap_url"), "body"
-    )
-    return sitemap_probes(seeds).select("domain", "sitemap_url").distinct().join(found, "sitemap_url")
+    """The sitemap documents that exist for the seeds, ``(domain, sitemap_url, body)``.
+
+    Places are compared as normalized URLs, so the spelling of a seed's host does not matter;
+    ``sitemap_url`` is the document's own.
+    """
+    found = _keyed(sitemaps.where(F.col("status") == 200)).select("_key", F.col("url").alias("sitemap_url"), "body")
+    probes = U.with_normal_url(sitemap_probes(seeds), "sitemap_url", "_key").select("domain", "_key").distinct()
+    return probes.join(found, "_key").drop("_key")
+
+
+def _keyed(sitemaps: DataFrame) -> DataFrame:
+    return U.with_normal_url(sitemaps, "url", "_key")
 
 
 def sitemap_index_locs(documents: DataFrame, strict: bool = False) -> DataFrame:
@@ -57,12 +65,10 @@ def sitemap_children(index_locs: DataFrame, sitemaps: DataFrame) -> DataFrame:
     Each child document is parsed once, however many indexes name it. A nested index lists no
     pages and is not followed.
     """
-    children = index_locs.select(F.col("loc").alias("sitemap_url"), "domain").distinct()
-    wanted = children.select("sitemap_url").distinct()
-    documents = sitemaps.select(F.col("url").alias("sitemap_url"), "body").join(
-        wanted, "sitemap_url", "left_semi"
-    )
-    return sitemap_urls(documents).join(children, "sitemap_url").select("domain", "loc")
+    children = U.with_normal_url(index_locs, "loc", "_key").select("_key", "domain").distinct()
+    wanted = children.select("_key").distinct()
+    documents = _keyed(sitemaps).select("_key", "body").join(wanted, "_key", "left_semi")
+    return sitemap_urls(documents).join(children, "_key").select("domain", "loc")
 
 
 def sitemap_products(seeds: DataFrame, sitemaps: DataFrame, strict: bool = False) -> DataFrame:

@@ -50,9 +50,11 @@ def salted_join(left: DataFrame, lookup: DataFrame, key: str, rows_per_task: int
         .select(F.col(key), F.ceil(F.col("count") / rows_per_task).cast("int").alias("_parts"))
     )
     parts = F.coalesce(F.col("_parts"), F.lit(1))
-    spread = left.join(F.broadcast(hot), key, "left").withColumn(
+    # NULL matches nothing in the lookup, but its rows have to be spread all the same.
+    hot_key = hot.withColumnRenamed(key, "_hot_key")
+    spread = left.join(F.broadcast(hot_key), F.col(key).eqNullSafe(F.col("_hot_key")), "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")
-    )
+    ).drop("_hot_key")
     copies = lookup.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), parts - 1))
     )

@@ -20,7 +20,7 @@ from pagescout.operators.signals import SIGNALS, SignalBuilder, scored_pages
 from pagescout.operators.sitemaps import sitemap_products
 from pagescout.sources.tables import scan_pages, scan_robots
 from pagescout.operators.skew import fits_broadcast
-from pagescout.storage import materialize, materialize_bucketed
+from pagescout.storage import Scratch, materialize, materialize_bucketed, scratch
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,12 @@ class CrawlResult:
 
     visited: DataFrame
     dropped: DataFrame | None = None
+    scratch: Scratch | None = None
+
+    def close(self) -> None:
+        """Remove all tables of the crawl, these results among them."""
+        if self.scratch:
+            self.scratch.release()
 
     @property
     def products(self) -> DataFrame:
@@ -80,12 +86,29 @@ def page_facts(parsed: DataFrame) -> DataFrame:
 
 
 def page_edges(parsed: DataFrame) -> DataFrame:
-    """``(url_key, page_id, dst)``, the accepted links of the pages that may be expanded."""
+    """``(url_key, dst)``, the different accepted links of the pages that may be expanded."""
     anchors = U.with_base_parts(parsed.where(~F.col("is_product")), "url_key").select(
-        "url_key", "page_id", *U.BASE_COLUMNS, F.explode("hrefs").alias("href")
+        "url_key", *U.BASE_COLUMNS, F.explode("hrefs").alias("href")
     )
     judged = U.with_link_target(anchors, "href")
-    return judged.where(F.col("dst").isNotNull()).select("url_key", "page_id", "dst")
+    return judged.where(F.col("dst").isNotNull()).select("url_key", "dst").distinct()
+
+
+def within_reach(pages: DataFrame, seeds: DataFrame, listed: DataFrame) -> DataFrame:
+    """The pages a crawl can get to: those on the hosts of seeds and of sitemap entries.
+
+    Followed links stay on their host. Pages without a host stay too, since a listed URL that
+    cannot be parsed may equal theirs. A set of hosts that is too large to broadcast asks for most
+    of the collection anyway; then nothing is cut away.
+    """
+    hosts = seeds.select("domain").union(listed.select(U.url_host(F.col("url")))).union(
+        seeds.sparkSession.createDataFrame([("",)], "domain string")
+    )
+    hosts = materialize(hosts.where(F.col("domain").isNotNull()).distinct(), "hosts")
+    if not fits_broadcast(hosts):
+        return pages
+    keyed = pages.withColumn("_host", F.coalesce(U.url_host(F.col("url")), F.lit("")))
+    return keyed.join(F.broadcast(hosts.withColumnRenamed("domain", "_host")), "_host", "left_semi").drop("_host")
 
 
 def crawl_closure(
@@ -102,35 +125,49 @@ def crawl_closure(
     allowed seeds, fetched or not. A URL is visited once, at its smallest depth.
 
     The driver only decides whether another round is needed. Each round writes its visited
-    rows to the shared folder; the frontier is derived from them.
+    rows to the shared folder, bucketed like the pages; the frontier is derived from them.
+    ``close()`` of the result removes what the crawl has written.
     """
-    o = options or CrawlOptions()
+    with scratch(seeds.sparkSession) as own:
+        visited, dropped = _crawl(seeds, pages, robots, sitemaps, options or CrawlOptions())
+    return CrawlResult(visited, dropped, own)
+
+
+def _crawl(seeds, pages, robots, sitemaps, o: CrawlOptions) -> tuple[DataFrame, DataFrame | None]:
     policy = materialize(host_policy(scan_robots(robots), o.user_agent), "policy")
     policy_fits = fits_broadcast(policy)
-    parsed = materialize(parse_pages(pages, o), "parsed")
-    facts = materialize_bucketed(page_facts(parsed), "facts", "url_key", o.buckets)
-    edges = materialize_bucketed(page_edges(parsed), "edges", "url_key", o.buckets)
+    frontier = materialize(FR.seed_frontier(seeds), "seeds")
+    listed = materialize(sitemap_products(frontier, sitemaps, o.strict_sitemaps), "listed")
+    parsed = materialize(parse_pages(within_reach(pages, frontier, listed), o), "parsed")
+    buckets = o.buckets or bucket_count(parsed)
+    facts = materialize_bucketed(page_facts(parsed), "facts", "url_key", buckets)
+    # Of the copies of a URL only the standing one is expanded; the join spreads them by page.
+    standing = parsed.join(facts.select("url_key", "page_id"), ["url_key", "page_id"], "left_semi")
+    edges = materialize_bucketed(page_edges(standing), "edges", "url_key", buckets)
 
-    frontier = FR.seed_frontier(seeds)
     rounds: list[DataFrame] = []
     dropped: list[DataFrame] = []
     for depth in range(o.max_depth + 1):
-        if rounds:
-            new = FR.unvisited(frontier, FR.frontier_union(*rounds))
-        else:
-            new = FR.first_discovery(frontier)
+        new = FR.not_in_rounds(frontier, rounds)
         if o.frontier_cap is not None:
             new = materialize(new, f"new-{depth}")
             new, rest = FR.frontier_cap(new, o.frontier_cap)
             dropped.append(rest)
-        visited = materialize(_visit(new, policy, policy_fits, facts, o), f"visited-{depth}")
+        judged = _visit(new, policy, policy_fits, facts, o)
+        visited = materialize_bucketed(judged, f"visited-{depth}", "url_key", buckets)
         if visited.isEmpty():
             break
         rounds.append(visited)
         if depth < o.max_depth:
-            frontier = _next_frontier(visited, edges, sitemaps, depth, o)
+            frontier = _next_frontier(visited, edges, listed, depth)
     result = FR.frontier_union(*(rounds or [visited]))
-    return CrawlResult(result, FR.frontier_union(*dropped) if dropped else None)
+    return result, FR.frontier_union(*dropped) if dropped else None
+
+
+def bucket_count(parsed: DataFrame) -> int:
+    """Buckets of the tables that the rounds join: by rows, and no fewer than shuffles have partitions."""
+    least = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-parsed.count() // S.ROWS_PER_TASK))
 
 
 def _visit(new: DataFrame, policy: DataFrame, policy_fits: bool, facts: DataFrame, o: CrawlOptions):
@@ -148,12 +185,10 @@ def _visit(new: DataFrame, policy: DataFrame, policy_fits: bool, facts: DataFram
     )
 
 
-def _next_frontier(visited, edges, sitemaps, depth: int, o: CrawlOptions) -> DataFrame:
-    open_pages = visited.where(F.col("fetched") & ~F.col("is_product")).select(
-        "url_key", "page_id", "depth", "domain"
-    )
-    links = FR.link_frontier(open_pages.join(edges, ["url_key", "page_id"]))
+def _next_frontier(visited, edges, listed, depth: int) -> DataFrame:
+    open_pages = visited.where(F.col("fetched") & ~F.col("is_product")).select("url_key", "depth", "domain")
+    links = FR.link_frontier(open_pages.join(edges, "url_key"))
     if depth > 0:
         return links
-    listed = sitemap_products(visited.where("allowed"), sitemaps, o.strict_sitemaps)
-    return FR.frontier_union(links, FR.sitemap_frontier(listed))
+    allowed = visited.where("allowed").select("domain").distinct()
+    return FR.frontier_union(links, FR.sitemap_frontier(listed.join(allowed, "domain", "left_semi")))

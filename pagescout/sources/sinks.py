@@ -17,17 +17,19 @@ def product_json_lines(products: DataFrame) -> DataFrame:
     The texts, joined by line breaks in the order of domain and URL, form the object
     ``{domain: [urls]}`` with an indent of two. First and last rows are found by grouped
     minima and maxima, so the document is never assembled anywhere, and a domain with a large
-    part of all URLs is spread over tasks.
+    part of all URLs is spread over tasks. Without products the document is ``{}``.
     """
     rows = materialize(distinct_products(products), "products")
     ends = rows.groupBy("domain").agg(
         F.min("url").alias("first_url"),
         F.max("url").alias("last_url"),
     )
-    outer = ends.agg(F.min("domain").alias("first_domain"), F.max("domain").alias("last_domain"))
+    first_domain, last_domain = ends.agg(F.min("domain"), F.max("domain")).first()
+    if first_domain is None:
+        return rows.sparkSession.createDataFrame([(None, None, "{}")], "domain string, url string, text string")
     first, last = F.col("url") == F.col("first_url"), F.col("url") == F.col("last_url")
-    opens = first & (F.col("domain") == F.col("first_domain"))
-    closes = last & (F.col("domain") == F.col("last_domain"))
+    opens = first & (F.col("domain") == first_domain)
+    closes = last & (F.col("domain") == last_domain)
     text = F.concat(
         F.when(opens, "{\n").otherwise(""),
         F.when(first, F.concat(F.lit("  "), json_string(F.col("domain")), F.lit(": [\n"))).otherwise(""),
@@ -35,12 +37,7 @@ def product_json_lines(products: DataFrame) -> DataFrame:
         json_string(F.col("url")),
         F.when(closes, "\n  ]\n}").when(last, "\n  ],").otherwise(","),
     )
-    # "outer" is a single row.
-    return (
-        lookup_join(rows, ends, "domain")
-        .join(F.broadcast(outer))
-        .select("domain", "url", text.alias("text"))
-    )
+    return lookup_join(rows, ends, "domain").select("domain", "url", text.alias("text"))
 
 
 def json_string(text: Column) -> Column:
@@ -53,10 +50,7 @@ def json_string(text: Column) -> Column:
 
 
 def write_product_json(products: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Text files whose concatenation, in file order, is the JSON document.
-
-    An empty result gives an empty folder instead of ``{}``.
-    """
+    """Text files whose concatenation, in file order, is the JSON document; ``{}`` without products."""
     product_json_lines(products).orderBy("domain", "url").select("text").write.mode(mode).text(path)
 
 

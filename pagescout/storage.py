@@ -6,30 +6,65 @@ re-read and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+@dataclass
+class Scratch:
+    """The folders and catalog tables that a job has written between its stages."""
 
-    Only a local master, where the driver is the whole cluster, may do without the setting.
-    """
+    spark: SparkSession
+    paths: list[str] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the tables and remove the folders. What was read from them is gone then."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.tables.clear()
+        self.paths.clear()
+
+
+_OPEN: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Records what is written inside; the caller releases it when its result is no longer read."""
+    own = Scratch(spark)
+    token = _OPEN.set((*_OPEN.get(), own))
+    try:
+        yield own
+    finally:
+        _OPEN.reset(token)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder named by ``spark.checkpoint.dir``, else one below the warehouse; all executors share both."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="pagescout-")
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/pagescout/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pagescout/{name}-{uuid.uuid4().hex}"
+    for one in _OPEN.get():
+        one.paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -47,7 +82,7 @@ def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int | None
     """
     spark = df.sparkSession
     count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"pagescout_{name}_{uuid.uuid4().hex}"
+    table = f"pagescout_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     (
         df.repartition(count, key)
         .write.bucketBy(count, key)
@@ -56,4 +91,6 @@ def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int | None
         .format("parquet")
         .saveAsTable(table)
     )
+    for one in _OPEN.get():
+        one.tables.append(table)
     return spark.table(table)

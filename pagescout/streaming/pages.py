@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pagescout import settings as S
 from pagescout.functions import urls as U
 from pagescout.operators.signals import page_signals, product_pages
-from pagescout.sources.tables import FETCHED_SCHEMA
+from pagescout.sources.tables import FETCHED_SCHEMA, scan_pages
 from pagescout.storage import new_path
 
 
@@ -24,8 +24,8 @@ def read_page_stream(
 
 
 def stream_product_pages(pages: DataFrame, **options) -> DataFrame:
-    """Scored product pages as they arrive; stateless."""
-    return product_pages(page_signals(pages, **options))
+    """Scored product pages as they arrive; stateless. What was not fetched is no page."""
+    return product_pages(page_signals(scan_pages(pages), **options))
 
 
 def stream_dedup_urls(pages: DataFrame, horizon: str | None = None) -> DataFrame:

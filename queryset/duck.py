@@ -196,13 +196,19 @@ def dots(path: str) -> str:
     return f"CASE WHEN starts_with({path}, '/') AND contains({path}, '/.') THEN {folded} ELSE {path} END"
 
 
+def literals(values) -> str:
+    return ", ".join(lit(v) for v in values)
+
+
+def starts(text: str, prefixes) -> str:
+    return " OR ".join(f"starts_with({text}, {lit(p)})" for p in prefixes)
+
+
 def judged(source: str, base: str, href: str, keep: str) -> str:
     """SELECT with ``abs_url``, ``reject_reason`` and ``dst`` of a link on a page."""
     elsewhere = "(r.scheme <> '' OR length(r.authority) > 2)"
-    prefix = " OR ".join(f"starts_with(h, {lit(p)})" for p in S.INVALID_LINK_PREFIXES)
-    scheme = " OR ".join(f"starts_with(h, {lit(p)})" for p in S.NON_HTTP_PREFIXES)
-    assets = ", ".join(lit(e) for e in S.ASSET_EXTENSIONS)
-    schemes = ", ".join(lit(s) for s in S.HTTP_SCHEMES)
+    prefix, scheme = starts("h", S.INVALID_LINK_PREFIXES), starts("h", S.NON_HTTP_PREFIXES)
+    assets, schemes = literals(S.ASSET_EXTENSIONS), literals(S.HTTP_SCHEMES)
     merged = (
         f"CASE WHEN {elsewhere} OR starts_with(r.path, '/') THEN r.path WHEN r.path = '' THEN b.path "
         "ELSE CASE WHEN regexp_extract(b.path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(b.path, '^(.*/)', 1) END || r.path END"
@@ -385,11 +391,13 @@ def _round(n: int) -> dict[str, str]:
 
 def listed(seeds: str) -> dict[str, str]:
     return {
-        "probes": f"SELECT DISTINCT domain, regexp_replace(url, '/+$', '') || unnest([{', '.join(lit(p) for p in S.SITEMAP_PATHS)}]) AS sitemap_url FROM {seeds}",
-        "documents": "SELECT p.domain, p.sitemap_url, s.body FROM probes p JOIN sitemaps s ON s.url = p.sitemap_url AND s.status = 200",
+        "maps": f"SELECT *, {normal('url')} AS map_key FROM sitemaps",
+        "probes": f"SELECT DISTINCT domain, {normal('probe')} AS map_key FROM (SELECT domain, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') || unnest([{', '.join(lit(p) for p in S.SITEMAP_PATHS)}]) AS probe FROM {seeds})",
+        "documents": "SELECT p.domain, s.url AS sitemap_url, s.body FROM probes p JOIN maps s ON s.map_key = p.map_key AND s.status = 200",
         "index_locs": r"SELECT * FROM (SELECT domain, sitemap_url, trim(unnest(regexp_extract_all(body, '(?s)<sitemap>\s*<loc>(.*?)</loc>', 1))) AS loc FROM documents WHERE contains(body, '<sitemapindex'))"
         f" WHERE {product_sitemap('loc')}",
-        "child_docs": "SELECT DISTINCT i.domain, s.url AS sitemap_url, s.body FROM index_locs i JOIN sitemaps s ON s.url = i.loc",
+        "child_keys": f"SELECT DISTINCT domain, {normal('loc')} AS map_key FROM index_locs",
+        "child_docs": "SELECT DISTINCT i.domain, s.url AS sitemap_url, s.body FROM child_keys i JOIN maps s ON s.map_key = i.map_key",
         "children": urlset_locs("domain, sitemap_url", "child_docs"),
         "plain": urlset_locs("domain, sitemap_url", f"(SELECT * FROM documents WHERE NOT contains(body, '<sitemapindex') AND {product_sitemap('sitemap_url')})"),
         "listed": "SELECT domain, loc FROM children UNION SELECT domain, loc FROM plain",
@@ -407,8 +415,8 @@ CTES: dict[str, str] = {
     + ", ".join(f"{sql} AS {name}" for name, sql in signal_columns().items())
     + " FROM features",
     "scored": f"SELECT *, score >= {S.PRODUCT_THRESHOLD} AS is_product FROM (SELECT *, {_SCORE} AS score FROM flags)",
-    "hrefs": f"SELECT page_id, url_key AS src, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href FROM (SELECT page_id, url_key, {_HREFS} AS h FROM tagged)",
-    "judged": judged("hrefs", "src", "href", "page_id, src, pos, href"),
+    "hrefs": f"SELECT page_id, status, url_key AS src, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href FROM (SELECT page_id, status, url_key, {_HREFS} AS h FROM tagged)",
+    "judged": judged("hrefs", "src", "href", "page_id, status, src, pos, href"),
     "facts": "SELECT url_key, min(page_id) AS page_id, arg_min(score, page_id) AS score, arg_min(is_product, page_id) AS is_product FROM scored WHERE status = 200 GROUP BY url_key",
     "products": f"SELECT DISTINCT {url_host('url_key')} AS domain, url_key AS url FROM scored WHERE status = 200 AND is_product",
     "policy": f"SELECT host, {_STATUS} AS policy FROM robots",

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagescout import settings as S
 from pagescout.functions import html as H
 from pagescout.functions import urls as U
 from pagescout.operators import frontier as FR
@@ -18,6 +19,7 @@ from pagescout.operators import reports as RP
 from pagescout.operators import robots as R
 from pagescout.operators import signals as SG
 from pagescout.operators import sitemaps as SM
+from pagescout.operators.skew import rank_in_group
 from pagescout.plans.crawl import crawl_closure as run_crawl
 from pagescout.sources import sinks
 from pagescout.sources import tables as T
@@ -86,30 +88,51 @@ def scan_sitemaps(spark, sf):
 _JSON = "replace(replace(replace(to_json({0}), '&', chr(92) || 'u0026'), '<', chr(92) || 'u003c'), '>', chr(92) || 'u003e')"
 
 
-@query(
-    f"""SELECT domain, url, concat(
+_DOCUMENT = f"""SELECT domain, url, concat(
       CASE WHEN first AND domain = min(domain) OVER () THEN '{{' || chr(10) ELSE '' END,
       CASE WHEN first THEN '  ' || {_JSON.format('domain')} || ': [' || chr(10) ELSE '' END,
       '    ', {_JSON.format('url')},
       CASE WHEN last AND domain = max(domain) OVER () THEN chr(10) || '  ]' || chr(10) || '}}'
         WHEN last THEN chr(10) || '  ],' ELSE ',' END) AS text
     FROM (SELECT *, url = min(url) OVER (PARTITION BY domain) AS first, url = max(url) OVER (PARTITION BY domain) AS last FROM products)"""
+
+
+@query(
+    f"""SELECT row_number() OVER (ORDER BY domain, url, i) AS line, text FROM (
+      SELECT domain, url, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ({_DOCUMENT}))"""
 )
 def write_product_json(spark, sf):
-    return sinks.product_json_lines(_products(spark, sf))
+    """The written document, read back in the order of its files and of the lines in them."""
+    path = new_path(spark, "product-json")
+    sinks.write_product_json(_products(spark, sf), path)
+    place = F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(F.col("value").alias("text"), place.alias("place"), F.lit("all").alias("document"))
+    return rank_in_group(lines, "document", ["place"], "line").select("line", "text")
+
+
+_SMALL_CHUNK = 3
 
 
 @query(
-    "SELECT domain, CAST(0 AS BIGINT) AS chunk, count(*) AS n_urls, string_agg(url, ' ' ORDER BY url) AS urls FROM products GROUP BY domain"
+    f"""SELECT domain, CAST(n // {_SMALL_CHUNK} AS BIGINT) AS chunk, count(*) AS n_urls, string_agg(url, ' ' ORDER BY url) AS urls
+      FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url) - 1 AS n FROM products) GROUP BY domain, chunk"""
 )
 def product_urls_by_domain(spark, sf):
-    rows = RP.product_urls_by_domain(_products(spark, sf))
+    rows = RP.product_urls_by_domain(_products(spark, sf), _SMALL_CHUNK)
     out = rows.select(
         "domain", "chunk", F.size("product_urls").alias("n_urls"), F.array_join("product_urls", " ").alias("urls")
     )
     return big(out, "chunk", "n_urls")
 
 
+@query("SELECT domain, count(*) AS n_urls, string_agg(url, ' ' ORDER BY url) AS urls FROM products GROUP BY domain")
+def product_map(spark, sf):
+    """The map, entry by entry, from chunks that are smaller than most domains."""
+    whole = RP.product_map(RP.product_urls_by_domain(_products(spark, sf), _SMALL_CHUNK))
+    entries = whole.select(F.explode("products").alias("domain", "product_urls"))
+    return big(entries.select("domain", F.size("product_urls").alias("n_urls"), F.array_join("product_urls", " ").alias("urls")), "n_urls")
+
+
 @query("SELECT DISTINCT url_key FROM visited")
 def visited_urls(spark, sf):
     return RP.visited_urls(_crawl(spark, sf).visited)
@@ -160,9 +183,8 @@ def resolve_links(spark, sf):
 
 
 @query(
-    f"""SELECT base, href, CASE WHEN h IN ('', '#') OR starts_with(h, 'javascript:') THEN 'invalid_link'
-      WHEN starts_with(h, 'mailto:') OR starts_with(h, 'tel:') OR starts_with(h, 'data:') OR starts_with(h, 'chrome-extension:')
-        OR a_scheme NOT IN ('http', 'https') THEN 'invalid_scheme' END AS reason FROM ({_JUDGED_MESSY})"""
+    f"""SELECT base, href, CASE WHEN h IN ('', '#') OR {D.starts('h', S.INVALID_LINK_PREFIXES)} THEN 'invalid_link'
+      WHEN {D.starts('h', S.NON_HTTP_PREFIXES)} OR a_scheme NOT IN ({D.literals(S.HTTP_SCHEMES)}) THEN 'invalid_scheme' END AS reason FROM ({_JUDGED_MESSY})"""
 )
 def link_scheme_filter(spark, sf):
     reason = F.coalesce(U.link_prefix_reason(F.col("_href")), U.scheme_reason())
@@ -177,7 +199,7 @@ def same_host_filter(spark, sf):
 
 @query(
     f"""SELECT base, href, coalesce(regexp_matches(lower(url_decode(a_path)),
-      '[.](jpg|jpeg|png|gif|webp|pdf|doc|docx|xls|xlsx|zip|tar|gz|mp3|mp4|avi|mov|css|js|svg)$'), FALSE) AS asset
+      '({"|".join(e.replace(".", "[.]") for e in S.ASSET_EXTENSIONS)})$'), FALSE) AS asset
       FROM ({_JUDGED_MESSY}) WHERE abs_url IS NOT NULL"""
 )
 def asset_extension_filter(spark, sf):
@@ -276,9 +298,9 @@ def product_score(spark, sf):
     return big(SG.page_signals(C.pages(spark, sf)).select("page_id", "score"), "score")
 
 
-@query("SELECT page_id, url_key, CAST(score AS BIGINT) AS score FROM scored WHERE is_product")
+@query("SELECT page_id, url_key, CAST(score AS BIGINT) AS score FROM scored WHERE is_product AND status = 200")
 def product_pages(spark, sf):
-    found = SG.product_pages(SG.page_signals(C.pages(spark, sf)))
+    found = SG.product_pages(SG.page_signals(T.scan_pages(C.pages(spark, sf))))
     return big(found.select("page_id", "url_key", "score"), "score")
 
 
@@ -309,34 +331,27 @@ def _judged_pages(spark, sf) -> DataFrame:
     return R.robots_verdict(C.pages(spark, sf).select("page_id", "url"), policy)
 
 
-_DEPTH = "len(string_split(regexp_replace(url_key, '^[a-z]+://', ''), '/')) - 1"
-
-
-def _scored_with_depth(spark, sf) -> DataFrame:
-    """Scored pages with the number of path segments in place of a crawl depth."""
-    depth = F.size(F.split(F.regexp_replace("url_key", "^[a-z]+://", ""), "/")) - 1
-    return SG.page_signals(C.pages(spark, sf)).withColumn("depth", depth)
-
-
-@query(f"SELECT page_id, CAST({_DEPTH} AS BIGINT) AS depth FROM keyed WHERE {_DEPTH} < 2")
+@query("SELECT url_key, CAST(depth AS BIGINT) AS depth FROM visited WHERE fetched AND NOT is_product AND depth < 1")
 def depth_limit(spark, sf):
-    pages = U.with_normal_url(C.pages(spark, sf).select("page_id", "url"), "url", "url_key")
-    depth = F.size(F.split(F.regexp_replace("url_key", "^[a-z]+://", ""), "/")) - 1
-    rows = pages.withColumn("depth", depth).withColumn("is_product", F.lit(False))
-    return big(SG.pages_to_expand(rows, 2).select("page_id", "depth"), "depth")
+    """The pages that a crawl to depth 1 would expand."""
+    fetched = _crawl(spark, sf).visited.where("fetched")
+    return big(SG.pages_to_expand(fetched, 1).select("url_key", "depth"), "depth")
 
 
-@query(f"SELECT page_id, CAST(score AS BIGINT) AS score FROM scored WHERE NOT is_product AND {_DEPTH} < 3")
+@query(
+    f"SELECT url_key, CAST(depth AS BIGINT) AS depth, CAST(score AS BIGINT) AS score FROM visited WHERE fetched AND NOT is_product AND depth < {S.MAX_DEPTH}"
+)
 def stop_at_product(spark, sf):
-    return big(SG.pages_to_expand(_scored_with_depth(spark, sf)).select("page_id", "score"), "score")
+    fetched = _crawl(spark, sf).visited.where("fetched")
+    return big(SG.pages_to_expand(fetched).select("url_key", "depth", "score"), "depth", "score")
 
 
 # --- 2.5 links --------------------------------------------------------------------------
 
 
-@query("SELECT src, CAST(min(pos) AS BIGINT) AS pos, dst FROM judged WHERE dst IS NOT NULL GROUP BY src, dst")
+@query("SELECT src, CAST(min(pos) AS BIGINT) AS pos, dst FROM judged WHERE dst IS NOT NULL AND status = 200 GROUP BY src, dst")
 def page_links(spark, sf):
-    return big(L.page_links(C.pages(spark, sf)), "pos")
+    return big(L.page_links(T.scan_pages(C.pages(spark, sf))), "pos")
 
 
 @query("SELECT reject_reason, count(*) AS links FROM judged WHERE reject_reason IS NOT NULL GROUP BY reject_reason")
@@ -353,7 +368,7 @@ def judge_messy_links(spark, sf):
 # --- 2.6 joins --------------------------------------------------------------------------
 
 _FOUND = (
-    "SELECT dst AS url, 1 AS depth, regexp_extract(dst, '//([^/?]*)', 1) AS domain, dst AS url_key, src FROM judged WHERE dst IS NOT NULL"
+    "SELECT dst AS url, 1 AS depth, regexp_extract(dst, '//([^/?]*)', 1) AS domain, dst AS url_key, src FROM judged WHERE dst IS NOT NULL AND status = 200"
 )
 _BEST = "arg_min({'depth': depth, 'domain': domain, 'src': src}, {'depth': depth, 'domain': domain, 'src': coalesce(src, ''), 'url': url})"
 _FIRST = f"SELECT url_key, {_BEST} AS f FROM (SELECT url, depth, domain, url_key, src FROM seed_rows UNION ALL {_FOUND}) GROUP BY url_key"
@@ -364,8 +379,8 @@ def _seed_rows(spark, sf) -> DataFrame:
 
 
 def _found(spark, sf) -> DataFrame:
-    """Frontier of all links of all pages, at depth 1."""
-    links = L.page_links(C.pages(spark, sf))
+    """Frontier of all links of all fetched pages, at depth 1."""
+    links = L.page_links(T.scan_pages(C.pages(spark, sf)))
     return links.select(
         F.col("dst").alias("url"),
         F.lit(1).alias("depth"),
@@ -389,7 +404,7 @@ def robots_verdict(spark, sf):
 
 
 @query(
-    "SELECT d.url_key, k.page_id FROM (SELECT DISTINCT dst AS url_key FROM judged WHERE dst IS NOT NULL) d JOIN keyed k ON k.url_key = d.url_key WHERE k.status = 200"
+    "SELECT d.url_key, k.page_id FROM (SELECT DISTINCT dst AS url_key FROM judged WHERE dst IS NOT NULL AND status = 200) d JOIN keyed k ON k.url_key = d.url_key WHERE k.status = 200"
 )
 def fetch_join(spark, sf):
     pages = U.with_normal_url(T.scan_pages(C.pages(spark, sf)).select("page_id", "url", "status"), "url", "url_key")
@@ -397,7 +412,7 @@ def fetch_join(spark, sf):
 
 
 @query(
-    "SELECT DISTINCT dst AS url_key FROM judged WHERE dst IS NOT NULL AND dst NOT IN (SELECT url_key FROM keyed WHERE status = 200)"
+    "SELECT DISTINCT dst AS url_key FROM judged WHERE dst IS NOT NULL AND status = 200 AND dst NOT IN (SELECT url_key FROM keyed WHERE status = 200)"
 )
 def fetch_misses(spark, sf):
     pages = U.with_normal_url(T.scan_pages(C.pages(spark, sf)).select("url", "status"), "url", "url_key")
@@ -459,13 +474,17 @@ _PER_DOMAIN = """SELECT s.domain, coalesce(v.visited, 0) AS visited, coalesce(v.
 
 
 @query(
-    f"""SELECT *, errors / nullif(visited, 0) AS error_rate, covered / nullif(domains, 0) AS coverage FROM (
+    f"""SELECT *, errors / nullif(visited, 0) AS error_rate, covered / nullif(domains, 0) AS coverage,
+      visited / (SELECT CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS DOUBLE) FROM events) AS urls_per_s FROM (
       SELECT domain, CAST(sum(visited) AS BIGINT) AS visited, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(products) AS BIGINT) AS products,
         CAST(count_if(products > 0) AS BIGINT) AS covered, count(*) AS domains FROM ({_PER_DOMAIN}) GROUP BY ROLLUP (domain))"""
 )
 def crawl_report(spark, sf):
+    """The time span of the events stands for the length of the run."""
     result = _crawl(spark, sf)
-    return RP.crawl_report(_seed_rows(spark, sf), result.visited, result.products)
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    seconds = C.table(spark, sf, "events").agg(F.max(at) - F.min(at)).first()[0]
+    return RP.crawl_report(_seed_rows(spark, sf), result.visited, result.products, seconds)
 
 
 _LABELS = "SELECT url_key, bool_or(page_id % 3 <> 0 AND (page_id >= 1000000000)) AS label FROM keyed GROUP BY url_key"
@@ -645,25 +664,28 @@ def robots_crawl_delay(spark, sf):
 
 
 def _page_streams(spark, sf) -> DataFrame:
-    """The given pages and the part pages, read as streams."""
+    """All pages, read as streams."""
 
     def stream(name: str) -> DataFrame:
         schema = C.table(spark, sf, name).schema
         return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
     parts = stream("part").repartition(2 * spark.sparkContext.defaultParallelism)
-    return C.derive(stream("pages"), C.GIVEN_PAGE).unionByName(C.derive(parts, C.PART_PAGE))
+    return (
+        C.derive(stream("pages"), C.GIVEN_PAGE)
+        .unionByName(C.derive(parts, C.PART_PAGE))
+        .unionByName(C.derive(stream("supplier"), C.HOME_PAGE))
+        .unionByName(C.derive(C._each(stream("supplier"), C.CATEGORIES), C.CATEGORY_PAGE))
+    )
 
 
-@query(
-    "SELECT page_id, url_key, CAST(score AS BIGINT) AS score FROM scored WHERE is_product AND page_id < 2000000000"
-)
+@query("SELECT page_id, url_key, CAST(score AS BIGINT) AS score FROM scored WHERE is_product AND status = 200")
 def stream_product_pages(spark, sf):
     found = ST.stream_product_pages(_page_streams(spark, sf)).select("page_id", "url_key", "score")
     return big(ST.run_to_end(found, "products"), "score")
 
 
-@query("SELECT DISTINCT url_key FROM keyed WHERE page_id < 2000000000")
+@query("SELECT DISTINCT url_key FROM keyed")
 def stream_dedup_urls(spark, sf):
     fresh = ST.stream_dedup_urls(_page_streams(spark, sf).select("url")).select("url_key")
     return ST.run_to_end(fresh, "fresh")
