@@ -4,12 +4,16 @@ A page is read with a few linear regular-expression passes instead of a parser,
 stays in the JVM next to the scan. All quantifiers over attributes are possessive: a broken
 page of any length costs one pass and no stack.
 
-Where this differs from a full HTML5 tree: implied end tags are not modelled, named character
-references outside a short list stay as they are, and a misplaced close tag ends an element.
+Where this differs from a full HTML5 tree: implied end tags are not modelled, and a misplaced
+close tag ends an element.
 """
 
 from __future__ import annotations
 
+import json
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +23,6 @@ from pagescout.functions.urls import any_of, matches_product_url
 # --- fixed values: elements whose content is text, and elements without content ----------
 _RAW_TEXT = "script|style|title|textarea|noscript|iframe|xmp|noembed|noframes"
 _VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
-_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\xa0",
-    "&sol;": "/", "&quest;": "?", "&equals;": "=", "&colon;": ":", "&num;": "#",
-    "&lowbar;": "_", "&period;": ".", "&comma;": ",",
-}
 # -------------------------------------------------------------------------------------------
 
 _COMMENT = r"<!--(?:-?>|.*?--!?>|.*\z)"
@@ -77,27 +76,55 @@ def attribute(tag: Column, name: str) -> Column:
     return decode_entities(F.regexp_replace(value, """^["']|["']$""", ""))
 
 
+# Names that need no semicolon, the longest first, as one may begin another.
+_BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+# Numbers that HTML5 reads as the characters of an older code page.
+_REMAPPED = {str(c): unescape(f"&#{c};") for c in (0, *range(0x80, 0xA0)) if unescape(f"&#{c};")}
+
+
+def _table(entries: dict[str, str]) -> Column:
+    """A constant map; as JSON it is one small expression until the optimizer evaluates it."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string, string>")
+
+
 def decode_entities(text: Column) -> Column:
-    """Text with numeric and the usual named character references replaced."""
-    out = F.array_join(F.transform(F.split(text, "&#"), _numeric_reference), "")
-    for entity, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Text with all HTML5 character references replaced, in one pass: what a reference gives is not read again."""
+    pieces = F.transform(F.split(text, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(_reference(piece)))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
 
+def _reference(piece: Column) -> Column:
+    """Text that followed ``&``, with the reference at its start turned into characters."""
+    return F.when(piece.startswith("amp;"), F.concat(F.lit("&"), F.substr(piece, F.lit(5)))).when(
+        piece.startswith("#"), _numeric_reference(piece)
+    ).otherwise(_named_reference(piece))
 
-def _numeric_reference(piece: Column, i: Column) -> Column:
-    """Text that followed ``&#``, with the leading number turned into its character."""
-    digits = F.regexp_extract(piece, r"^(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7})", 0)
+
+def _numeric_reference(piece: Column) -> Column:
+    digits = F.regexp_extract(piece, r"^#([xX][0-9A-Fa-f]+|[0-9]+)", 1)
+    significant = F.regexp_replace(digits, "^[xX]?0*(?=.)", "")
     code = F.when(
-        digits.rlike("^[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)
-    ).otherwise(digits).try_cast("int")
+        digits.rlike("^[xX]"), F.conv(F.substr(significant, F.lit(1), F.lit(8)), 16, 10)
+    ).otherwise(F.substr(significant, F.lit(1), F.lit(10))).try_cast("bigint")
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    rest = F.regexp_replace(F.substr(piece, F.length(digits) + 1), "^;", "")
-    valid = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return (
-        F.when(i == 0, piece)
-        .when(valid, F.concat(char, rest))
-        .otherwise(F.concat(F.lit("&#"), piece))
+    old = F.try_element_at(_table(_REMAPPED), code.cast("string"))
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    rest = F.regexp_replace(F.substr(piece, F.length(digits) + 2), "^;", "")
+    return F.when(
+        digits != "",
+        F.concat(F.coalesce(F.when(code < 0xA0, old), F.when(valid, char), F.lit("\ufffd")), rest),
+    ).otherwise(F.concat(F.lit("&"), piece))
+
+
+def _named_reference(piece: Column) -> Column:
+    name = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0)
+    bare = F.regexp_extract(piece, f"^(?:{_BARE_NAMES})", 0)
+    full = F.when(name != "", F.try_element_at(_table({n: c for n, c in html5.items() if n.endswith(";")}), name))
+    short = F.when(bare != "", F.try_element_at(_table({n: c for n, c in html5.items() if not n.endswith(";")}), bare))
+    return F.coalesce(
+        F.concat(full, F.substr(piece, F.length(name) + 1)),
+        F.concat(short, F.substr(piece, F.length(bare) + 1)),
+        F.concat(F.lit("&"), piece),
     )
 
 
@@ -183,19 +210,57 @@ def _crumb_tag() -> str:
 
 
 def breadcrumb_pieces(html: Column, tags: Column) -> Column:
-    """The page cut before each breadcrumb element; NULL for pages without one."""
+    """The page cut before each tag, with the tag's name, whether it closes, and whether a breadcrumb element starts; NULL without one."""
     has_crumb = F.exists(tags, lambda t: t.rlike(rf"(?is)^{_crumb_tag()}"))
-    return F.when(has_crumb, F.split(_text_kept(html), rf"(?is)(?={_crumb_tag()})"))
+    pieces = F.transform(
+        F.split(_text_kept(html), "(?=</?[a-zA-Z])"),
+        lambda p: F.struct(
+            p.alias("text"),
+            F.lower(F.regexp_extract(p, r"^</?([a-zA-Z][^\s/>]*)", 1)).alias("name"),
+            p.startswith("</").alias("closes"),
+            (p.rlike(rf"(?is)^{_crumb_tag()}") & ~p.rlike(rf"(?i)^<(?:{_VOID})[\s/>]")).alias("crumb"),
+        ),
+    )
+    return F.when(has_crumb, pieces)
+
 
+def breadcrumb_spans(pieces: Column) -> Column:
+    """First piece and number of pieces of every breadcrumb element that is in no other.
 
-def breadcrumb_texts(pieces: Column) -> Column:
-    """Text of every breadcrumb element, nested elements included."""
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size(pieces)),
-        lambda i: F.element_at(pieces, i).rlike(rf"(?is)^{_crumb_tag()}"),
+    One fold over the tags counts those of the open element's name. It holds numbers only, so a page
+    costs what its length asks for; an element that is never closed reaches to the end.
+    """
+    start = F.struct(
+        F.lit(0).alias("i"), F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("from"),
+        F.array().cast("array<struct<from: int, n: int>>").alias("spans"),
     )
+
+    def step(acc: Column, p: Column) -> Column:
+        inside = acc["depth"] > 0
+        same = inside & (p["name"] == acc["name"])
+        depth = F.when(same, acc["depth"] + F.when(p["closes"], -1).otherwise(1)).when(inside, acc["depth"]).otherwise(p["crumb"].cast("int"))
+        opens, ends = ~inside & p["crumb"], inside & (depth == 0)
+        span = F.array(F.struct(acc["from"].alias("from"), (acc["i"] - acc["from"]).alias("n")))
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            F.when(opens, p["name"]).otherwise(acc["name"]).alias("name"),
+            depth.alias("depth"),
+            F.when(opens, acc["i"]).otherwise(acc["from"]).alias("from"),
+            F.when(ends, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    def finish(acc: Column) -> Column:
+        last = F.array(F.struct(acc["from"].alias("from"), (acc["i"] - acc["from"]).alias("n")))
+        return F.when(acc["depth"] > 0, F.concat(acc["spans"], last)).otherwise(acc["spans"])
+
+    return F.aggregate(pieces, start, step, finish)
+
+
+def breadcrumb_texts(pieces: Column, spans: Column) -> Column:
+    """Text of every breadcrumb element; what is nested in one is part of its text."""
     return F.transform(
-        starts, lambda i: _balanced_text(F.array_join(F.slice(pieces, i, F.size(pieces)), ""))
+        spans,
+        lambda s: element_text(F.array_join(F.transform(F.slice(pieces, s["from"] + 1, s["n"]), lambda p: p["text"]), "")),
     )
 
 
@@ -206,28 +271,6 @@ def breadcrumb_signal(texts: Column) -> Column:
     )
 
 
-def _balanced_text(rest: Column) -> Column:
-    """Text of the element that ``rest`` starts with, up to its own close tag."""
-    name = F.regexp_extract(rest, r"^<([a-zA-Z][^\s/>]*)", 1)
-    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("text"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + F.when(piece.startswith("</"), -1).otherwise(1)
-        return F.when(acc["done"], acc).otherwise(
-            F.struct(
-                depth.alias("depth"),
-                (depth <= 0).alias("done"),
-                F.when(depth <= 0, acc["text"])
-                .otherwise(F.concat(acc["text"], piece))
-                .alias("text"),
-            )
-        )
-
-    content = F.aggregate(pieces, start, step, lambda acc: acc["text"])
-    return F.when(name.rlike(rf"(?i)^(?:{_VOID})$"), "").otherwise(element_text(content))
-
-
 def _text_kept(html: Column) -> Column:
     """The page without comments, script text kept but with no ``<`` left in it."""
     pieces = F.split(

@@ -86,7 +86,8 @@ def with_markup(pages: DataFrame) -> DataFrame:
                 "_share": H.anchor_share(tags),
             }
         )
-        .withColumn("_crumbs", H.breadcrumb_texts(F.col("_crumb_pieces")))
+        .withColumn("_crumb_spans", H.breadcrumb_spans(F.col("_crumb_pieces")))
+        .withColumn("_crumbs", H.breadcrumb_texts(F.col("_crumb_pieces"), F.col("_crumb_spans")))
     )
 
 

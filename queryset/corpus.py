@@ -162,7 +162,7 @@ def home_html(shop: str) -> str:
     return concat(
         q('<html><head><meta charset="utf-8"></head><body><ul>'),
         *links,
-        q('</ul><a href="about.html">about</a><a href="'),
+        q('</ul><a href="about.html">about</a><a href="/caf&eacute;">r</a><a href="/a&#38;lt;b">r</a><a href="/x&#150;y&copy=1">r</a><a href="'),
         escaped(part_path(f"({PARTS_PER_SHOP} * {shop} + 19)")),
         q('">offer</a><a href="//'),
         host(f"({shop} + 1)"),

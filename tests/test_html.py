@@ -145,7 +145,7 @@ def test_hrefs_and_pagination(spark):
 def test_entities(spark):
     text = "a&amp;b &lt;x&gt; &#65;&#x42; &#8364;; &#xD800; &#; &nbsp;| &amp;lt; &unknown;"
     df = spark.createDataFrame([(text,)], "t STRING")
-    assert df.select(H.decode_entities(F.col("t"))).first()[0] == "a&b <x> AB €; &#xD800; &#; \xa0| &lt; &unknown;"
+    assert df.select(H.decode_entities(F.col("t"))).first()[0] == "a&b <x> AB €; \ufffd &#; \xa0| &lt; &unknown;"
 
 
 def test_long_broken_page_costs_no_stack(spark):
@@ -202,3 +202,35 @@ def test_html_is_read_once(spark):
     assert "Exchange" not in plan
     narrow = SG.page_signals(pages, signals={"url_pattern": SG.SIGNALS["url_pattern"]})
     assert "ReadSchema: struct<page_id:bigint,url:string>" in narrow._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_are_decoded_once_and_like_the_standard_library(spark):
+    import html as lib
+
+    texts = ["/caf&eacute;", "&#38;lt;", "&#38;amp;x", "&#150;", "&#x80;", "a&b&c", "&", "&&amp;&", "&notit;", "&copy=1", "&nosuch;", "&#0;", "&#xD800;",
+             "&#1114112;", "&#99999999999999;", "&#x1F600;", "&#;", "&#x;", "&#00065", "&amp;lt;", "&CounterClockwiseContourIntegral;", "&NotEqualTilde;", "", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(H.decode_entities(F.col("t"))).collect()]
+    assert got == [lib.unescape(t) for t in texts]
+
+
+def test_breadcrumbs_of_a_long_page_take_linear_time(spark):
+    import time
+
+    from pagescout.operators import signals as SG
+
+    def page(n, last):
+        return "<html><body>" + "".join(f'<div class="bc"><img class="bc"><span>crumb {i}</span></div>' for i in range(n)) + last + "</body></html>"
+
+    rows = [(1, "https://e.com/x", page(4000, "")), (2, "https://e.com/y", page(4000, "<nav class=bc><nav>a</nav> product</nav>")), (3, "https://e.com/z", page(3, "<p>product</p>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").cache()
+    df.count()
+
+    def run():
+        return {r[0]: r[1] for r in SG.page_signals(df, {"breadcrumb": SG.SIGNALS["breadcrumb"]}).select("page_id", "sig_breadcrumb").collect()}
+
+    assert run() == {1: False, 2: True, 3: False}
+    start = time.time()
+    run()
+    print("seconds", time.time() - start)
+    assert time.time() - start < 6
