@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagescout.functions.steps import settle
 from pagescout.llm.texts import spaced_words
+from pagescout.operators.skew import fits_broadcast, lookup_join
 from pagescout.storage import materialize
 
 MIN_WORDS = 6
@@ -82,18 +83,20 @@ def _left(words: Column, place: Column, size: Column) -> Column:
     return F.when(F.size(words) > size, cut).otherwise(words)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_row`` names a document by id and text; ``_lines`` are its lines."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), text)
-    return docs.withColumns({"_row": F.unhex(F.md5(name.cast("binary"))), "_lines": F.split(text, "\n", -1)})
+def _row(id_col: str, text_col: str) -> Column:
+    """A name of a document by id and text."""
+    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.unhex(F.md5(name.cast("binary")))
+
+
+def _lines(text_col: str) -> Column:
+    return F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``line, text, at``: every line that has a word; ``at`` orders by id (NULL last), text and number."""
     return (
-        _rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-        .select("id", "_row", F.posexplode("_lines").alias("_no", "text"))
+        docs.select(F.col(id_col).alias("id"), _row(id_col, text_col).alias("_row"), F.posexplode(_lines(text_col)).alias("_no", "text"))
         .where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
         .select(
             F.unhex(F.md5(F.col("text").cast("binary"))).alias("line"),
@@ -109,20 +112,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A line stays where it is first found, unless an earlier line is near it: then it goes everywhere.
     """
     words = spaced_words(F.col("text"))
+    # The text of a line is not shuffled, only its keys are.
+    keyed = settle(_occurrences(docs, id_col, text_col).withColumn("_words", words), "_words")
     lines = materialize(
-        _occurrences(docs, id_col, text_col)
+        keyed.select("line", "at", F.when(F.size("_words") >= MIN_WORDS, _halves(F.col("_words"))).alias("halves"))
         .groupBy("line")
-        .agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("text").alias("text"))
-        .withColumn("_words", words)
-        .select("line", "first", "n", F.when(F.size("_words") >= MIN_WORDS, _halves(F.col("_words"))).alias("halves")),
+        .agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")),
         "lines",
     )
     halves = lines.select("line", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("line").distinct()
+    candidates = materialize(halves.join(shared, "half", "left_semi").select("line").distinct(), "candidates")
+    wanted = F.broadcast(candidates) if fits_broadcast(candidates) else candidates
     near_lines = materialize(
         _occurrences(docs, id_col, text_col)
-        .join(candidates, "line", "left_semi")
+        .join(wanted, "line", "left_semi")
         .groupBy("line")
         .agg(F.min("at").alias("first"), F.first("text").alias("text"))
         .select("line", "first", words.alias("words")),
@@ -159,13 +163,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeat id and text are one document and come out alike. The two counts replace columns of
     the same names. An empty table gives an empty result.
     """
-    removed = repeated_lines(docs, id_col, text_col)
+    removed = materialize(repeated_lines(docs, id_col, text_col).withColumnRenamed("removed", "_removed"), "removed")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    # Lines are split again behind the join, so that a join by shuffle moves the text once.
+    rows = lookup_join(docs.select(F.struct(*kept).alias("row"), _row(id_col, text_col).alias("_row")), removed, "_row")
+    rows = rows.select("row.*", "_removed").withColumn("_lines", _lines(text_col))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
+    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
     worded = F.size(F.filter("_lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    return _rows(docs.select(*kept), id_col, text_col).join(removed, "_row", "left").select(
+    return rows.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in kept],
         worded.cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
