@@ -19,7 +19,7 @@ from pagescout.operators.robots import host_policy, robots_verdict
 from pagescout.operators.signals import SIGNALS, SignalBuilder, scored_pages
 from pagescout.operators.sitemaps import sitemap_products
 from pagescout.sources.tables import scan_pages, scan_robots
-from pagescout.operators.skew import fits_broadcast
+from pagescout.operators.skew import fits_broadcast, lookup_join
 from pagescout.storage import Scratch, materialize, materialize_bucketed, scratch
 
 
@@ -61,16 +61,28 @@ class CrawlResult:
         return self.visited.where(~F.col("allowed"))
 
 
-def parse_pages(pages: DataFrame, options: CrawlOptions | None = None) -> DataFrame:
+def parse_pages(
+    pages: DataFrame, options: CrawlOptions | None = None, listed: DataFrame | None = None
+) -> DataFrame:
     """``(url_key, page_id, score, is_product, hrefs)``, one row per stored page.
 
     A narrow stage, and the only one that reads the text. Product pages carry no hrefs, since
-    they are never expanded.
+    they are never expanded. With a weight for ``in_sitemap`` the URLs ``listed`` by product
+    sitemaps score it as well.
     """
     o = options or CrawlOptions()
     scored = scored_pages(
         scan_pages(pages), o.signals, o.weights, o.threshold, ["page_id"], with_hrefs=True
     )
+    weight = o.weights.get("in_sitemap", 0)
+    if weight and listed is not None:
+        keys = U.with_normal_url(listed.select("url"), "url", "url_key").select("url_key").distinct()
+        score = F.col("score") + F.when(F.col("_listed"), weight).otherwise(0)
+        scored = (
+            lookup_join(scored, keys.withColumn("_listed", F.lit(True)), "url_key")
+            .withColumn("score", score)
+            .withColumn("is_product", F.col("score") >= o.threshold)
+        )
     followed = F.when(~F.col("is_product"), F.array_distinct("hrefs"))
     return scored.select("url_key", "page_id", "score", "is_product", followed.alias("hrefs"))
 
@@ -138,7 +150,7 @@ def _crawl(seeds, pages, robots, sitemaps, o: CrawlOptions) -> tuple[DataFrame,
     policy_fits = fits_broadcast(policy)
     frontier = materialize(FR.seed_frontier(seeds), "seeds")
     listed = materialize(sitemap_products(frontier, sitemaps, o.strict_sitemaps), "listed")
-    parsed = materialize(parse_pages(within_reach(pages, frontier, listed), o), "parsed")
+    parsed = materialize(parse_pages(within_reach(pages, frontier, listed), o, listed), "parsed")
     buckets = o.buckets or bucket_count(parsed)
     facts = materialize_bucketed(page_facts(parsed), "facts", "url_key", buckets)
     # Of the copies of a URL only the standing one is expanded; the join spreads them by page.

@@ -98,17 +98,90 @@ def test_random_graph_against_breadth_first_search(spark):
         assert product_urls(result) == {("h", f"http://h/{i}") for i in products & set(depth)}
 
 
-def test_edges_are_not_shuffled_again(spark):
-    from pagescout.storage import materialize_bucketed
+def exchanges(df):
+    """Columns by which the plan shuffles, and what it reads below each shuffle."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line], plan
 
+
+def test_only_the_frontier_is_shuffled(spark):
+    from pagescout.operators import frontier as FR
+    from pagescout.plans import crawl as C
+    from pagescout.storage import materialize, materialize_bucketed
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        edges = materialize_bucketed(spark.range(1000).select(F.col("id").cast("string").alias("url_key")), "t", "url_key")
-        few = spark.range(10).select(F.col("id").cast("string").alias("url_key"))
-        plan = few.join(edges, "url_key")._jdf.queryExecution().executedPlan().toString()
+        key = F.concat(F.lit("http://h/"), F.col("id")).alias("url_key")
+        edges = materialize_bucketed(spark.range(1000).select(key, F.lit("http://h/x").alias("dst")), "t", "url_key")
+        visited = materialize_bucketed(
+            spark.range(10).select(key, F.lit(1).alias("depth"), F.lit("h").alias("domain"), F.lit(True).alias("fetched"), F.lit(False).alias("is_product")),
+            "v", "url_key",
+        )
+        shuffles, _ = exchanges(C._next_frontier(visited, edges, None, 1))
+        assert shuffles == []
+        frontier = materialize(
+            spark.range(10).select(key.alias("url"), F.lit(1).alias("depth"), F.lit("h").alias("domain"), key, F.lit("s").alias("src")), "f"
+        )
+        shuffles, plan = exchanges(FR.not_in_rounds(frontier, [visited, visited]))
+        assert len(shuffles) == 1 and plan.count("Bucketed: true") == 2
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 1
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_pages_of_other_hosts_are_not_parsed(spark):
+    from pagescout.operators import frontier as FR
+    from pagescout.plans.crawl import within_reach
+
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(["http://H/1", "http://other/1", "http://listed/x", "no url", "http://[bad"])], "page_id BIGINT, url STRING, html STRING")
+    seeds = FR.seed_frontier(spark.createDataFrame([("http://h/",)], "url STRING"))
+    listed = spark.createDataFrame([("h", "http://listed/y")], "domain STRING, url STRING")
+    kept = {r.url for r in within_reach(pages, seeds, listed).select("url").collect()}
+    assert "http://other/1" not in kept and {"http://H/1", "http://listed/x", "no url"} <= kept
+
+
+def test_copies_of_a_page_give_its_links_once(spark):
+    from pagescout.plans import crawl as C
+
+    copies = spark.range(20_000).select(
+        F.lit("http://h").alias("url_key"), F.col("id").alias("page_id"), F.lit(0).alias("score"), F.lit(False).alias("is_product"), F.array(F.lit("/a"), F.lit("/b"), F.lit("/a#x")).alias("hrefs")
+    )
+    facts = C.page_facts(copies)
+    standing = copies.join(facts.select("url_key", "page_id"), ["url_key", "page_id"], "left_semi")
+    assert {r.dst for r in C.page_edges(standing).collect()} == {"http://h/a", "http://h/b"} and C.page_edges(standing).count() == 2
+
+
+def test_listing_counts_when_it_has_a_weight(spark):
+    pages = [("http://h/", '<a href="/product/plain">x</a>'), ("http://h/product/plain", "x"), ("http://h/product/listed", "x")]
+    maps = [("http://h/sitemap.xml", 200, "<urlset><url><loc>http://h/product/listed</loc></url></urlset>")]
+    base = {r.url_key: r.score for r in crawl(spark, ["http://h/"], pages, (), maps).visited.collect()}
+    more = {r.url_key: r.score for r in crawl(spark, ["http://h/"], pages, (), maps, weights={"in_sitemap": 25}).visited.collect()}
+    assert more["http://h/product/listed"] == base["http://h/product/listed"] + 25
+    assert more["http://h/product/plain"] == base["http://h/product/plain"]
+
+
+def test_a_closed_crawl_leaves_nothing(spark):
+    from pagescout.storage import shared_dir
+
+    def left():
+        folder = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "pagescout"
+        return {p.name for p in folder.glob("*")} | {t.name for t in spark.catalog.listTables()}
+
+    before = left()
+    result = crawl(spark, ["http://h/"], [("http://h/", PRODUCT)], threshold=15)
+    assert product_urls(result) == {("h", "http://h")} and left() > before
+    result.close()
+    assert left() == before
+
+
+def test_job_from_files_to_document(spark, tmp_path):
+    from pagescout import job
+
+    (tmp_path / "seeds.txt").write_text("# shops\nHTTP://H/\n")
+    spark.createDataFrame([(1, "http://h/", '<a href="/product/1">x</a>'), (2, "http://h/product/1", PRODUCT)], "page_id BIGINT, url STRING, html STRING").write.parquet(str(tmp_path / "pages"))
+    job.main(["--seeds", str(tmp_path / "seeds.txt"), "--pages", str(tmp_path / "pages"), "--output", str(tmp_path / "out"), "--threshold", "15"])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert json.loads(text) == {"h": ["http://h/product/1"]}
 
 
 PRODUCTS = [("b.com", "https://b.com/p/2"), ("a.com", "https://a.com/p/1?x=1&y=<\"é"), ("b.com", "https://b.com/p/1"), ("b.com", "https://b.com/p/1")]
@@ -134,3 +207,10 @@ def test_json_lines_and_chunks(spark, tmp_path):
     assert [u for r in rows for u in r.product_urls] == [f"u{i:03}" for i in range(25)] + ["u"]
     small = RP.product_map(RP.product_urls_by_domain(df)).first().products
     assert {k: len(v) for k, v in small.items()} == {"a": 25, "b": 1}
+    assert {k: len(v) for k, v in RP.product_map(RP.product_urls_by_domain(df, 10)).first().products.items()} == {"a": 25, "b": 1}
+    assert RP.product_map(RP.product_urls_by_domain(df, 10)).first().products["a"] == [f"u{i:03}" for i in range(25)]
+
+
+def test_no_products_give_an_empty_object(spark, tmp_path):
+    sinks.write_product_json(spark.createDataFrame([], "domain STRING, url STRING"), str(tmp_path / "none"))
+    assert "".join(p.read_text() for p in sorted(Path(tmp_path / "none").glob("part-*"))) == "{}\n"

@@ -57,7 +57,7 @@ def test_stream_equals_batch(spark, tmp_path):
     path, schema = _landing(spark, tmp_path)
     feed = ST.read_page_stream(spark, path, schema, files_per_trigger=2)
     streamed = ST.run_to_end(ST.stream_product_pages(feed).select("page_id", "score"), "scored")
-    batch = SG.product_pages(SG.page_signals(spark.read.parquet(path))).select("page_id", "score")
+    batch = SG.product_pages(SG.page_signals(spark.read.parquet(path).where("status = 200"))).select("page_id", "score")
     assert streamed.count() == batch.count() > 0
     assert streamed.exceptAll(batch).isEmpty()
 
@@ -70,3 +70,9 @@ def test_stream_dedup(spark, tmp_path):
         fresh = ST.run_to_end(ST.stream_dedup_urls(feed, horizon).select("url_key"), "fresh")
         assert fresh.count() == keys.count()
         assert fresh.exceptAll(keys).isEmpty()
+
+
+def test_a_page_that_was_not_fetched_is_no_product(spark):
+    html = '<html><head><meta property="og:type" content="product"></head></html>'
+    pages = spark.createDataFrame([(1, "https://h/product/1", html, 200), (2, "https://h/product/2", html, 404)], "page_id BIGINT, url STRING, html STRING, status INT")
+    assert [r.page_id for r in ST.stream_product_pages(pages, threshold=15).collect()] == [1]

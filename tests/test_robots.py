@@ -74,3 +74,14 @@ def test_delay_and_groups(spark):
     got = {r.host: r.delay_s for r in R.robots_verdict(urls, R.host_policy(robots), default_delay=1.5).collect()}
     assert got == {"h": 3.0, "i": 1.5}
     assert R.agent_group(robots, "B").first().agent == "b"
+
+
+def test_a_whole_agent_string_names_its_token(spark):
+    body = "User-agent: shopbot\nDisallow: /mine\nCrawl-delay: 7\n\nUser-agent: *\nDisallow: /all"
+    robots = spark.createDataFrame([("h", 200, body)], "host STRING, status INT, body STRING")
+    for agent in ("shopbot", "ShopBot/1.0", "ShopBot/1.0 (+https://e.com)"):
+        assert R.agent_group(robots, agent).first().agent == "shopbot"
+        row = R.host_policy(robots, agent).first()
+        assert [r.path for r in row.rules] == ["/mine"] and row.delay_s == 7
+    plan = R.host_policy(robots, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1

@@ -41,3 +41,12 @@ def test_sitemap_products(spark):
 
 def test_strict_sitemaps_skip_plain_names(spark):
     assert run(spark, strict=True) == {("a", "https://a/p/3"), ("a", "https://a/1")}
+
+
+def test_the_spelling_of_a_seed_does_not_matter(spark):
+    maps = spark.createDataFrame([("https://shop1.com/sitemap.xml", 200, urlset("https://shop1.com/p/1")), ("https://x:8443/sitemap-index.xml", 200, index("HTTPS://X:8443/item.xml#a")), ("https://x:8443/item.xml", 200, urlset("https://x/p"))], "url STRING, status INT, body STRING")
+    for seed in ("https://shop1.com/", "https://SHOP1.com/", "HTTPS://shop1.com", "https://shop1.com/#top", "https://Shop1.com#x"):
+        seeds = FR.seed_frontier(spark.createDataFrame([(seed,)], "url STRING"))
+        assert [r.url for r in SM.sitemap_products(seeds, maps).collect()] == ["https://shop1.com/p/1"], seed
+    seeds = FR.seed_frontier(spark.createDataFrame([("https://X:8443",)], "url STRING"))
+    assert [r.url for r in SM.sitemap_products(seeds, maps).collect()] == ["https://x/p"]

@@ -71,3 +71,18 @@ def test_first_discovery_combines_before_the_shuffle(rows):
     assert "partial_min" in plan and "Window" not in plan
     first = rows.orderBy("depth", "domain", "url").first()
     assert (found.first().url, found.first().depth) == (first.url, first.depth)
+
+
+def test_null_keys_are_spread(spark):
+    left = spark.range(8000).select(F.lit(None).cast("string").alias("host"), "id")
+    lookup = spark.createDataFrame([("a", 1)], "host STRING, v INT")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = skew.salted_join(left, lookup, "host", 500)
+        sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 8000 and max(sizes) < 4000
