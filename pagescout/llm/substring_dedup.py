@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagescout.llm.fm_index import FMIndex, repeated_stretches
@@ -132,7 +132,7 @@ def _count_windows(rows: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, hot: int = HOT_SEGMENTS) -> DataFrame:
     """``key, spans``: for each text of ``docs`` (``key, text``; a row is an occurrence), the word ranges that repeated windows cover.
 
-    Copies in ``docs`` are occurrences. Ranges are ``[from, to)``, one per segment, and may overlap.
+    Copies in ``docs`` are occurrences. Ranges are ``[from, to)``, in order and apart from one another.
     """
     found = _all_segments(docs)
     anchors = found.groupBy("anchor").count().where("count > 1").select("anchor")
@@ -159,9 +159,21 @@ def repeated_passages(docs: DataFrame, hot: int = HOT_SEGMENTS) -> DataFrame:
         shared.join(stretches, ["anchor", "content"])
         .groupBy("key")
         .agg(F.collect_list(F.struct(start.alias("from"), (F.col("start") + F.col("high") + SPAN).alias("to"))).alias("spans"))
+        .select("key", _joined(F.array_sort("spans")).alias("spans"))
     )
 
 
+def _joined(spans: Column) -> Column:
+    """Ranges in order of their start, with those that meet made one."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["from"].alias("from"), F.greatest(last["to"], s["to"]).alias("to"))
+        return F.when(s["from"] <= last["to"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, F.slice(spans, F.lit(1), F.lit(1)), add)
+
+
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_words`` for every row of ``docs``.
 
