@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagescout.functions.steps import settle
 from pagescout.llm.texts import spaced_words
-from pagescout.operators.skew import fits_broadcast, lookup_join
+from pagescout.operators.skew import fits_broadcast, lookup_join, rank_in_group
 from pagescout.storage import materialize
 
 MIN_WORDS = 6
@@ -124,27 +124,28 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("half")
     candidates = materialize(halves.join(shared, "half", "left_semi").select("line").distinct(), "candidates")
     wanted = F.broadcast(candidates) if fits_broadcast(candidates) else candidates
-    near_lines = materialize(
+    candidate_lines = (
         _occurrences(docs, id_col, text_col)
         .join(wanted, "line", "left_semi")
         .groupBy("line")
         .agg(F.min("at").alias("first"), F.first("text").alias("text"))
-        .select("line", "first", words.alias("words")),
-        "near-lines",
+        .select("line", "first", words.alias("words"), F.lit("all").alias("_all"))
     )
-    keyed = variants(near_lines).select("key", "place", "size", "line", "first")
+    # Lines are numbered in order, so the many rows below carry two numbers and no place.
+    near_lines = materialize(rank_in_group(candidate_lines, "_all", ["first"], "id"), "near-lines")
+    keyed = variants(near_lines.select("id", "words")).select("key", "place", "size", "id")
     group = ["key", "place", "size"]
-    heads = keyed.groupBy(*group).agg(F.min(F.struct("first", "line")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = keyed.groupBy(*group).agg(F.min("id").alias("head"), F.max("id").alias("_last")).where("head < _last")
     pairs = (
-        keyed.join(heads.select(*group, F.col("head.line").alias("head")), group)
-        .where(F.col("line") != F.col("head"))
-        .groupBy("line", "head")
+        keyed.join(heads.select(*group, "head"), group)
+        .where(F.col("id") != F.col("head"))
+        .groupBy("id", "head")
         .agg(F.min(F.struct("place", "size")).alias("_v"))
     )
-    ours = near_lines.select("line", F.col("words").alias("_mine"))
-    theirs = near_lines.select(F.col("line").alias("head"), F.col("words").alias("_theirs"))
+    ours = near_lines.select("id", "line", F.col("words").alias("_mine"))
+    theirs = near_lines.select(F.col("id").alias("head"), F.col("words").alias("_theirs"))
     same = _left(F.col("_mine"), F.col("_v.place"), F.col("_v.size")) == _left(F.col("_theirs"), F.col("_v.place"), F.col("_v.size"))
-    near = pairs.join(ours, "line").join(theirs, "head").where(same).select("line").distinct().withColumn("near", F.lit(True))
+    near = pairs.join(ours, "id").join(theirs, "head").where(same).select("line").distinct().withColumn("near", F.lit(True))
     dirty = lines.select("line", "first", "n").join(near, "line", "left").where("near or n > 1").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
     return (
         _occurrences(docs, id_col, text_col)
