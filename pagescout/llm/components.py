@@ -9,24 +9,37 @@ from pagescout.storage import materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, label`` of all nodes of the links ``a, b``; the label is the component's smallest node.
+    """``node, label`` of all nodes of the links ``a, b``; equal labels for one component.
 
-    Every round each node takes the smallest label around it, then the label of its label, so the
-    rounds grow with the logarithm of a component's width. Each round is a written table; the
-    driver only learns how many labels changed.
+    In each round every node follows its smallest neighbour, if that is smaller than itself, down to
+    a node that has none; then the links are redrawn between these, and those within one fall away.
+    At least half of the nodes that still have links go in a round. Rounds are written tables;
+    the driver only learns whether links are left.
     """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
+    edges = materialize(links.select("a", "b").where("a != b").distinct(), "links")
+    labels = None
     while True:
-        near = (
-            both.join(labels, F.col("b") == F.col("node"))
-            .groupBy("a")
-            .agg(F.min("label").alias("near"))
-            .join(labels, F.col("a") == F.col("node"))
-            .select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        )
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        new = materialize(near.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("label")), "labels")
+        ends = edges.union(edges.select(F.col("b"), F.col("a")))
+        down = ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+        roots = _follow(materialize(down, "labels"))
+        if labels is None:
+            labels = roots
+        else:
+            step = roots.select(F.col("node").alias("label"), F.col("label").alias("_further"))
+            labels = labels.join(step, "label", "left").select("node", F.coalesce("_further", "label").alias("label"))
+            labels = materialize(labels, "labels")
+        left = edges.join(roots.select(F.col("node").alias("a"), F.col("label").alias("_a")), "a").select("_a", "b")
+        both = left.join(roots.select(F.col("node").alias("b"), F.col("label").alias("_b")), "b").where("_a != _b")
+        edges = materialize(both.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "links")
+        if edges.isEmpty():
+            return labels
+
+
+def _follow(labels: DataFrame) -> DataFrame:
+    """Labels replaced by the label of their label until none changes; each pass doubles the reach."""
+    while True:
+        next_ = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = materialize(labels.join(next_, "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")), "labels")
         labels = new.select("node", "label")
-        if not new.where("old != label").limit(1).count():
+        if new.where("old != label").isEmpty():
             return labels
