@@ -2,8 +2,8 @@
 
 Two histograms are compared with those of each language by Jensen-Shannon distance: classes of
 characters, and common words. A document fails if it is far from every language. Texts that are
-too short for a histogram are not judged by it. Expressions only; nothing is shuffled but the sums
-that make the references.
+too short for a histogram are not judged by it, nor are those of a language with too little text
+for a reference. Expressions only; nothing is shuffled but the sums that make the references.
 """
 
 from __future__ import annotations
@@ -37,8 +37,12 @@ class Limits:
     words: float = 0.31
     least_chars: int = 200
     least_words: int = 120
-    #: A language is a reference if it has this part of all documents, so there are 64 at most.
-    least_share: float = 1 / 64
+    #: A language is a reference if its good documents have so many words, whatever else is in the table.
+    least_reference_words: int = 5000
+
+
+#: References that are broadcast at one time, about 1 KB each; more of them are met in several passes.
+LANGUAGES_AT_ONCE = 10_000
 
 
 def common_words() -> list[str]:
@@ -109,57 +113,78 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }).withColumn("_base_failed", (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words")))
 
 
-def references(measured: DataFrame, limits: Limits = Limits()) -> list[tuple[str, list[float], list[float]]]:
-    """For each language: its share of each class of characters, and of each common word after all other words.
+def references(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``lang, chars, words``: a language's share of each class of characters, and of each common word after all other words.
 
     Sums over all rows of :func:`measure` (with their ``_lang``) that pass the base rules and are
-    long enough. At most 64 rows of fixed size reach the driver.
+    long enough. A language with fewer than ``least_reference_words`` words in them has no row.
     """
     good = measured.where(F.col("_lang").isNotNull() & ~F.col("_base_failed") & (F.col("_n_words") >= limits.least_words))
-    size = len(common_words())
     narrow = good.select(F.col("_lang").alias("lang"), "_chars", "_n_words", "_seen")
     bins = F.concat(
         F.transform("_chars", lambda c, i: F.struct((-1 - i).alias("bin"), c.cast("long").alias("n"))),
         F.transform("_seen", lambda s: F.struct(s["id"].alias("bin"), s["n"].alias("n"))),
-        F.array(F.struct(F.lit(0).alias("bin"), F.col("_n_words").alias("n")), F.struct(F.lit(-100).alias("bin"), F.lit(1).cast("long").alias("n"))),
+        F.array(F.struct(F.lit(0).alias("bin"), F.col("_n_words").alias("n"))),
     )
     sums = narrow.select("lang", F.inline(bins)).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     per_language = sums.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("bins"))
-    total = measured.count()
-    rows = per_language.where(F.element_at("bins", F.lit(-100)) >= limits.least_share * total).orderBy("lang").limit(int(1 / limits.least_share)).collect()
-    out = []
-    for lang, bins_ in rows:
-        chars = [bins_.get(-1 - i, 0) for i in range(len(CLASSES) + 1)]
-        words = [bins_.get(i, 0) for i in range(1, size + 1)]
-        n = bins_[0]
-        out.append((lang, [c / sum(chars) for c in chars], [(n - sum(words)) / n, *[w / n for w in words]]))
-    return out
 
+    def total(ns: Column) -> Column:
+        return F.aggregate(ns, F.lit(0).cast("long"), lambda a, b: a + b)
+
+    def counts(first: int, last: int) -> Column:
+        return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda i: F.coalesce(F.element_at("bins", i), F.lit(0).cast("long")))
 
-def judge(measured: DataFrame, known: list[tuple[str, list[float], list[float]]], limits: Limits = Limits()) -> DataFrame:
-    """The columns of ``row`` and the verdict on each row of :func:`measure`, against some languages."""
-    out = measured
+    n = F.element_at("bins", F.lit(0))
+    rows = per_language.where(n >= limits.least_reference_words).select(
+        "lang", n.alias("n"), counts(-1, -1 - len(CLASSES)).alias("chars"), counts(1, len(common_words())).alias("words")
+    )
+    return rows.select(
+        "lang",
+        F.transform("chars", lambda c: c / total(F.col("chars"))).alias("chars"),
+        F.concat(F.array((F.col("n") - total(F.col("words"))) / F.col("n")), F.transform("words", lambda w: w / F.col("n"))).alias("words"),
+    )
+
+
+def judge(measured: DataFrame, known: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The columns of ``row`` and the verdict on each row of :func:`measure`, against the languages of ``known``."""
+    known = materialize(known, "references")
+    passes = max(1, -(-known.count() // LANGUAGES_AT_ONCE))
 
     def root(x: Column) -> Column:
         return F.sqrt(F.greatest(x, F.lit(0.0)))
 
-    def distances(chars: list[float], words: list[float]) -> Column:
-        total = F.greatest(F.col("_word_chars") + F.get("_chars", F.lit(1)), F.lit(1))
-        by_char = sum((_divergence(F.get("_chars", F.lit(i)) / total, F.lit(q)) for i, q in enumerate(chars)), F.lit(0.0))
-        share = F.array(*map(F.lit, words))
-        n = F.greatest(F.col("_n_words"), F.lit(1))
-        seen = F.aggregate("_seen", F.lit(0.0), lambda a, s: a + _divergence(s["n"] / n, F.get(share, s["id"])))
-        met = F.aggregate("_seen", F.lit(0.0), lambda a, s: a + F.get(share, s["id"]))
-        other = _divergence((F.col("_n_words") - F.col("_n_common")) / n, F.lit(words[0]))
+    total = F.greatest(F.col("_word_chars") + F.get("_chars", F.lit(1)), F.lit(1))
+    n = F.greatest(F.col("_n_words"), F.lit(1))
+    out = measured.withColumns({
+        "_p": F.transform("_chars", lambda c: c / total),
+        "_q": F.transform("_seen", lambda s: F.struct(s["id"].alias("id"), (s["n"] / n).alias("p"))),
+        "_rest": (F.col("_n_words") - F.col("_n_common")) / n,
+        "_near": F.lit(None).cast("struct<both: double, chars: double, words: double>"),
+        "_own": F.col("_lang").isNull(),
+    })
+    out = settle(out, "_p", "_q", "_rest", "_near", "_own")
+
+    def distances(ref: Column) -> Column:
+        by_char = F.aggregate(F.zip_with("_p", ref["chars"], _divergence), F.lit(0.0), lambda a, x: a + x)
+        seen = F.aggregate("_q", F.lit(0.0), lambda a, s: a + _divergence(s["p"], F.get(ref["words"], s["id"])))
+        met = F.aggregate("_q", F.lit(0.0), lambda a, s: a + F.get(ref["words"], s["id"]))
+        other = F.get(ref["words"], F.lit(0))
         # A word that does not occur adds half of its share.
-        by_word = seen + other + (1 - words[0] - met) / 2
-        return F.struct((root(by_char) + root(by_word)).alias("both"), root(by_char).alias("chars"), root(by_word).alias("words"))
-
-    if known:
-        nearest = F.array_min(F.array(*[distances(c, w) for _, c, w in known]))
-    else:
-        nearest = F.lit(None).cast("struct<both: double, chars: double, words: double>")
-    out = settle(out.withColumn("_near", nearest), "_near")
+        by_word = seen + _divergence(F.col("_rest"), other) + (1 - other - met) / 2
+        return F.struct(root(by_char).alias("chars"), root(by_word).alias("words"))
+
+    def nearest(refs: Column) -> Column:
+        both = F.transform(F.transform(refs, distances), lambda d: F.struct((d["chars"] + d["words"]).alias("both"), d["chars"], d["words"]))
+        return F.array_min(F.array("_near", F.array_min(both).cast(out.schema["_near"].dataType)))
+
+    for i in range(passes):
+        part = known.where(F.pmod(F.xxhash64("lang"), F.lit(passes)) == i).agg(F.collect_list(F.struct("lang", "chars", "words")).alias("_refs"))
+        met = out.crossJoin(F.broadcast(part))
+        own = F.col("_own") | F.array_contains(F.col("_refs.lang"), F.coalesce("_lang", F.lit("")))
+        out = settle(met.withColumns({"_near": nearest(F.col("_refs")), "_own": own}).drop("_refs"), "_near", "_own")
+        if i + 1 < passes:
+            out = materialize(out, "nearest")
     far_chars = (F.col("_word_chars") + F.get("_chars", F.lit(1)) >= limits.least_chars) & (F.col("_near.chars") > limits.chars)
     far_words = (F.col("_n_words") >= limits.least_words) & (F.col("_near.words") > limits.words)
     return out.select(
@@ -172,19 +197,20 @@ def judge(measured: DataFrame, known: list[tuple[str, list[float], list[float]]]
         F.col("_base_failed").alias("base_failed"),
         F.round("_near.chars", 6).alias("char_distance"),
         F.round("_near.words", 6).alias("word_distance"),
-        (~F.col("_base_failed") & ~F.coalesce(far_chars, F.lit(False)) & ~F.coalesce(far_words, F.lit(False))).alias("kept"),
+        (~F.col("_base_failed") & ~(F.col("_own") & F.coalesce(far_chars | far_words, F.lit(False)))).alias("kept"),
     )
 
 
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
 
 
-def apply_rules(docs: DataFrame, limits: Limits = Limits(), lang_col: str = "lang", text_col: str = "text", known: list | None = None, keep: list[str] | None = None) -> DataFrame:
+def apply_rules(docs: DataFrame, limits: Limits = Limits(), lang_col: str = "lang", text_col: str = "text", known: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance, kept``.
 
     The distances are those from the language for which their sum is least, NULL if there is no
     reference. References are ``known`` or come from the documents themselves; rows with a NULL
-    language are judged but make no reference. NULL and empty texts have no words and fail. Rows
+    language are judged but make no reference. Rows of a language without a reference have
+    distances, but only the base rules decide about them. NULL and empty texts have no words and fail. Rows
     are judged one by one; the added columns replace columns of the same names. The text is
     measured once. ``keep`` names the columns of ``docs`` to return, all by default.
     """

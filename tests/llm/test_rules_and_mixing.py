@@ -79,3 +79,27 @@ def test_mixture_keeps_within_one_block(spark):
         ids = [g[3] for g in got if g[2] == s]
         assert ids == sorted(ids)
     assert mixing.interleave(frame(spark, [])).count() == 0
+
+
+def test_languages_of_a_small_share(spark, monkeypatch):
+    rnd = random.Random(3)
+    common = quality_rules.COMMON["en"].split()
+
+    def prose(n):
+        return " ".join(rnd.choice(common) if rnd.random() < 0.5 else "".join(rnd.choice("etaoinshr") for _ in range(6)) for _ in range(n))
+
+    def greek(n):
+        return " ".join("".join(rnd.choice("αβγδεζηθικλμ") for _ in range(5)) for _ in range(n))
+
+    many = [(i, prose(200), "en", "s") for i in range(2600)]
+    # 40 of 2,643 documents have text enough for a reference; the language "xx" has not.
+    some = [(10_000 + i, greek(200), "el", "s") for i in range(40)]
+    some += [(20_000, greek(200).replace("α", "ш"), "xx", "s"), (20_001, prose(200).upper(), "el", "s"), (20_002, "zz " * 300, "xx", "s")]
+    kept = [(r["doc_id"], r["kept"]) for r in quality_rules.apply_rules(frame(spark, many + some)).where("doc_id >= 10000").collect()]
+    assert sorted(i for i, k in kept if not k) == [20_001, 20_002]
+    # The verdict is the same without the rows of other languages beside, and in several passes over the references.
+    few = many[:60] + some
+    whole = sorted(map(tuple, quality_rules.apply_rules(frame(spark, few), keep=["doc_id"]).collect()))
+    assert [(r[0], r[-1]) for r in whole if r[0] >= 10_000] == sorted(kept)
+    monkeypatch.setattr(quality_rules, "LANGUAGES_AT_ONCE", 1)
+    assert sorted(map(tuple, quality_rules.apply_rules(frame(spark, few), keep=["doc_id"]).collect())) == whole
