@@ -151,8 +151,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     """``doc_id, text, label`` of at most ``rows`` labelled documents outside fold 0.
 
     The rows are those with the smallest hash of their id, so the choice repeats and does not
-    follow any order of the input. The list of ids is bounded by ``rows`` and is broadcast; texts
-    are not shuffled. Rows without id, label or text row do not take part.
+    follow any order of the input. The list of ids is bounded by ``rows`` and is broadcast. Of the
+    rows that share an id, the one with the smallest :func:`text_key` stands; they are reduced in
+    each task before they are shuffled. Rows without id, label or text row do not take part.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != 0))
@@ -161,4 +162,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min_by("text", text_key(F.col("text"))).alias("text"))
+    return one.select("doc_id", "text", "label")

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import random
 import zlib
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagescout.llm import interpolated_lm, quality_gam, token_counts, toxicity
-from pagescout.llm.texts import ALNUM, words_of
+from pagescout.llm.texts import ALNUM, labelled_sample, words_of
 
 SF = "/root/testdata/sf0.01"
 ODD = [(None, None), (1, ""), (2, " \n\t "), (3, "a " * 30_000), (3, "a " * 30_000), (4, "x" * 5_000), (5, "Ünïcode ßtraße 漢字 \U0001f600"), (6, "one")]
@@ -182,3 +183,15 @@ def test_weights_maximise_the_likelihood():
     p = lambda l: sum(n * math.log(l[0] * (2.0 ** ((a - 160) / 4) if a else 0) + l[1] * 2.0 ** ((b - 160) / 4) + l[2] * 1e-6) for _, a, b, n in cells)
     r = np.random.default_rng(0)
     assert all(p(weight) > p(other) - 0.5 for other in r.dirichlet([1, 1, 1], 200))
+
+
+def test_an_id_is_sampled_once_however_often_it_stands(spark):
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text {i}") for i in range(40)] + [(train[0], f"other {k % 50}") for k in range(300)] + [(train[1], None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 100)
+    assert got.columns == ["doc_id", "text", "label"]
+    first = {i: min((t or "" for j, t in rows if j == i), key=lambda t: hashlib.md5(t.encode()).digest()) for i in train}
+    assert sorted((r[0], r[1] or "", r[2]) for r in got.collect()) == [(i, first[i], i % 2) for i in train]
+    assert labelled_sample(docs, labels, "quality", 7).count() == 7
