@@ -2,8 +2,8 @@
 
 Of all runs of 5 words in a window of 10, the one with the smallest hash (the last of equal ones)
 is the fingerprint of the window. Equal windows choose the same fingerprint at the same place, so
-every span of 10 or more words shared with an item meets in a join of fingerprints; each hit
-is then extended to its window and compared word by word. An item of fewer than 10 words is one
+every window shared with an item passes a filter of the items' fingerprints. Windows that pass are
+joined on the hash of the whole window and compared word by word. An item of fewer than 10 words is one
 window of its own length, and is its own fingerprint.
 """
 
