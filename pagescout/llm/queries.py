@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescout.llm import decontaminate, interpolated_lm, line_dedup, mixing, ngram_join, quality_gam, quality_rules, substring_dedup, token_counts, toxicity
+from pagescout.llm import (
+    conversation_repair,
+    decontaminate,
+    interpolated_lm,
+    line_dedup,
+    mixing,
+    ngram_join,
+    piece_encoding,
+    quality_gam,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -199,3 +212,64 @@ FROM d LEFT JOIN lists USING (r) LEFT JOIN left_over USING (r)
 @query
 def op6_interpolated_lm(spark: SparkSession, sf: str) -> DataFrame:
     return interpolated_lm.score_by_fold(table(spark, sf, "documents"))
+
+
+@query
+def op11_piece_encoding(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = piece_encoding.encode_texts(table(spark, sf, "documents"))
+    return piece_encoding.digest(piece_encoding.decode_ids(encoded))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations")
+    return conversation_repair.repair(conversations, conversation_repair.damage(conversations))
+
+
+# The least cost and audit from every state of the grammar, row by row from the last one back. The
+# check sum is the usual table-driven one; its table follows from the reversed polynomial.
+ORACLE["op12_conversation_repair"] = r"""
+WITH RECURSIVE crc_table AS (SELECT [list_reduce([n] || [0 for x in range(8)], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) for n in range(256)] AS t),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS key FROM conversations),
+summed AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce([4294967295] || [ord(c)::BIGINT for c in key],
+  lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) % 20 AS kind FROM src, crc_table),
+rows_ AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM summed WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM rows_),
+judged AS (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS i,
+  CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+       WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 'blank')::BIGINT) AS blank,
+  sum((fault = 'duplicate')::BIGINT) AS duplicate, sum((fault = 'truncated')::BIGINT) AS truncated, list(i ORDER BY pos) AS initials,
+  list({'i': i, 'fault': fault, 'role': role, 'text': text} ORDER BY pos) AS r FROM judged GROUP BY conv_id),
+moves(s, r, n) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ways AS (SELECT s, s AS n, 0 AS c, '' AS a FROM range(4) x(s) UNION ALL
+  SELECT w.s, m.n, c + 5, a || 'I' FROM ways w JOIN moves m ON m.s = w.n AND m.r <> 's' WHERE len(a) < 2),
+edits AS (
+  SELECT DISTINCT w.s, i, cut, m.n, w.c + 5 * cut + e.c AS c, a || e.e AS a FROM ways w JOIN moves m ON m.s = w.n, (VALUES ('s'), ('u'), ('a'), ('o')) x(i),
+    (VALUES (0), (1)) y(cut), (VALUES ('K', 0), ('R', 1)) e(e, c) WHERE CASE e.e WHEN 'K' THEN m.r = i ELSE m.r <> 's' END
+  UNION ALL SELECT s, i, cut, s, 2, 'D' FROM range(4) x(s), (VALUES ('s'), ('u'), ('a'), ('o'), ('x')) z(i), (VALUES (0), (1)) y(cut)),
+e AS (SELECT list({'s': s, 'i': i, 'cut': cut, 'n': n, 'c': c, 'a': a}) AS e FROM edits),
+back AS (
+  SELECT conv_id, len(r) AS k, [{'c': 0, 'a': ''}, {'c': 10, 'a': 'II'}, {'c': 5, 'a': 'I'}, {'c': 0, 'a': ''}] AS v FROM counted
+  UNION ALL
+  SELECT conv_id, k - 1, [list_min([{'c': x.c + v[x.n + 1].c, 'a': x.a || v[x.n + 1].a} for x in e
+      if x.s = s AND x.i = CASE WHEN r[k].fault IN ('blank', 'duplicate') THEN 'x' ELSE r[k].i END AND x.cut = (r[k].fault = 'truncated')::INT]) for s in range(4)]
+  FROM back JOIN counted USING (conv_id), e WHERE k > 0),
+best AS (SELECT conv_id, v[1].c AS cost, v[1].a AS audit, regexp_extract_all(v[1].a, 'I*[DKR]') AS steps, len(regexp_extract(v[1].a, 'I*$')) AS extra FROM back WHERE k = 0),
+edited AS (SELECT conv_id, j, 'IIII'[1:len(steps[j]) - 1] || CASE WHEN steps[j][-1] = 'D' THEN '' ELSE steps[j][-1] END AS e, r[j] AS row
+  FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS j FROM best JOIN counted USING (conv_id))
+  UNION ALL SELECT conv_id, 1000000000000, repeat('I', extra), NULL FROM best),
+lines AS (SELECT conv_id, j, t, e[t] AS e, row, row_number() OVER (PARTITION BY conv_id ORDER BY j, t) AS place FROM (SELECT *, unnest(range(1, len(e) + 1)) AS t FROM edited)),
+spoken AS (SELECT conv_id, string_agg(CASE e WHEN 'K' THEN row.role ELSE CASE WHEN (place - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE e WHEN 'I' THEN '' ELSE row.text END,
+    chr(10) ORDER BY place) AS said
+  FROM (SELECT *, max((place = 1 AND e = 'K' AND row.i = 's')::INT) OVER (PARTITION BY conv_id) AS sys FROM lines) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(len([1 for k in range(1, len(initials)) if initials[k] || initials[k + 1] NOT IN ('su', 'ua', 'au')]), 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN spoken s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
