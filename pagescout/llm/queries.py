@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescout.llm import (
+    collocations,
     conversation_repair,
     decontaminate,
     interpolated_lm,
@@ -239,9 +240,11 @@ rows_ AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS ro
   unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM summed WHERE kind <> 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM rows_),
 judged AS (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS i,
-  CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+  CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
-       WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+       WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
 counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 'blank')::BIGINT) AS blank,
   sum((fault = 'duplicate')::BIGINT) AS duplicate, sum((fault = 'truncated')::BIGINT) AS truncated, list(i ORDER BY pos) AS initials,
   list({'i': i, 'fault': fault, 'role': role, 'text': text} ORDER BY pos) AS r FROM judged GROUP BY conv_id),
@@ -273,3 +276,26 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
   LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN spoken s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 """
+
+
+@query
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+ORACLE["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+x AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS g, count(*) AS a FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i
+  FROM x, (VALUES (1::BIGINT), (2), (3)) t(s) WHERE len(w) >= s) GROUP BY ALL),
+f AS (SELECT *, string_split(g, ' ') AS w FROM g WHERE a >= 10),
+cut AS (SELECT lang, s, g, a, k, array_to_string(w[1:k], ' ') AS gl, array_to_string(w[k + 1:], ' ') AS gr FROM (SELECT *, unnest(range(1, s)) AS k FROM f WHERE s > 1)),
+scored AS (SELECT cut.*, x.a AS l, y.a AS r, (1000000::HUGEINT * cut.a * cut.a) // (x.a::HUGEINT * y.a) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = gl JOIN f y ON y.lang = cut.lang AND y.g = gr),
+best AS (SELECT lang, s, g, a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS c FROM scored GROUP BY ALL),
+inside AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS g, a FROM f WHERE s = 3) GROUP BY ALL),
+ranked AS (SELECT lang, g AS phrase, a, c.l AS l, c.r AS r, c.score AS score, row_number() OVER (PARTITION BY lang ORDER BY c.score DESC, a DESC, g) AS rank
+  FROM best LEFT JOIN inside USING (lang, g) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN (SELECT lang, sum(a) AS n FROM g WHERE s = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
