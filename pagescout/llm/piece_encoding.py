@@ -14,15 +14,14 @@ Models are read, never trained.
 from __future__ import annotations
 
 import codecs
+import re
 import struct
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +31,8 @@ from pagescout.llm.texts import text_chunks
 SPACE = "▁"
 #: Kinds of pieces in a model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Words and token pairs kept per Python worker; beyond it the stores start anew, which changes no result.
-KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH = 500_000, 1_000_000, 48
+#: Words (in each of two generations) and token pairs kept per Python worker; it changes no result what is kept.
+KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH = 400_000, 1_000_000, 48
 
 # Bytes that are no character: each becomes one replacement character.
 codecs.register_error("pagescout_each_byte", lambda e: ("�", e.start + 1))
@@ -96,14 +95,15 @@ class PieceModel:
         self.token_ids = [(self.ids[t],) if t in self.ids else self._byte_ids(t) for t in self.tokens]
         self.matcher = ahocorasick.Automaton()
         for token, i in number.items():
-            self.matcher.add_word(token, i)
+            self.matcher.add_word(token, (i, len(token) - 1))
         self.matcher.make_automaton()
         # Words end before a space mark that follows anything else and around control characters
         # without pieces, if no piece reaches over such a place.
-        alone = regex.escape("".join(c for c in map(chr, range(32)) if c not in letters))
+        alone = re.escape("".join(c for c in map(chr, range(32)) if c not in letters))
         crossing = any(SPACE in n.lstrip(SPACE) for n in self.score)
-        self.words = regex.compile("(?s:.+)" if crossing else f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
-        self.known: dict[str, array] = {}
+        self.words = re.compile("(?s:.+)" if crossing else f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -138,21 +138,15 @@ class PieceModel:
         """
         size, length, pairs, many = len(word), self.length, self.pairs, len(self.tokens)
         longest = [0] * size
-        for end, token in self.matcher.iter(word):  # ends ascend, so the longest one stays
-            longest[end + 1 - length[token]] = token
-        failed, any_failed = bytearray((size >> 3) + 1), False
+        for end, (token, back) in self.matcher.iter(word):  # ends ascend, so the longest one stays
+            longest[end - back] = token
+        failed = None
         out: list[int] = []
         at, token, last = 0, longest[0], -1
         while True:
             end = at + length[token]
-            if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
-                if last < 0:
-                    fits = True
-                else:
-                    fits = pairs.get(last * many + token)
-                    if fits is None:
-                        fits = self.fit(last, token)
-                if fits:
+            if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                if last < 0 or (fits := pairs.get(last * many + token)) or (fits is None and self.fit(last, token)):
                     out.append(token)
                     if end == size:
                         return out
@@ -160,39 +154,39 @@ class PieceModel:
                     continue
             token = self.shorter[token]
             if token < 0:  # nothing can stand here: the predecessor has to be shorter
+                failed = failed or bytearray((size >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                any_failed = True
                 token = out.pop()
                 at -= length[token]
                 last = out[-1] if out else -1
 
-    def word_ids(self, word: str) -> array:
+    def word_ids(self, word: str) -> tuple[int, ...]:
         """Ids of a word. Characters that no piece has stand alone and become their bytes."""
-        ids, out = self.token_ids, array("i")
-        for known, part in groupby(word, self.letters.__contains__):
-            if known:
-                for token in self.cover("".join(part)):
-                    out.extend(ids[token])
-            else:
-                for c in part:
-                    out.extend(self._byte_ids(c))
-        return out
+        ids = self.token_ids
+        if self.letters.issuperset(word):
+            found = [ids[token] for token in self.cover(word)]
+        else:
+            found = []
+            for known, part in groupby(word, self.letters.__contains__):
+                found += [ids[token] for token in self.cover("".join(part))] if known else map(self._byte_ids, part)
+        return tuple(chain.from_iterable(found))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without marks of its beginning or end."""
         if not text:
             return []
-        known, out = self.known, []
-        for word in self.words.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(word)
+        words = self.words.findall(SPACE + text.replace(" ", SPACE))
+        parts = list(map(self.known.get, words))
+        for i, ids in enumerate(parts):
             if ids is None:
-                ids = self.word_ids(word)
+                word = words[i]
+                # The word may have come up in this text before, or in the generation before.
+                ids = parts[i] = self.known.get(word) or self.older.get(word) or self.word_ids(word)
                 if len(word) <= KNOWN_LENGTH:
-                    if len(known) >= KNOWN_WORDS:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return out
+                    if len(self.known) >= KNOWN_WORDS:
+                        self.known, self.older = {}, self.known
+                    self.known[word] = ids
+        return list(chain.from_iterable(parts))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids. The space that encoding puts in front is taken off again."""
