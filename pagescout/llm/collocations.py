@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagescout.llm.decontaminate import passes, print_filter
-from pagescout.llm.texts import CHUNK_BYTES, Words, mix, signed, words_of
+from pagescout.llm.texts import Words, mix, signed, words_of
 from pagescout.operators.skew import first_n_per_group, lookup_join
 from pagescout.storage import materialize
 
@@ -37,6 +37,9 @@ SAMPLE, LEAST_IN_SAMPLE = 4, 2
 #: Bits of a filter of proposals: 32 a phrase within these bounds (64 MB at most).
 FILTER_BITS = (1 << 20, 1 << 29)
 
+#: Text handled at one time inside a task, in bytes; one longer piece makes a chunk of its own.
+CHUNK_BYTES = 1 << 19
+
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_BREAK
