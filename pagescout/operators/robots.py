@@ -161,28 +161,94 @@ def path_and_query(url: Column) -> Column:
     return F.concat(F.when(path == "", "/").otherwise(U.escape_path(path)), U.url_query(url))
 
 
-def rule_matches(target: Column, path: Column) -> Column:
-    """Rule path is a prefix of the target; ``*`` stands for any text, a final ``$`` for its end."""
-    quoted = F.regexp_replace(F.regexp_replace(path, r"\$$", ""), r"([\\.+?^$|()\[\]{}])", r"\\$1")
-    pattern = F.concat(
-        F.lit("(?s)^"),
-        F.replace(quoted, F.lit("*"), F.lit(".*")),
-        F.when(path.endswith("$"), r"\z").otherwise(""),
-    )
-    return F.when(path.contains("*") | path.endswith("$"), F.rlike(target, pattern)).otherwise(
-        target.startswith(path)
+def rule_index(policy: DataFrame) -> DataFrame:
+    """A policy whose ``rules`` are laid out for lookups, one row per host as before.
+
+    ``plain`` and ``exact`` are sorted rules without wild cards (``exact`` ones ended in ``$``), ``lengths`` the
+    lengths of plain paths; ``wild`` has the rules with ``*``, cut at it, the strongest rule first.
+    """
+    rules = F.coalesce("rules", F.array().cast(policy.schema["rules"].dataType))
+
+    def path(r: Column) -> Column:
+        return F.regexp_replace(r["path"], r"\$$", "")
+
+    def entry(r: Column) -> Column:
+        return F.struct(path(r).alias("path"), r["path_len"].alias("path_len"), r["allow"].alias("allow"))
+
+    def wild(r: Column) -> Column:
+        return F.struct(
+            r["path_len"].alias("path_len"), r["allow"].alias("allow"),
+            F.split(path(r), r"\*").alias("pieces"), r["path"].endswith("$").alias("anchored"),
+        )
+
+    literal = F.filter(rules, lambda r: ~r["path"].contains("*"))
+    plain = F.filter(literal, lambda r: ~r["path"].endswith("$"))
+    return policy.select(
+        "host",
+        "policy",
+        F.array_sort(F.transform(plain, entry)).alias("plain"),
+        F.array_sort(F.transform(F.filter(literal, lambda r: r["path"].endswith("$")), entry)).alias("exact"),
+        F.array_distinct(F.transform(plain, lambda r: F.length(r["path"]))).alias("lengths"),
+        F.sort_array(F.transform(F.filter(rules, lambda r: r["path"].contains("*")), wild), asc=False).alias("wild"),
+        "delay_s",
     )
 
 
-def allowed_by(policy: Column, rules: Column, target: Column) -> Column:
-    """The longest matching rule decides, Allow wins a tie, no rule means allowed."""
-    best = F.array_max(
-        F.transform(
-            F.filter(rules, lambda r: rule_matches(target, r["path"])),
-            lambda r: F.struct(r["path_len"].alias("path_len"), r["allow"].alias("allow")),
+def wild_matches(target: Column, pieces: Column, anchored: Column) -> Column:
+    """Whether the pieces stand in the target in this order, the first at its start, the last at its end if ``anchored``.
+
+    Each piece is taken at its first place behind the piece before it; that leaves most room for the rest, so
+    nothing is tried twice.
+    """
+    last = F.element_at(pieces, -1)
+    between = F.slice(pieces, 2, F.greatest(F.size(pieces) - F.when(anchored, 2).otherwise(1), F.lit(0)))
+
+    def behind(at: Column, piece: Column) -> Column:
+        found = F.position(piece, target, at)
+        return F.when((at == 0) | (piece == ""), at).when(found == 0, 0).otherwise(found + F.length(piece))
+
+    at = F.aggregate(between, F.length(pieces[0]) + 1, behind)
+    room = (at > 0) & (~anchored | (target.endswith(last) & (F.length(target) - F.length(last) + 1 >= at)))
+    return target.startswith(pieces[0]) & room
+
+
+def _lookup(entries: Column, key: Column) -> Column:
+    """The strongest entry with this path in entries sorted by path, by halving; NULL without one."""
+    size = F.size(entries)
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = ((state["low"] + state["high"] + 1) / 2).cast("int")
+        below = entries[middle - 1]["path"] <= key
+        done = state["low"] >= state["high"]
+        return F.struct(
+            F.when(~done & below, middle).otherwise(state["low"]).alias("low"),
+            F.when(~done & ~below, middle - 1).otherwise(state["high"]).alias("high"),
         )
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(size)))
+    count = F.aggregate(steps, F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda state: state["low"])
+    hit = F.filter(F.slice(entries, F.greatest(count, F.lit(1)), 1), lambda e: e["path"] == key)
+    return F.transform(hit, lambda e: F.struct(e["path_len"].alias("path_len"), e["allow"].alias("allow")))
+
+
+def allowed_by(target: Column) -> Column:
+    """The longest matching rule of a :func:`rule_index` decides, Allow wins a tie, no rule means allowed.
+
+    Plain rules cost one lookup for each length that the rules of the host have, not one comparison a rule.
+    """
+    strength = "struct<path_len: int, allow: boolean>"
+    fitting = F.filter("lengths", lambda n: n <= F.length(target))
+    plain = F.flatten(F.transform(fitting, lambda n: _lookup(F.col("plain"), F.left(target, n))))
+    exact = _lookup(F.col("exact"), target)
+    wild = F.aggregate(
+        "wild",
+        F.lit(None).cast(strength),
+        lambda best, r: F.when(best.isNotNull(), best).when(
+            wild_matches(target, r["pieces"], r["anchored"]), F.struct(r["path_len"].alias("path_len"), r["allow"].alias("allow"))
+        ),
     )
-    return F.when(policy == "disallow_all", False).otherwise(F.coalesce(best["allow"], F.lit(True)))
+    best = F.array_max(F.concat(plain, exact, F.array(wild)))
+    return F.when(F.col("policy") == "disallow_all", False).otherwise(F.coalesce(best["allow"], F.lit(True)))
 
 
 def robots_verdict(
@@ -193,18 +259,19 @@ def robots_verdict(
 ) -> DataFrame:
     """Adds ``host``, ``allowed`` and ``delay_s`` to a table with a ``url`` column.
 
-    ``policy`` comes from :func:`host_policy`. Hosts without a robots file allow everything.
+    ``policy`` comes from :func:`host_policy` or :func:`rule_index`. Hosts without a robots file allow everything.
     The rules of a host arrive as one array, so the join keeps the number of rows.
     """
     keep = [c for c in urls.columns if c != "host"]
     placed = urls.withColumns(
         {"host": U.url_host(F.col("url")), "_target": path_and_query(F.col("url"))}
     )
-    joined = lookup_join(placed, policy, "host", **join_options)
+    indexed = policy if "lengths" in policy.columns else rule_index(policy)
+    joined = lookup_join(placed, indexed, "host", **join_options)
     judged = joined.select(
         *keep,
         "host",
-        allowed_by(F.col("policy"), F.col("rules"), F.col("_target")).alias("allowed"),
+        allowed_by(F.col("_target")).alias("allowed"),
         F.coalesce(F.col("delay_s"), F.lit(float(default_delay))).alias("delay_s"),
     )
     return settle(judged, "allowed")

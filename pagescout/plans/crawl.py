@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagescout import settings as S
 from pagescout.functions import urls as U
 from pagescout.operators import frontier as FR
-from pagescout.operators.robots import host_policy, robots_verdict
+from pagescout.operators.robots import host_policy, robots_verdict, rule_index
 from pagescout.operators.signals import SIGNALS, SignalBuilder, scored_pages
 from pagescout.operators.sitemaps import sitemap_products
 from pagescout.sources.tables import scan_pages, scan_robots
@@ -146,7 +146,7 @@ def crawl_closure(
 
 
 def _crawl(seeds, pages, robots, sitemaps, o: CrawlOptions) -> tuple[DataFrame, DataFrame | None]:
-    policy = materialize(host_policy(scan_robots(robots), o.user_agent), "policy")
+    policy = materialize(rule_index(host_policy(scan_robots(robots), o.user_agent)), "policy")
     policy_fits = fits_broadcast(policy)
     frontier = materialize(FR.seed_frontier(seeds), "seeds")
     listed = materialize(sitemap_products(frontier, sitemaps, o.strict_sitemaps), "listed")

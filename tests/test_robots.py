@@ -1,7 +1,11 @@
+import random
+import time
+
 import pytest
 
 from pagescout.operators import robots as R
 from pagescout.sources.tables import scan_robots
+from pagescout.storage import materialize
 
 CASES = [
     # body, status, path, allowed
@@ -85,3 +89,52 @@ def test_a_whole_agent_string_names_its_token(spark):
         assert [r.path for r in row.rules] == ["/mine"] and row.delay_s == 7
     plan = R.host_policy(robots, "x")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode") == 1
+
+
+def fits(rule, target):
+    """The rule read character by character, every way of filling a star tried once."""
+    anchored, rule = rule.endswith("$"), rule[:-1] if rule.endswith("$") else rule
+    places = {0}
+    for c in rule:
+        if c == "*":
+            places = set(range(min(places), len(target) + 1)) if places else places
+        else:
+            places = {p + 1 for p in places if p < len(target) and target[p] == c}
+    return len(target) in places if anchored else bool(places)
+
+
+def test_rules_equal_plain_matching(spark):
+    rnd = random.Random(5)
+    word = lambda letters, n: "/" + "".join(rnd.choice(letters) for _ in range(rnd.randint(0, n)))
+    hosts, urls = [], []
+    for h in range(120):
+        rules = [(rnd.random() < 0.5, word("ab/*$" if rnd.random() < 0.6 else "ab/", 6) + rnd.choice(["", "", "$", "*"])) for _ in range(rnd.randint(1, 30))]
+        hosts.append((f"h{h}.com", 200, "\n".join(["User-agent: *", *(f"{'Allow' if a else 'Disallow'}: {p}" for a, p in rules)])))
+        for _ in range(12):
+            path = word("ab/$", 8)
+            best = max(((len(p), a) for a, p in rules if fits(p, path)), default=(0, True))
+            urls.append((len(urls), f"https://h{h}.com{path}", best[1]))
+    robots = scan_robots(spark.createDataFrame(hosts, "host STRING, status INT, body STRING"))
+    table = spark.createDataFrame(urls, "i INT, url STRING, expected BOOLEAN")
+    judged = R.robots_verdict(table, R.host_policy(robots))
+    assert judged.where("allowed != expected").take(3) == [] and judged.count() == len(urls)
+
+
+def test_many_stars_take_no_time(spark):
+    rule = "/" + "*a" * 20 + "*b"
+    robots = spark.createDataFrame([("h", 200, f"User-agent: *\nDisallow: {rule}")], "host STRING, status INT, body STRING")
+    urls = spark.createDataFrame([("https://h/" + "a" * 2000,), ("https://h/" + "a" * 2000 + "b",)], "url STRING")
+    R.robots_verdict(urls.limit(0), R.host_policy(robots)).collect()
+    start = time.monotonic()
+    got = {r.url[-1]: r.allowed for r in R.robots_verdict(urls, R.host_policy(robots)).collect()}
+    assert got == {"a": True, "b": False} and time.monotonic() - start < 10
+
+
+def test_ten_thousand_rules_cost_a_few_lookups(spark):
+    lines = [f"{'Allow' if i % 3 == 0 else 'Disallow'}: /section-{i:05d}/" for i in range(10_000)]
+    robots = spark.createDataFrame([("h", 200, "\n".join(["User-agent: *", *lines]))], "host STRING, status INT, body STRING")
+    policy = materialize(R.rule_index(R.host_policy(robots)), "policy")
+    urls = spark.range(20_000).selectExpr("id", "concat('https://h/section-', lpad(cast(id % 10000 as string), 5, '0'), '/x') AS url")
+    start = time.monotonic()
+    wrong = R.robots_verdict(urls, policy).where("allowed != (id % 10000 % 3 = 0)").count()
+    assert wrong == 0 and time.monotonic() - start < 20
