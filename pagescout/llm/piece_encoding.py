@@ -21,7 +21,9 @@ from functools import lru_cache
 from itertools import chain, groupby
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ SPACE = "▁"
 #: Kinds of pieces in a model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Words (in each of two generations) and token pairs kept per Python worker; it changes no result what is kept.
-KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH = 400_000, 1_000_000, 48
+KNOWN_WORDS, KNOWN_PAIRS, KNOWN_LENGTH = 300_000, 500_000, 48
 
 # Bytes that are no character: each becomes one replacement character.
 codecs.register_error("pagescout_each_byte", lambda e: ("�", e.start + 1))
@@ -84,6 +86,7 @@ class PieceModel:
         unknown = trainer.get(44, b" \xe2\x81\x87 ")
         spoken = {NORMAL: lambda n: n.replace(SPACE, " ").encode(), UNKNOWN: lambda n: unknown, CONTROL: lambda n: b"", BYTE: lambda n: bytes([int(n[3:5], 16)])}
         self.spoken = [spoken[k](n) for n, k in zip(names, kinds, strict=True)]
+        self.spoken_column = pa.array(self.spoken, pa.binary())
         self.begins = [k == NORMAL and n.startswith(SPACE) for n, k in zip(names, kinds, strict=True)]
         # Tokens that merging can make; a character that stands in longer pieces only is one, too.
         self.letters = letters = {c for n in self.score for c in n}
@@ -171,10 +174,9 @@ class PieceModel:
                 found += [ids[token] for token in self.cover("".join(part))] if known else map(self._byte_ids, part)
         return tuple(chain.from_iterable(found))
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, without marks of its beginning or end."""
+    def _encoded(self, text: str) -> Iterator[int]:
         if not text:
-            return []
+            return iter(())
         words = self.words.findall(SPACE + text.replace(" ", SPACE))
         parts = list(map(self.known.get, words))
         for i, ids in enumerate(parts):
@@ -186,11 +188,31 @@ class PieceModel:
                     if len(self.known) >= KNOWN_WORDS:
                         self.known, self.older = {}, self.known
                     self.known[word] = ids
-        return list(chain.from_iterable(parts))
+        return chain.from_iterable(parts)
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text, without marks of its beginning or end."""
+        return list(self._encoded(text))
+
+    def encode_all(self, texts: list[str]) -> pa.ListArray:
+        """Ids of each text, as an Arrow column."""
+        ids = [np.fromiter(self._encoded(t), np.int32) for t in texts]
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids. The space that encoding puts in front is taken off again."""
-        data = b"".join(map(self.spoken.__getitem__, ids))
+        return self._text(ids, b"".join(map(self.spoken.__getitem__, ids)))
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """:meth:`decode` of each list of an Arrow column without NULL."""
+        ends = ids.offsets.to_numpy()
+        flat = ids.values.slice(ends[0], ends[-1] - ends[0])
+        pieces = pa.ListArray.from_arrays(pa.array(ends - ends[0]), self.spoken_column.take(flat))
+        joined, flat = pc.binary_join(pieces, pa.scalar(b"")).to_pylist(), flat.to_numpy()
+        return pa.array([self._text(flat[a:b], data) for a, b, data in zip(ends[:-1] - ends[0], ends[1:] - ends[0], joined, strict=True)], pa.string())
+
+    def _text(self, ids: list[int] | np.ndarray, data: bytes) -> str:
         first = next((i for i in ids if self.spoken[i]), None)
         if first is not None and self.begins[first]:
             data = data[1:]
@@ -222,7 +244,7 @@ def encode_texts(docs: DataFrame, file: str | None = None, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(file)
         for part, texts in text_chunks(batches):
-            ids = pa.array([model.encode((t or b"").decode("utf-8", "replace")) for t in texts], pa.list_(pa.int32()))
+            ids = model.encode_all([(t or b"").decode("utf-8", "replace") for t in texts])
             yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -242,8 +264,7 @@ def decode_ids(encoded: DataFrame, file: str | None = None, id_col: str = "doc_i
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = pa.array([model.decode(ids) for ids in part.column(1).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, model.decode_all(part.column(1))], names=["doc_id", "ids", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
