@@ -20,6 +20,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ LEAST = 10
 LONGEST = 3
 #: One of so many documents is in the sample; a phrase is proposed with so many occurrences there.
 SAMPLE, LEAST_IN_SAMPLE = 4, 2
-#: Bits of a filter of proposals: 32 a phrase within these bounds (64 MB at most).
-FILTER_BITS = (1 << 20, 1 << 29)
+#: Bits of a filter of proposals within these bounds (64 MB at most), and bits a phrase.
+FILTER_BITS, BITS_EACH = (1 << 20, 1 << 29), 8
 
 #: Text handled at one time inside a task, in bytes; one longer piece makes a chunk of its own.
 CHUNK_BYTES = 1 << 19
@@ -136,13 +137,13 @@ def _count_chunk(lang: bytes, texts: list[bytes], longest: int, filters: list[li
         yield pa.array([lang.decode() + "\n"]), 0, np.array([size.size])
 
 
-def _count(rows: DataFrame, longest: int, filters: list[list[np.ndarray]] | None = None) -> DataFrame:
+def _count(rows: DataFrame, longest: int, filters: list[Broadcast] | None = None) -> DataFrame:
     """``key, size, a``: phrases (language, line feed, words) with their occurrences; size 0 counts the words of a language."""
-    shared = rows.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = filters and [f.value for f in filters]
         for lang, texts in _chunks(batches):
-            for key, n, count in _count_chunk(lang, texts, longest, shared.value):
+            for key, n, count in _count_chunk(lang, texts, longest, flags):
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(key), n, np.int32)), pa.array(count, pa.int64())], names=["key", "size", "a"])
 
     return rows.mapInArrow(run, "key string, size int, a long").groupBy("key", "size").agg(F.sum("a").alias("a"))
@@ -178,26 +179,26 @@ def common_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST,
     proposed = materialize(_prints(_count(docs.where(in_sample & docs[text_col].isNotNull()).select(*columns), longest - 1).where(F.col("a") >= LEAST_IN_SAMPLE)), "proposals")
     found, filters = None, []
     for n_pass in range(longest):
-        filters.append([print_filter(proposed.where(F.col("size") == n).select("print"), FILTER_BITS) for n in range(1, longest)])
-        counted = _count(rows, longest, filters).where((F.col("a") >= least) | (F.col("size") == 0))
+        flags = [print_filter(proposed.where(F.col("size") == n).select("print"), FILTER_BITS, BITS_EACH) for n in range(1, longest)]
+        filters.append(docs.sparkSession.sparkContext.broadcast(flags))
+        counted = _count(rows, longest, list(filters)).where((F.col("a") >= least) | (F.col("size") == 0))
         new = materialize(counted, f"phrases-{n_pass}")
         found = new if found is None else found.unionByName(new)
-        failed = materialize(_failures(new.where(F.col("size").between(1, longest - 1)), filters), "failures")
+        failed = materialize(_failures(new.where(F.col("size").between(1, longest - 1)), filters[-1]), "failures")
         if failed.isEmpty():
             break
         proposed = proposed.unionByName(failed)
     return found
 
 
-def _failures(common: DataFrame, filters: list[list[np.ndarray]]) -> DataFrame:
-    """Of the common phrases, those that the last filter does not let pass."""
-    shared = common.sparkSession.sparkContext.broadcast(filters[-1])
+def _failures(common: DataFrame, flags_of_all: Broadcast) -> DataFrame:
+    """Of the common phrases, those that the filters do not let pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, print_ = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
             out = np.ones(size.size, bool)
-            for n, flags in enumerate(shared.value, 1):
+            for n, flags in enumerate(flags_of_all.value, 1):
                 mine = size == n
                 out[mine] = ~passes(flags, print_[mine])
             yield batch.filter(pa.array(out))

@@ -89,10 +89,10 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     )
 
 
-def print_filter(prints: DataFrame, size: tuple[int, int] = FILTER_BITS) -> np.ndarray:
+def print_filter(prints: DataFrame, size: tuple[int, int] = FILTER_BITS, each: int = 32) -> np.ndarray:
     """Bits of a filter that lets every fingerprint of ``prints`` pass, in size between two bounds, whatever their number is."""
     low, high = size
-    bits = min(max(low, 1 << (32 * prints.count()).bit_length()), high)
+    bits = min(max(low, 1 << (each * prints.count()).bit_length()), high)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         flags = np.zeros(_SLICE_BITS, np.uint8)
