@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from pagescout import settings as S
 from pagescout.functions import urls as U
+from pagescout.functions.steps import count_up_to
 from pagescout.operators.skew import first_n_per_group, fits_broadcast, rank_in_group, salted_join
+from pagescout.storage import materialize
 
 COLUMNS = ["url", "depth", "domain", "url_key", "src"]
 
@@ -121,6 +123,42 @@ def frontier_cap(frontier: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return kept, frontier.join(kept.select("url_key", "domain"), ["url_key", "domain"], "left_anti")
 
 
+def round_bound(frontier: DataFrame, n: int, ranges: int = 1000, at_once: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """``(kept, dropped)`` with the first ``n`` rows of a whole round by depth, then URL.
+
+    ``frontier`` has each ``url_key`` once. The last key that stays is found by counting: rows by depth, then the rows of
+    the deciding depth in ``ranges`` ranges of URLs, then those of the deciding range again, until at most
+    ``at_once`` URLs are left to be sorted. What stays is one filter on the rows; nothing is sorted as a whole.
+    """
+    keys = materialize(frontier.select("depth", "url_key"), "round-keys")
+    left, last_depth = n, None
+    for row in keys.groupBy("depth").count().orderBy("depth").collect():  # as many as the crawl has depths
+        last_depth = row["depth"]
+        if left <= row["count"]:
+            break
+        left -= row["count"]
+    else:
+        return frontier, frontier.where("false")
+    keys, last_key = keys.where(F.col("depth") == last_depth).select("url_key"), None
+    while left > 0:
+        size = keys.count()
+        if size <= at_once:
+            last_key = keys.orderBy("url_key").limit(left).collect()[-1][0]
+            break
+        sample = keys.orderBy(F.xxhash64("url_key"), "url_key").limit(ranges).collect()
+        bounds = sorted((r[0] for r in sample), key=lambda k: k.encode())
+        # Range i holds the keys from bound i on; a bound's own key is in the range it starts.
+        ranged = keys.withColumn("_range", count_up_to(F.lit(bounds), F.col("url_key")))
+        for row in ranged.groupBy("_range").count().orderBy("_range").collect():
+            if left <= row["count"]:
+                break
+            left -= row["count"]
+        keys = materialize(ranged.where(F.col("_range") == row["_range"]).drop("_range"), "round-keys")
+    in_last = F.lit(False) if last_key is None else F.col("url_key") <= last_key
+    stays = (F.col("depth") < last_depth) | ((F.col("depth") == last_depth) & in_last)
+    return frontier.where(stays), frontier.where(~stays)
+
+
 def politeness_plan(judged: DataFrame) -> DataFrame:
     """Earliest start of each fetch, ``(rank in host - 1) * delay`` seconds.
 

@@ -36,6 +36,23 @@ def visited_count(visited: DataFrame, approximate: bool = False) -> DataFrame:
     return visited.agg(count.alias("visited"))
 
 
+def visited_sketches(visited: DataFrame, by: list[str], precision: int = S.SKETCH_PRECISION) -> DataFrame:
+    """A3: ``(*by, sketch)``, a distinct sketch of the visited URLs of each group, a few KiB each.
+
+    Kept with a round, sketches answer later questions without the URLs: :func:`sketched_count` unites them.
+    """
+    return visited.groupBy(*by).agg(F.hll_sketch_agg("url_key", precision).alias("sketch"))
+
+
+def sketched_count(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """A3: ``(*by, visited)``, distinct URLs over all rounds and groups that are united, about.
+
+    The standard error is ``1.04 / sqrt(2^precision)``, 1.6 percent at 12; three of them, 5 percent, hold 99.7
+    percent of all answers.
+    """
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("visited"))
+
+
 def product_urls_by_domain(products: DataFrame, chunk: int = S.URLS_PER_DOCUMENT) -> DataFrame:
     """``(domain, chunk, product_urls)`` with sorted, distinct URLs.
 

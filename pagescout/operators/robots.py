@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagescout import settings as S
 from pagescout.functions import urls as U
-from pagescout.functions.steps import settle
+from pagescout.functions.steps import count_up_to, settle
 from pagescout.operators.skew import lookup_join
 
 _AGENT, _ALLOW, _DISALLOW, _DELAY = "user-agent", "allow", "disallow", "crawl-delay"
@@ -214,19 +214,7 @@ def wild_matches(target: Column, pieces: Column, anchored: Column) -> Column:
 
 def _lookup(entries: Column, key: Column) -> Column:
     """The strongest entry with this path in entries sorted by path, by halving; NULL without one."""
-    size = F.size(entries)
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = ((state["low"] + state["high"] + 1) / 2).cast("int")
-        below = entries[middle - 1]["path"] <= key
-        done = state["low"] >= state["high"]
-        return F.struct(
-            F.when(~done & below, middle).otherwise(state["low"]).alias("low"),
-            F.when(~done & ~below, middle - 1).otherwise(state["high"]).alias("high"),
-        )
-
-    steps = F.sequence(F.lit(1), F.length(F.bin(size)))
-    count = F.aggregate(steps, F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda state: state["low"])
+    count = count_up_to(entries, key, lambda e: e["path"])
     hit = F.filter(F.slice(entries, F.greatest(count, F.lit(1)), 1), lambda e: e["path"] == key)
     return F.transform(hit, lambda e: F.struct(e["path_len"].alias("path_len"), e["allow"].alias("allow")))
 

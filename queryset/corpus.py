@@ -429,6 +429,55 @@ def messy_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(table(spark, sf_dir, "customer"), MESSY_LINK)
 
 
+# --- chains of pages ---------------------------------------------------------------------
+
+LISTS, SAME = "https://lists.example.com/", "https://same.example.com/"
+#: Series of 1, 2, 4, ... pages: a part's series is the number of binary digits of its key.
+_DIGITS = f"length(bin({_K}))"
+SERIES_PART = {"src": concat(q(LISTS), _DIGITS, q("/"), _K), "dst": f"CASE WHEN length(bin({_K} + 1)) = {_DIGITS} THEN {concat(q(LISTS), _DIGITS, q('/'), f'({_K} + 1)')} END"}
+#: Loops of five pages.
+SERIES_LOOP = {"src": concat(q(LISTS + "loop/"), _S), "dst": concat(q(LISTS + "loop/"), f"(CASE WHEN {_S} % 5 = 4 THEN {_S} - 4 ELSE {_S} + 1 END)")}
+_SAME_PART = concat(q(SAME), _K)
+#: Chains of up to four hops, pages that name themselves, and ones that name a page that is not stored.
+SAME_PART = {
+    "src": _SAME_PART,
+    "dst": f"CASE {_K} % 7 WHEN 0 THEN NULL WHEN 6 THEN {_SAME_PART} WHEN 5 THEN {concat(q('https://gone.example.com/'), f'CAST(floor({_K} / 7) AS BIGINT)')} ELSE {concat(q(SAME), f'({_K} - 1)')} END",
+}
+#: Copies of some of these pages that name another one.
+SAME_COPY = {"src": _SAME_PART, "dst": concat(q(SAME), f"({_K} - 2)")}
+_COPIED = f"{_K} % 49 = 3"
+#: Loops of three pages, each with a page that leads into it.
+SAME_LOOP = {"src": concat(q(SAME + "loop/"), _S), "dst": concat(q(SAME + "loop/"), f"(CASE {_S} % 4 WHEN 2 THEN {_S} - 2 WHEN 3 THEN {_S} - 1 ELSE {_S} + 1 END)")}
+
+
+def _as_pages(links: dict[str, str], before: str, after: str) -> dict[str, str]:
+    """Documents that hold one link, or none where it is NULL."""
+    html = concat(q("<html><head><title>x</title>"), f"coalesce({concat_or_null(q(before), links['dst'], q(after))}, '')", q("</head><body></body></html>"))
+    return {"page_id": "CAST(0 AS BIGINT)", "url": links["src"], "html": html, "status": "200"}
+
+
+def concat_or_null(*parts: str) -> str:
+    return "(" + " || ".join(parts) + ")"
+
+
+def series_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, html, status)``: pages of lists that link to their next page."""
+    around = ('<a rel="next" href="', '">Next</a>')
+    parts = derive(spread(table(spark, sf_dir, "part")), _as_pages(SERIES_PART, *around))
+    return parts.unionByName(derive(table(spark, sf_dir, "supplier"), _as_pages(SERIES_LOOP, *around)))
+
+
+def same_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, url, html, status)``: pages that name their canonical URL."""
+    around = ('<link rel="canonical" href="', '">')
+    part = spread(table(spark, sf_dir, "part"))
+    return (
+        derive(part, _as_pages(SAME_PART, *around))
+        .unionByName(derive(part.where(_COPIED), _as_pages(SAME_COPY, *around)))
+        .unionByName(derive(table(spark, sf_dir, "supplier"), _as_pages(SAME_LOOP, *around)))
+    )
+
+
 # --- SQL side ---------------------------------------------------------------------------
 
 
@@ -454,4 +503,6 @@ SQL = {
     "seeds": _select(SHOP_SEED, "supplier") + " UNION ALL SELECT url FROM pages",
     "messy_urls": _select(MESSY_URL, "customer") + " UNION ALL SELECT url FROM web",
     "messy_links": _select(MESSY_LINK, "customer"),
+    "series": _select(SERIES_PART, "part") + " UNION ALL " + _select(SERIES_LOOP, "supplier"),
+    "same": " UNION ALL ".join([_select(SAME_PART, "part"), _select(SAME_COPY, f"part WHERE {_COPIED}"), _select(SAME_LOOP, "supplier")]),
 }

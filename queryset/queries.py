@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagescout import settings as S
 from pagescout.functions import html as H
 from pagescout.functions import urls as U
+from pagescout.operators import chains as CH
 from pagescout.operators import frontier as FR
 from pagescout.operators import links as L
 from pagescout.operators import reports as RP
@@ -282,6 +283,52 @@ def paginate_links(spark, sf):
     return L.next_page_links(C.pages(spark, sf))
 
 
+ORACLE["page_series"] = f"""
+WITH RECURSIVE links AS (SELECT * FROM ({C.SQL['series']}) WHERE dst IS NOT NULL),
+pages AS (SELECT src AS page FROM links UNION SELECT dst FROM links),
+walk AS (SELECT page, page AS head, 1::BIGINT AS position FROM pages WHERE page NOT IN (SELECT dst FROM links)
+  UNION ALL SELECT dst, head, position + 1 FROM walk JOIN links ON src = page)
+SELECT page, head, position, head IS NULL AS is_loop FROM pages LEFT JOIN walk USING (page)
+"""
+
+
+@query()
+def page_series(spark, sf):
+    """Head and place of every page of a list, from its "next" links."""
+    return CH.follow_next(L.next_page_links(C.series_pages(spark, sf)))
+
+
+_CHAINS = f"""
+WITH RECURSIVE named AS (SELECT src AS url_key, min(dst) AS canonical, min(dst) <> max(dst) AS conflict FROM ({C.SQL['same']}) WHERE dst IS NOT NULL GROUP BY src),
+walk AS (SELECT url_key AS page, canonical AS stop, [url_key] AS path FROM named
+  UNION ALL SELECT page, canonical, list_append(path, url_key) FROM walk JOIN named ON url_key = stop WHERE NOT list_contains(path, stop) AND canonical <> url_key),
+ends AS (SELECT page, max_by(stop, len(path)) AS stop, max_by(path, len(path)) AS path FROM walk GROUP BY page),
+judged AS (SELECT page, stop, path, list_contains(path, stop) AND len(path) > 1 AS is_loop FROM ends),
+resolved AS (SELECT page AS url_key, CASE WHEN is_loop THEN list_min(path[list_position(path, stop):]) ELSE stop END AS representative,
+  CASE WHEN is_loop THEN NULL WHEN stop = page THEN 0 ELSE len(path) END::BIGINT AS hops, is_loop, conflict FROM judged JOIN named ON url_key = page)
+"""
+ORACLE["canonical_chains"] = f"{_CHAINS} SELECT * FROM resolved"
+
+
+@query()
+def canonical_chains(spark, sf):
+    """Where the canonical URLs of each page end."""
+    return CH.resolve_canonicals(SG.canonical_urls(C.same_pages(spark, sf)))
+
+
+ORACLE["products_by_canonical"] = f"""{_CHAINS}, products AS (SELECT DISTINCT src AS url_key FROM ({C.SQL['same']}) WHERE src NOT LIKE '%0')
+SELECT coalesce(representative, url_key) AS representative, count(*) AS products, min(url_key) AS first_product
+FROM products LEFT JOIN resolved USING (url_key) GROUP BY 1
+"""
+
+
+@query()
+def products_by_canonical(spark, sf):
+    """Product pages that are one product, here all pages but those whose URL ends in 0."""
+    keyed = U.with_normal_url(C.same_pages(spark, sf).select("url"), "url", "url_key")
+    return CH.products_by_representative(keyed.where("url_key NOT LIKE '%0'"), CH.resolve_canonicals(SG.canonical_urls(C.same_pages(spark, sf))))
+
+
 # --- 2.4 score --------------------------------------------------------------------------
 
 _FLAGS = ", ".join(f"sig_{n}" for n in SG.SIGNALS)
@@ -461,6 +508,17 @@ def visited_count(spark, sf):
     return RP.visited_count(U.with_normal_url(C.pages(spark, sf).select("url"), "url", "url_key"))
 
 
+@query("SELECT regexp_extract(url_key, '^[a-z]+://([^/?#]*)', 1) AS domain, count(DISTINCT url_key) AS visited, TRUE AS close FROM keyed GROUP BY 1")
+def visited_count_by_sketch(spark, sf):
+    """Distinct URLs of each domain, exactly, and whether the united sketches of three rounds come within their bound."""
+    keyed = U.with_normal_url(C.pages(spark, sf).select("page_id", "url"), "url", "url_key")
+    visited = keyed.select(U.url_host(F.col("url_key")).alias("domain"), (F.col("page_id") % 3).alias("round"), "url_key")
+    sketched = RP.sketched_count(RP.visited_sketches(visited, ["domain", "round"]), ["domain"])
+    exact = visited.groupBy("domain").agg(F.count_distinct("url_key").alias("exact"))
+    close = F.abs(F.col("visited") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact"))
+    return sketched.join(exact, "domain").select("domain", F.col("exact").alias("visited"), close.alias("close"))
+
+
 @query("SELECT page_id, anchor_density FROM features")
 def anchor_density(spark, sf):
     marked = SG.with_markup(C.pages(spark, sf))
@@ -582,6 +640,14 @@ def frontier_cap(spark, sf):
     return flagged.select("domain", "url_key", "kept")
 
 
+@query(f"SELECT f.domain AS domain, url_key, row_number() OVER (ORDER BY f.depth, url_key) <= 1000 AS kept FROM ({_FIRST})")
+def round_bound(spark, sf):
+    both = FR.first_discovery(FR.frontier_union(_seed_rows(spark, sf), _found(spark, sf)))
+    kept, dropped = FR.round_bound(both, 1000)
+    flagged = kept.withColumn("kept", F.lit(True)).unionByName(dropped.withColumn("kept", F.lit(False)))
+    return flagged.select("domain", "url_key", "kept")
+
+
 @query(f"SELECT url, {D.let(D.parts('url'), lambda p: D.sorted_query(f'{p}.query'))} AS query FROM messy_urls")
 def sorted_query_params(spark, sf):
     return C.messy_urls(spark, sf).withColumn("query", U.sorted_query(U.url_query(F.col("url"))))
