@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagescout import settings as S
 from pagescout.functions import urls as U
 from pagescout.functions.steps import count_up_to
+from pagescout.operators.bits import key_bits, may_match
 from pagescout.operators.skew import first_n_per_group, fits_broadcast, rank_in_group, salted_join
 from pagescout.storage import materialize
 
@@ -93,13 +94,14 @@ def fetch_join(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     """Frontier rows joined with their pages. "Fetching" is a join on the normalized URL.
 
     ``frontier`` has each ``url_key`` once. A frontier that is measured as small is broadcast and
-    the pages do not move. Beyond that, pages are reduced by their key first, and a URL stored many
-    times is spread over tasks.
+    the pages do not move. Beyond that, a bit filter of the frontier's keys cuts the pages down in place,
+    and what passes is joined with a URL stored many times spread over tasks.
     """
     wanted = frontier.withColumn("_wanted", F.lit(True))
-    if fits_broadcast(frontier):
+    if fits_broadcast(frontier, S.BROADCAST_LIMIT_BYTES):
         return pages.join(F.broadcast(frontier), "url_key")
-    found = salted_join(pages, wanted, "url_key", S.ROWS_PER_TASK).where(F.col("_wanted"))
+    near = may_match(pages, "url_key", materialize(key_bits(frontier.select("url_key"), "url_key"), "frontier-bits"))
+    found = salted_join(near, wanted, "url_key", S.ROWS_PER_TASK).where(F.col("_wanted"))
     return found.drop("_wanted")
 
 

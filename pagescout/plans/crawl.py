@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagescout import settings as S
 from pagescout.functions import urls as U
 from pagescout.operators import frontier as FR
+from pagescout.operators.bits import key_bits, may_match
 from pagescout.operators.robots import host_policy, robots_verdict, rule_index
 from pagescout.operators.signals import SIGNALS, SignalBuilder, scored_pages
 from pagescout.operators.sitemaps import sitemap_products
@@ -110,16 +111,16 @@ def within_reach(pages: DataFrame, seeds: DataFrame, listed: DataFrame) -> DataF
     """The pages a crawl can get to: those on the hosts of seeds and of sitemap entries.
 
     Followed links stay on their host. Pages without a host stay too, since a listed URL that
-    cannot be parsed may equal theirs. A set of hosts that is too large to broadcast asks for most
-    of the collection anyway; then nothing is cut away.
+    cannot be parsed may equal theirs. A set of hosts that is too large to broadcast becomes a bit
+    filter; the few pages of other hosts that pass it are parsed, and no round ever reaches them.
     """
     hosts = seeds.select("domain").union(listed.select(U.url_host(F.col("url")))).union(
         seeds.sparkSession.createDataFrame([("",)], "domain string")
     )
     hosts = materialize(hosts.where(F.col("domain").isNotNull()).distinct(), "hosts")
-    if not fits_broadcast(hosts):
-        return pages
     keyed = pages.withColumn("_host", F.coalesce(U.url_host(F.col("url")), F.lit("")))
+    if not fits_broadcast(hosts, S.BROADCAST_LIMIT_BYTES):
+        return may_match(keyed, "_host", materialize(key_bits(hosts, "domain"), "host-bits")).drop("_host")
     return keyed.join(F.broadcast(hosts.withColumnRenamed("domain", "_host")), "_host", "left_semi").drop("_host")
 
 

@@ -85,6 +85,7 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # Rows of one key that a single task may receive before the key is split.
 ROWS_PER_TASK = 1_000_000
 SKETCH_PRECISION = 12
+FILTER_BITS = 1 << 27
 
 # URLs of one domain held in a single output array.
 URLS_PER_DOCUMENT = 100_000

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pagescout import settings as S
 from pagescout.functions import urls as U
@@ -41,6 +46,17 @@ def stream_dedup_urls(pages: DataFrame, horizon: str | None = None) -> DataFrame
     return keyed.withWatermark("fetched_at", horizon).dropDuplicatesWithinWatermark(["url_key"])
 
 
+def stream_dedup_in_windows(pages: DataFrame, horizon: str, lateness: str) -> DataFrame:
+    """The pages whose normalized URL is new in its window of ``fetched_at``, ``horizon`` long.
+
+    Which repeats return does not depend on how the feed is cut into batches: a URL appears once in each
+    window in which it was fetched. The state of a window goes when ``fetched_at`` has come ``lateness`` beyond its
+    end; rows that come later than that are dropped.
+    """
+    keyed = U.with_normal_url(pages, "url", "url_key").withWatermark("fetched_at", lateness)
+    return keyed.withColumn("window", F.window("fetched_at", horizon)).dropDuplicates(["url_key", "window"])
+
+
 def stream_progress(
     feed: DataFrame, interval_seconds: int = S.MONITOR_SECONDS, lateness: str = "10 minutes"
 ) -> DataFrame:
@@ -61,6 +77,84 @@ def stream_progress(
     )
 
 
+class _Ticks(StatefulProcessor):
+    """Per key: the counts of ticks that are still open, the last tick that was told, and the count up to it."""
+
+    def __init__(self, step_ms: int):
+        self.step = step_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "tick long", "added long")
+        self.told = handle.getValueState("told", "tick long, visited long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        told = self.told.get()[0] if self.told.exists() else None
+        added = Counter()
+        for frame in rows:
+            added.update(frame["tick_ms"].tolist())
+        for tick, n in added.items():
+            # What comes behind its tick was dropped by the watermark already.
+            if told is None or tick > told:
+                before = self.open.getValue((tick,))[0] if self.open.containsKey((tick,)) else 0
+                self.open.updateValue((tick,), (before + n,))
+        if told is None and added:
+            self.handle.registerTimer(min(added))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Tells every tick up to the watermark, also those without rows, and waits for the next one."""
+        due = timerValues.getCurrentWatermarkInMs() // self.step * self.step
+        if self.told.exists():
+            last, visited = self.told.get()
+        else:
+            last, visited = min(k[0] for k in self.open.keys()) - self.step, 0
+        out = []
+        for tick in range(last + self.step, due + 1, self.step):
+            added = 0
+            if self.open.containsKey((tick,)):
+                added = self.open.getValue((tick,))[0]
+                self.open.removeKey((tick,))
+            visited += added
+            out.append((*key, tick, visited, added == 0))
+        self.told.update((max(last, due), visited))
+        self.handle.registerTimer(max(last, due) + self.step)
+        if out:
+            frame = pd.DataFrame(out, columns=["domain", "tick", "visited", "stalled"])
+            yield frame.assign(tick=pd.to_datetime(frame["tick"], unit="ms", utc=True))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_stalls(feed: DataFrame, interval_seconds: int = S.MONITOR_SECONDS, lateness: str = "10 minutes") -> DataFrame:
+    """Z3: ``(domain, tick, visited, stalled)``, the ticks of each domain as time passes them.
+
+    Like :func:`pagescout.operators.reports.stall_monitor` of each domain, but as a stream: a timer goes off at every tick, so
+    that a tick in which *nothing* came is told as soon as the watermark passes it. ``feed`` has ``fetched_at`` and ``domain``. A
+    domain is followed from its first row on. State: open ticks, one count each, and two numbers a domain. Needs the
+    state store that :func:`keyed_state` sets.
+    """
+    step = interval_seconds
+    tick_ms = F.ceil((F.unix_timestamp("fetched_at") + 1) / step).cast("long") * step * 1000
+    ticks = feed.withWatermark("fetched_at", lateness).select("domain", "fetched_at", tick_ms.alias("tick_ms"))
+    return ticks.groupBy("domain").transformWithStateInPandas(
+        _Ticks(step * 1000), "domain string, tick timestamp, visited long, stalled boolean", "Append", "EventTime"
+    )
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, beyond the heap of the executors."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def start_append(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append a stream to a Parquet table; with ``once`` it stops at the end of the present input."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path)
@@ -101,3 +195,18 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     start_append(stream, path, f"{path}-checkpoint", once=True).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What the stream ``build`` makes of a feed writes, if the feed arrives in parts and the stream is started anew for each.
+
+    Each part is one or more batches; state and progress live in the checkpoint alone.
+    """
+    spark = parts[0].sparkSession
+    landing, path = new_path(spark, f"{name}-landing"), new_path(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        made = build(spark.readStream.schema(part.schema).parquet(landing))
+        with keyed_state(spark):
+            start_append(made, path, f"{path}-checkpoint", once=True).awaitTermination()
+    return spark.read.schema(made.schema).parquet(path)

@@ -775,3 +775,37 @@ def stream_progress(spark, sf):
     ST.start_upsert(counts, path, f"{path}-checkpoint", once=True).awaitTermination()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema)
     return naive(ST.latest(spark, path, ["start", "domain"], schema), "start")
+
+
+def _arriving(spark, sf, parts: int = 4) -> list[DataFrame]:
+    """The events as fetched pages, in the parts of a month in which they arrive; one in 50 comes a day late."""
+    ts = F.col("ts").cast("timestamp")
+    arrival = ts + F.when(F.col("event_id") % 50 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    shop = F.concat(F.lit("shop"), "user_id", F.lit(".example.com"))
+    events = C.table(spark, sf, "events").select(
+        ts.alias("fetched_at"), shop.alias("domain"), F.concat(F.lit("https://"), shop, F.lit("/"), "event_type").alias("url"),
+        F.least(F.floor(F.dayofmonth(arrival) * parts / 31), F.lit(parts - 1)).alias("part"),
+    )
+    return [events.where(F.col("part") == i).drop("part") for i in range(parts)]
+
+
+@query(
+    """SELECT DISTINCT concat('https://shop', user_id, '.example.com/', event_type) AS url_key, time_bucket(INTERVAL 6 HOURS, ts) AS start FROM events"""
+)
+def stream_dedup_in_windows(spark, sf):
+    """Each URL once in every six hours, over four runs of the stream."""
+    fresh = lambda feed: ST.stream_dedup_in_windows(feed, "6 hours", "2 days").select("url_key", F.col("window.start").alias("start"))
+    return naive(ST.run_in_parts(_arriving(spark, sf), fresh, "windowed"), "start")
+
+
+@query(
+    """WITH hours AS (SELECT concat('shop', user_id, '.example.com') AS domain, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS tick FROM events),
+    ticks AS (SELECT domain, unnest(generate_series(min(tick), (SELECT time_bucket(INTERVAL 1 HOUR, max(ts) - INTERVAL 2 DAYS) FROM events), INTERVAL 1 HOUR)) AS tick FROM hours GROUP BY domain),
+    added AS (SELECT domain, tick, count(*) AS added FROM hours GROUP BY ALL)
+    SELECT domain, tick, CAST(sum(coalesce(added, 0)) OVER (PARTITION BY domain ORDER BY tick) AS BIGINT) AS visited, added IS NULL AS stalled
+    FROM ticks LEFT JOIN added USING (domain, tick)"""
+)
+def stream_stalls(spark, sf):
+    """Hourly ticks of every domain up to the watermark, told by timers over four runs of the stream."""
+    told = lambda feed: ST.stream_stalls(feed, 3600, "2 days")
+    return naive(ST.run_in_parts(_arriving(spark, sf), told, "stalls"), "tick")

@@ -76,3 +76,34 @@ def test_a_page_that_was_not_fetched_is_no_product(spark):
     html = '<html><head><meta property="og:type" content="product"></head></html>'
     pages = spark.createDataFrame([(1, "https://h/product/1", html, 200), (2, "https://h/product/2", html, 404)], "page_id BIGINT, url STRING, html STRING, status INT")
     assert [r.page_id for r in ST.stream_product_pages(pages, threshold=15).collect()] == [1]
+
+
+def _feed(spark):
+    rows = [(f"https://h{i % 3}.com/{i % 7}", f"h{i % 3}", i * 97 % 4000 if i % 3 else i * 31 % 900) for i in range(300)]
+    start = F.lit(1_700_000_000)
+    feed = spark.createDataFrame(rows, "url STRING, domain STRING, s INT").withColumn("fetched_at", F.timestamp_seconds(start + F.col("s")))
+    return [feed.where("s < 1500"), feed.where("s >= 1500 AND s < 2500"), feed.where("s >= 2500")]
+
+
+def test_streamed_stalls_equal_the_batch_monitor_after_restarts(spark):
+    parts = _feed(spark)
+    told = ST.run_in_parts(parts, lambda feed: ST.stream_stalls(feed, 30, "1 second"), "stalls")
+    whole = parts[0].union(parts[1]).union(parts[2])
+    until = whole.agg((F.max("fetched_at") - F.expr("INTERVAL 1 SECOND")).alias("t")).first().t
+    for domain in ("h0", "h1", "h2"):
+        mine = {(r.tick, r.visited, r.stalled) for r in told.where(F.col("domain") == domain).collect()}
+        batch = RP.stall_monitor(whole.where(F.col("domain") == domain).select(F.col("fetched_at").alias("ts")), 30)
+        want = {(r.tick, r.visited, r.stalled) for r in batch.collect() if r.tick <= until}
+        # The monitor ends with a domain's last row, the stream goes on to the watermark.
+        after = {m for m in mine if m[0] > max(w[0] for w in want)}
+        assert mine - after == want and all(stalled for _, _, stalled in after)
+    assert any(r.stalled for r in told.collect()) and told.where("domain = 'h0' AND stalled").count() > 50
+
+
+def test_dedup_in_windows_over_restarts(spark):
+    parts = _feed(spark)
+    keep = lambda feed: ST.stream_dedup_in_windows(feed, "10 minutes", "1 minute").select("url_key", F.col("window.start").alias("start"))
+    fresh = ST.run_in_parts(parts, keep, "windowed")
+    whole = parts[0].union(parts[1]).union(parts[2])
+    want = whole.select(F.col("url").alias("url_key"), F.window("fetched_at", "10 minutes").start.alias("start")).distinct()
+    assert fresh.exceptAll(want).isEmpty() and want.exceptAll(fresh).isEmpty()
