@@ -64,9 +64,10 @@ def _words(w: Words, start: int, n: int) -> str:
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``whole, print, words, size, items``: every different window with the ids of its items.
 
-    Items without id or without words have no windows. Items that share an id are one item.
+    Items without words have no windows. Items that share an id are one item. The windows of items without id are
+    windows like others, but no item's.
     """
-    rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):

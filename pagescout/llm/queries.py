@@ -90,7 +90,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 _WORDS_10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE["op10_decontamination"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_10} AS w FROM documents),
-it AS (SELECT item_id, {_WORDS_10} AS w FROM benchmark WHERE item_id IS NOT NULL),
+it AS (SELECT item_id, {_WORDS_10} AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
        FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM it WHERE len(w) > 0)),
 dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
@@ -152,7 +152,7 @@ m AS (SELECT d.r, doc_id, lang, n_words, total, list_concat(sizes, [total - list
   n_words < 20 OR 100 * coalesce(rep.n, 0) > 30 * n_words AS base_failed FROM d JOIN c USING (r) LEFT JOIN rep USING (r)),
 cw AS (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS x FROM d) WHERE x IN ({_COMMON}) GROUP BY r, x),
 good AS (SELECT * FROM m WHERE NOT base_failed AND lang IS NOT NULL AND n_words >= {_LIMITS.least_words}),
-langs AS (SELECT lang, sum(n_words) AS n FROM good GROUP BY lang HAVING count(*) >= (SELECT count(*) FROM d) / 64.0),
+langs AS (SELECT lang, sum(n_words) AS n FROM good GROUP BY lang HAVING sum(n_words) >= {_LIMITS.least_reference_words}),
 qc AS (SELECT lang, i, sum(chars[i]) / sum(sum(chars[i])) OVER (PARTITION BY lang) AS q FROM (SELECT lang, chars, unnest(range(1, 8)) AS i FROM good) GROUP BY lang, i),
 words AS (SELECT unnest([{_COMMON}]) AS x),
 qw AS (SELECT l.lang, w.x, coalesce(s.n, 0) / l.n AS q FROM langs l CROSS JOIN words w
@@ -166,8 +166,8 @@ pw AS (SELECT r, lang, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2
   GROUP BY r, lang),
 near AS (SELECT r, min({{'both': sqrt(greatest(pc.v, 0)) + sqrt(greatest(pw.v, 0)), 'c': sqrt(greatest(pc.v, 0)), 'w': sqrt(greatest(pw.v, 0))}}) AS n FROM pc JOIN pw USING (r, lang) GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(n.c, 6) AS char_distance, round(n.w, 6) AS word_distance,
-  NOT base_failed AND NOT coalesce(total >= {_LIMITS.least_chars} AND n.c > {_LIMITS.chars}, false)
-  AND NOT coalesce(n_words >= {_LIMITS.least_words} AND n.w > {_LIMITS.words}, false) AS kept
+  NOT base_failed AND NOT ((lang IS NULL OR lang IN (SELECT lang FROM langs)) AND (coalesce(total >= {_LIMITS.least_chars} AND n.c > {_LIMITS.chars}, false)
+  OR coalesce(n_words >= {_LIMITS.least_words} AND n.w > {_LIMITS.words}, false))) AS kept
 FROM m LEFT JOIN near USING (r)
 """
 

@@ -158,14 +158,14 @@ def test_contamination_matches_brute_force(spark):
     def text(n):
         return " ".join(rnd.choice(vocabulary) for _ in range(n))
 
-    items = [(1, text(30)), (2, text(12)), (3, "one Two"), (4, None), (5, ""), (6, text(9)), (7, text(10)), (2, text(11)), (None, text(20))]
+    items = [(1, text(30)), (2, text(12)), (3, "one Two"), (4, None), (5, ""), (6, text(9)), (7, text(10)), (2, text(11)), (None, text(20)), (None, "no id")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = [(i, text(20)) for i in range(10)]
     for i in range(10, 40):
         t = (rnd.choice(items)[1] or "").split()
         a = rnd.randrange(len(t) or 1)
         rows.append((i, text(rnd.randrange(5)) + " " + "-".join(t[a : a + 15]).upper() + "! " + text(3)))
-    rows += [(50, None), (51, ""), (52, "ONE, two"), (53, items[0][1]), (53, items[0][1]), (None, items[1][1])]
+    rows += [(50, None), (51, ""), (52, "ONE, two"), (53, items[0][1]), (53, items[0][1]), (None, items[1][1]), (54, items[8][1]), (55, "No, id")]
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "").encode())
     want = []
     for d, t in rows:
@@ -173,11 +173,11 @@ def test_contamination_matches_brute_force(spark):
         for item, s in items:
             v = split(s)
             n = min(10, len(v))
-            windows = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n and item is not None else set()
+            windows = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
             for i in range(len(w) - n + 1 if windows else 0):
                 if tuple(w[i : i + n]) in windows:
                     hit |= set(range(i, i + n))
-                    ids.add(item)
+                    ids |= {item} - {None}
         want.append((d, len(w), len(hit), sorted(ids), len(ids), bool(hit)))
     for filter_bits in (decontaminate.FILTER_BITS, (1 << 16, 1 << 16)):
         decontaminate.FILTER_BITS, old = filter_bits, decontaminate.FILTER_BITS

@@ -103,3 +103,25 @@ def test_languages_of_a_small_share(spark, monkeypatch):
     assert [(r[0], r[-1]) for r in whole if r[0] >= 10_000] == sorted(kept)
     monkeypatch.setattr(quality_rules, "LANGUAGES_AT_ONCE", 1)
     assert sorted(map(tuple, quality_rules.apply_rules(frame(spark, few), keep=["doc_id"]).collect())) == whole
+
+
+def test_rules_sql_is_the_operators_rule(spark):
+    """Also for languages with too few words to be references, and rows without a language."""
+    import duckdb
+
+    from pagescout.llm.queries import ORACLE
+
+    rnd = random.Random(6)
+    english, greek = ["the", "and", "of", "cat", "house", "runs", "is", "to"], ["και", "το", "σπίτι", "γάτα", "τρέχει", "η"]
+    text = lambda words, n: " ".join(rnd.choice(words) + str(rnd.randint(0, 9)) * (rnd.random() < 0.5) for _ in range(n))
+    rows = [(i, "en", text(english, 150)) for i in range(60)] + [(100 + i, "el", text(greek, 140)) for i in range(20)]
+    rows += [(200 + i, "en", text(greek, 150)) for i in range(5)] + [(300, None, text(greek, 150)), (301, None, text(english, 150)), (302, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cur = con.execute(ORACLE["op1_quality_rules"])
+    names = [c[0] for c in cur.description]
+    got = quality_rules.apply_rules(docs, keep=["doc_id"]).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, cur.fetchall()))
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    assert all(kept[100 + i] for i in range(20)) and not any(kept[200 + i] for i in range(5))
