@@ -149,8 +149,8 @@ def _count(rows: DataFrame, longest: int, filters: list[Broadcast] | None = None
     return rows.mapInArrow(run, "key string, size int, a long").groupBy("key", "size").agg(F.sum("a").alias("a"))
 
 
-def _prints(phrases: DataFrame) -> DataFrame:
-    """``key, size, print``: the hash under which tasks meet a phrase."""
+def _prints(phrases: DataFrame, known: Broadcast | None = None) -> DataFrame:
+    """``key, size, print``: the hash under which tasks meet a phrase; without those that the filters ``known`` let pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +161,11 @@ def _prints(phrases: DataFrame) -> DataFrame:
             for k in range(1, int(size.max(initial=0))):
                 more = size > k
                 now[more] = mix(now[more] * _STEP + w.hash[w.first[:-1][more] + k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed(now))], names=["key", "size", "print"])
+            new = np.ones(size.size, bool)
+            for n, flags in enumerate(known.value if known else [], 1):
+                new[size == n] = ~passes(flags, now[size == n])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed(now))], names=["key", "size", "print"])
+            yield out.filter(pa.array(new))
 
     return phrases.select("key", "size").mapInArrow(run, "key string, size int, print long")
 
@@ -184,28 +188,13 @@ def common_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST,
         counted = _count(rows, longest, list(filters)).where((F.col("a") >= least) | (F.col("size") == 0))
         new = materialize(counted, f"phrases-{n_pass}")
         found = new if found is None else found.unionByName(new)
-        failed = materialize(_failures(new.where(F.col("size").between(1, longest - 1)), filters[-1]), "failures")
+        failed = materialize(_prints(new.where(F.col("size").between(1, longest - 1)), filters[-1]), "failures")
         if failed.isEmpty():
             break
         proposed = proposed.unionByName(failed)
     return found
 
 
-def _failures(common: DataFrame, flags_of_all: Broadcast) -> DataFrame:
-    """Of the common phrases, those that the filters do not let pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, print_ = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-            out = np.ones(size.size, bool)
-            for n, flags in enumerate(flags_of_all.value, 1):
-                mine = size == n
-                out[mine] = ~passes(flags, print_[mine])
-            yield batch.filter(pa.array(out))
-
-    return _prints(common).mapInArrow(run, "key string, size int, print long")
-
-
 def _phrase(key: Column) -> Column:
     return F.substring_index(key, "\n", -1)
 
