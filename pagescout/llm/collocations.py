@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -104,8 +105,8 @@ def _count_chunk(lang: bytes, texts: list[bytes], longest: int, filters: list[li
     size = w.end - w.start
     letters = w.data[_WORD[w.data]]
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), size.size, [None, pa.py_buffer(offsets), pa.py_buffer(letters.tobytes())]).dictionary_encode()
-    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), size.size, [None, pa.py_buffer(offsets), pa.py_buffer(letters.tobytes())])
+    known_words = code = None
     breaks = np.cumsum(_BREAK[w.data])
     joined = breaks[w.start[1:]] == breaks[w.end[:-1] - 1]
     first = filters is None or len(filters) == 1
@@ -127,9 +128,16 @@ def _count_chunk(lang: bytes, texts: list[bytes], longest: int, filters: list[li
         at = np.flatnonzero(wanted)
         if not at.size:
             continue
-        _, where, count = np.unique(_codes(code, len(words.dictionary), at, n), return_index=True, return_counts=True)
-        place = at[where]
-        parts = [words.dictionary.take(pa.array(code[place + k])) for k in range(n)]
+        if 8 * at.size < size.size:  # too few to number all words for
+            place, count = at, np.ones(at.size, np.int64)
+            parts = [words.take(pa.array(place + k)) for k in range(n)]
+        else:
+            if code is None:
+                numbered = words.dictionary_encode()
+                known_words, code = numbered.dictionary, numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            _, where, count = np.unique(_codes(code, len(known_words), at, n), return_index=True, return_counts=True)
+            place = at[where]
+            parts = [known_words.take(pa.array(code[place + k])) for k in range(n)]
         key = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0]
         key = pc.binary_join_element_wise(pa.scalar(lang, pa.large_binary()), key, pa.scalar(b"\n", pa.large_binary()))
         yield key.cast(pa.large_string()).cast(pa.string()), n, count
@@ -216,23 +224,29 @@ def collocations(docs: DataFrame, top: int = 2000, share: int = 50, **options) -
     ``share`` percent of its occurrences or more. ``top`` bounds the rows of a language. Options and the treatment of NULL and repeated rows: :func:`common_phrases`.
     An empty table gives an empty result.
     """
-    common = common_phrases(docs, **options)
+    common, longest = common_phrases(docs, **options), options.get("longest", LONGEST)
     words = F.split(_phrase(F.col("key")), " ")
     prefix = F.concat(_lang(F.col("key")), F.lit("\n"))
     many = common.where("size >= 2").withColumns({"_words": words, "_prefix": prefix})
     span = lambda first, n: F.concat("_prefix", F.array_join(F.slice("_words", first, n), " "))
-    cuts = many.select("key", "size", "a", "_words", "_prefix", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).select(
-        "key", "size", "a", "k", span(F.lit(1), F.col("k")).alias("left"), span(F.col("k") + 1, F.col("size") - F.col("k")).alias("right")
-    )
+    # What a longer phrase holds goes first, so that only the rest is cut.
+    inner = [many.where(F.col("size") >= max(n + 1, n + i - 1)).select(F.col("a").alias("longer"), span(F.lit(i), F.lit(n)).alias("key"))
+             for n in range(2, longest) for i in range(1, longest - n + 2)]
+    if inner:
+        inside = reduce(DataFrame.unionByName, inner).groupBy("key").agg(F.max("longer").alias("longer"))
+        many = many.join(inside, "key", "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
+    cut_at = [
+        many.where(F.col("size") > k).select(
+            "key", "size", "a", F.lit(k).alias("k"), span(F.lit(1), F.lit(k)).alias("left"), span(F.lit(k + 1), F.col("size") - k).alias("right")
+        )
+        for k in range(1, longest)
+    ]
+    cuts = reduce(DataFrame.unionByName, cut_at)
     parts = common.where("size >= 1")
     cuts = lookup_join(cuts, parts.select(F.col("key").alias("left"), F.col("a").alias("l")), "left")
     cuts = lookup_join(cuts, parts.select(F.col("key").alias("right"), F.col("a").alias("r")), "right")
     best = cuts.withColumn("score", score()).groupBy("key", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    spans = F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda i: span(i, n)))
-    inner = F.explode(F.flatten(spans))
-    inside = many.where("size >= 3").select(F.col("a").alias("longer"), inner.alias("key")).groupBy("key").agg(F.max("longer").alias("longer"))
-    left = best.join(inside, "key", "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
-    named = left.select(_lang(F.col("key")).alias("lang"), _phrase(F.col("key")).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
+    named = best.select(_lang(F.col("key")).alias("lang"), _phrase(F.col("key")).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     first = first_n_per_group(named, ["lang"], order, top)
     total = common.where("size = 0").select(_lang(F.col("key")).alias("lang"), F.col("a").alias("n"))
