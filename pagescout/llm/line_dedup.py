@@ -1,10 +1,11 @@
 """Line dedup over the whole collection by a deletion-neighbourhood join.
 
-Two lines are near when one word inserted, deleted or replaced makes one the other. Every line
+Two lines are near when one word inserted, deleted or replaced makes one the other. A line of
+fewer than ``MIN_WORDS`` words, such as text without spaces, is compared by characters with others
+like it if it has ``MIN_CHARACTERS`` of them, else only as it stands. Every line
 emits what is left of it without each one word, and itself, as hashed keys that also name the
 place of the missing word; all lines that share a key are near one another, so it is enough to
-compare each with the earliest of its key, word by word. Lines of fewer than ``MIN_WORDS`` words
-are only compared as they stand.
+compare each with the earliest of its key, word by word.
 
 Before that, a line is dropped from the join if neither its first nor its second half stands in
 another line: one edit leaves one half whole.
@@ -15,23 +16,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagescout import settings as S
 from pagescout.functions.steps import settle
 from pagescout.llm.texts import spaced_words
 from pagescout.operators.skew import fits_broadcast, lookup_join, rank_in_group
 from pagescout.storage import materialize
 
-MIN_WORDS = 6
+MIN_WORDS, MIN_CHARACTERS = 6, 24
 
 
-def _halves(words: Column) -> Column:
-    """Keys of the leading and trailing halves by which a line meets lines of its length, one more or one less."""
-    n = F.size(words)
-    keys = []
-    for size in (F.floor(n / 2), F.floor((n - 1) / 2)):
-        keys.append(F.xxhash64(F.lit(1), F.slice(words, F.lit(1), size.cast("int"))))
-    for size in (F.ceil(n / 2), F.ceil((n - 1) / 2)):
-        keys.append(F.xxhash64(F.lit(2), F.slice(words, (n - size + 1).cast("int"), size.cast("int"))))
-    return F.array_distinct(F.array(*keys))
+def units(text: Column) -> Column:
+    """What edits of a line are counted in: its words; of a line with few words its characters, each behind a line feed, which no word has."""
+    words = spaced_words(text)
+    characters = F.transform(F.split(text, ""), lambda c: F.concat(F.lit("\n"), c))
+    return F.when(F.size(words) >= MIN_WORDS, words).when(F.char_length(text) >= MIN_CHARACTERS, characters)
+
+
+def _with_halves(lines: DataFrame) -> DataFrame:
+    """Adds ``halves``: keys of leading and trailing halves by which a line meets lines of its length, one more or one less.
+
+    They are cut from the text itself; words are split later, for the few lines that meet another.
+    """
+    text, plain = F.col("text"), F.col("_plain")
+    odd = text.contains("  ") | text.startswith(" ") | text.endswith(" ")
+    for white in "\t\x0b\x0c\r":
+        odd = odd | text.contains(white)
+    one_space = F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "))
+    out = settle(lines.withColumn("_plain", F.when(odd, one_space).otherwise(text)), "_plain")
+    n_words = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
+    out = settle(out.withColumn("_n_words", n_words), "_n_words")
+    worded = F.col("_n_words") >= MIN_WORDS
+    out = settle(out.withColumn("_n", F.when(worded, F.col("_n_words")).otherwise(F.char_length(text))), "_n")
+    n, even = F.col("_n"), F.col("_n") % 2 == 0
+
+    def cut(kind: int, k: Column) -> Column:
+        k = k.cast("int")
+        lead, sign = kind == 1, F.lit(1 if kind == 1 else -1)
+        some = F.substring(text, F.lit(1) if lead else -k, k)
+        return F.xxhash64(F.lit(kind), worded, F.when(worded, F.call_function("substring_index", plain, F.lit(" "), k * sign)).otherwise(some))
+
+    keys = F.array(
+        cut(1, F.floor(n / 2)),
+        cut(2, F.ceil(n / 2)),
+        F.when(even, cut(1, n / 2 - 1)).otherwise(cut(2, (n - 1) / 2)),
+    )
+    return out.withColumn("halves", F.when(worded | (n >= MIN_CHARACTERS), keys)).drop("_plain", "_n_words", "_n")
 
 
 def _xor(values: Column) -> Column:
@@ -89,14 +118,16 @@ def _row(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(name.cast("binary")))
 
 
-def _lines(text_col: str) -> Column:
-    return F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+def _lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``line, text, at``: every line that has a word; ``at`` orders by id (NULL last), text and number."""
+    # The row is named before its lines are listed: behind that it would be hashed for each line.
+    rows = docs.select(F.col(id_col).alias("id"), _row(id_col, text_col).alias("_row"), _lines_of(F.col(text_col)).alias("_lines"))
     return (
-        docs.select(F.col(id_col).alias("id"), _row(id_col, text_col).alias("_row"), F.posexplode(_lines(text_col)).alias("_no", "text"))
+        rows.select("id", "_row", F.posexplode("_lines").alias("_no", "text"))
         .where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
         .select(
             F.unhex(F.md5(F.col("text").cast("binary"))).alias("line"),
@@ -111,17 +142,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A line stays where it is first found, unless an earlier line is near it: then it goes everywhere.
     """
-    words = spaced_words(F.col("text"))
     # The text of a line is not shuffled, only its keys are.
-    keyed = settle(_occurrences(docs, id_col, text_col).withColumn("_words", words), "_words")
     lines = materialize(
-        keyed.select("line", "at", F.when(F.size("_words") >= MIN_WORDS, _halves(F.col("_words"))).alias("halves"))
+        _with_halves(_occurrences(docs, id_col, text_col))
+        .select("line", "at", "halves")
         .groupBy("line")
         .agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")),
         "lines",
     )
     halves = lines.select("line", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a != b").select("half")
+    number = halves.select("half", F.xxhash64("line").alias("number"))
+    shared = number.groupBy("half").agg(F.min("number").alias("a"), F.max("number").alias("b")).where("a != b").select("half")
     candidates = materialize(halves.join(shared, "half", "left_semi").select("line").distinct(), "candidates")
     wanted = F.broadcast(candidates) if fits_broadcast(candidates) else candidates
     candidate_lines = (
@@ -129,7 +160,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .join(wanted, "line", "left_semi")
         .groupBy("line")
         .agg(F.min("at").alias("first"), F.first("text").alias("text"))
-        .select("line", "first", words.alias("words"), F.lit("all").alias("_all"))
+        .select("line", "first", units(F.col("text")).alias("words"), F.lit("all").alias("_all"))
     )
     # Lines are numbered in order, so the many rows below carry two numbers and no place.
     near_lines = materialize(rank_in_group(candidate_lines, "_all", ["first"], "id"), "near-lines")
@@ -146,14 +177,27 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     theirs = near_lines.select(F.col("id").alias("head"), F.col("words").alias("_theirs"))
     same = _left(F.col("_mine"), F.col("_v.place"), F.col("_v.size")) == _left(F.col("_theirs"), F.col("_v.place"), F.col("_v.size"))
     near = pairs.join(ours, "id").join(theirs, "head").where(same).select("line").distinct().withColumn("near", F.lit(True))
-    dirty = lines.select("line", "first", "n").join(near, "line", "left").where("near or n > 1").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    dirty = (
+        lines.select("line", "n", F.col("first._row").alias("_first_row"), F.col("first._no").alias("_first_no"))
+        .join(near, "line", "left")
+        .where("near or n > 1")
+        .withColumn("near", F.coalesce("near", F.lit(False)))
+    )
+    dirty = materialize(dirty, "dirty")
+    places = _occurrences(docs, id_col, text_col).select("line", F.col("at._row").alias("_row"), F.col("at._no").alias("_no"))
+    if fits_broadcast(dirty):
+        met = places.join(F.broadcast(dirty), "line")
+    else:
+        # A line found more often than a task should read is dealt to several; there are few such lines.
+        parts = F.ceil(F.col("n") / S.ROWS_PER_TASK).cast("int")
+        often = dirty.where(F.col("n") > S.ROWS_PER_TASK).select("line", parts.alias("_parts"))
+        salt = F.pmod(F.xxhash64("_row", "_no"), F.coalesce("_parts", F.lit(1))).cast("int")
+        dealt = places.join(F.broadcast(often), "line", "left").withColumn("_salt", salt).drop("_parts")
+        met = dealt.join(dirty.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))), ["line", "_salt"])
     return (
-        _occurrences(docs, id_col, text_col)
-        .select("line", "at")
-        .join(dirty, "line")
-        .where(F.col("near") | (F.col("at") != F.col("first")))
-        .groupBy(F.col("at._row").alias("_row"))
-        .agg(F.collect_set("at._no").alias("removed"))
+        met.where(F.col("near") | (F.col("_row") != F.col("_first_row")) | (F.col("_no") != F.col("_first_no")))
+        .groupBy("_row")
+        .agg(F.collect_set("_no").alias("removed"))
     )
 
 
@@ -168,12 +212,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # Lines are split again behind the join, so that a join by shuffle moves the text once.
     rows = lookup_join(docs.select(F.struct(*kept).alias("row"), _row(id_col, text_col).alias("_row")), removed, "_row")
-    rows = rows.select("row.*", "_removed").withColumn("_lines", _lines(text_col))
+    rows = settle(rows.select("row", "_removed", _lines_of(F.col("row")[text_col]).alias("_lines")), "_lines")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    text = F.when(F.col("_removed").isNull(), F.col("row")[text_col]).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
+    )
     worded = F.size(F.filter("_lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     return rows.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in kept],
+        *[(text if c == text_col else F.col("row")[c]).alias(c) for c in kept],
         worded.cast("long").alias("n_lines"),
         F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -111,17 +111,17 @@ def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Lines of at least six words are near if taking out the word at one place leaves the same words,
-# or if one is what the other leaves.
+# or if one is what the other leaves; lines of fewer words and 24 characters or more likewise by characters.
 ORACLE["op5_line_dedup"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 occ AS (SELECT r, doc_id, t, i, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d) WHERE regexp_matches(lines[i], '[^\x20\x09-\x0D]')),
 placed AS (SELECT r, i, line, row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(doc_id::VARCHAR, '') || chr(10) || t), i) AS pos FROM occ),
 dl AS (SELECT line, min(pos) AS first, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM placed GROUP BY line),
-long AS (SELECT * FROM dl WHERE len(w) >= 6),
-v AS (SELECT line, first, i, len(w) - 1 AS n, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM long)
-      UNION ALL SELECT line, first, i, len(w) AS n, array_to_string(w, ' ') AS k FROM (SELECT *, unnest(range(1, len(w) + 2)) AS i FROM long)),
-heads AS (SELECT k, i, n, min(first) AS head FROM v GROUP BY ALL),
-near AS (SELECT DISTINCT line FROM v JOIN heads USING (k, i, n) WHERE head < first),
+long AS (SELECT line, first, 'w' AS u, w FROM dl WHERE len(w) >= 6 UNION ALL SELECT line, first, 'c' AS u, regexp_extract_all(line, '(?s).') AS w FROM dl WHERE len(w) < 6 AND length(line) >= 24),
+v AS (SELECT line, first, u, i, len(w) - 1 AS n, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS k FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM long)
+      UNION ALL SELECT line, first, u, i, len(w) AS n, array_to_string(w, ' ') AS k FROM (SELECT *, unnest(range(1, len(w) + 2)) AS i FROM long)),
+heads AS (SELECT k, u, i, n, min(first) AS head FROM v GROUP BY ALL),
+near AS (SELECT DISTINCT line FROM v JOIN heads USING (k, u, i, n) WHERE head < first),
 gone AS (SELECT r, list(i) AS gone, count(*) AS n FROM placed p JOIN dl USING (line) WHERE pos > first OR line IN (SELECT line FROM near) GROUP BY r),
 worded AS (SELECT r, count(*) AS n FROM occ GROUP BY r)
 SELECT doc_id, coalesce(w.n, 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed,

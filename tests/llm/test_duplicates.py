@@ -79,9 +79,15 @@ def test_near_duplicates_match_brute_force(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def units(line):
+    if len(words(line)) >= line_dedup.MIN_WORDS:
+        return "words", words(line)
+    return "characters", list(line) if len(line) >= line_dedup.MIN_CHARACTERS else None
+
+
 def near_line(a, b):
-    a, b = words(a), words(b)
-    if min(len(a), len(b)) < line_dedup.MIN_WORDS or abs(len(a) - len(b)) > 1:
+    (kind, a), (other, b) = units(a), units(b)
+    if kind != other or a is None or b is None or abs(len(a) - len(b)) > 1:
         return False
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
@@ -93,8 +99,11 @@ def test_line_dedup_matches_brute_force(spark):
     rnd = random.Random(7)
     lines = ["a b c d e f g", "a b c x e f g", "a b c d e f", "a b c d e f g h", "a  b c d e f g", "short one", "", " ", "b a c d e f g"]
     lines += [" ".join(rnd.choice("abc") for _ in range(rnd.randint(5, 9))) for _ in range(40)]
-    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 6)))) for i in range(30)]
-    rows += [(40, None), (41, "x y z " * 3000), (41, "x y z " * 3000), (42, "x y z " * 3000 + "w"), (43, "\n\n")]
+    unspaced = "漢字\U0001f600é" * 75
+    lines += [unspaced, unspaced[:100] + "x" + unspaced[101:], unspaced[:299], unspaced + "\U0001f601", "three words of characters", "three words of character", "three  words of character"]
+    lines += ["\ta b\x0bc d\re f g ", "a b c d e f\x0c", "short one!", " ".join("abcdefghijkl"), "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxy"]
+    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 6)))) for i in range(60)]
+    rows += [(70, None), (71, "x y z " * 3000), (71, "x y z " * 3000), (72, "x y z " * 3000 + "w"), (73, "\n\n")]
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
     places = [(d, n, line) for d, t in dict(rows).items() if t for n, line in enumerate(t.split("\n")) if words(line)]
     places.sort(key=lambda p: p[:2])
@@ -112,6 +121,17 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_columns_with_its_own_names(spark, monkeypatch):
+    rows = [(i, "one two three four five six\nown line", [str(i)], {"a": i}, i, i) for i in range(3)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, _removed array<string>, _lines map<string, long>, row long, n_lines long")
+    got = line_dedup.dedup_lines(own).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(i, rows[i][1] if i == 0 else "", [str(i)], {"a": i}, i, 2, 0 if i == 0 else 2) for i in range(3)]
+    # A line found more often than a task should read is dealt to several tasks.
+    monkeypatch.setattr(line_dedup, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(line_dedup.S, "ROWS_PER_TASK", 1)
+    assert [tuple(r) for r in line_dedup.dedup_lines(own).orderBy("doc_id").collect()] == [tuple(r) for r in got]
+
+
 def test_repeated_passages_match_brute_force(spark):
     rnd = random.Random(9)
     vocabulary = [f"v{i}" for i in range(200)]
