@@ -6,7 +6,7 @@ training documents, each against counts from which its own have been deleted.
 
 Counts cover the whole training part and are never brought together in one place. Documents are
 dealt to chunks of a few MB. A chunk asks for the counts of its different words and bigrams, as
-packed hashes that are dealt to blocks by value; a block adds up what all chunks have seen of
+64-bit hashes that are dealt to blocks by value; a block adds up what all chunks have seen of
 each and answers every chunk in the order of its question. A frequent word costs one entry a chunk.
 """
 
@@ -24,6 +24,8 @@ from pagescout.storage import materialize, materialize_bucketed
 
 #: Text of a chunk on average, and different words and bigrams of a block about; bytes and entries.
 CHUNK, BLOCK = 8 << 20, 2_000_000
+#: Chunks of a bucket, which one task reads, and most buckets that a table may have (Spark's own bound).
+CHUNKS_PER_TASK, MOST_BUCKETS = 8, 100_000
 #: Weights are learned per power of two of the context's count, on estimates in steps of 1 / 4 of a power of two.
 BUCKETS, STEPS = 24, 160
 _END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -56,37 +58,43 @@ class Tokens:
         return cls(np.repeat(np.arange(n), size), size, word, words, pair, pairs, first)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """The low 48 bits of each value; the high 16 choose the block."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _narrow(values: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each that hold the largest, behind one byte that tells how many."""
+    width = next(w for w in (1, 2, 4, 8) if not values.size or int(values.max()) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _widen(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _blocks(values: np.ndarray, blocks: int) -> np.ndarray:
     """Where each block begins among sorted values, and the end."""
-    high = ((values >> np.uint64(48)) * np.uint64(blocks)) >> np.uint64(16)
+    high = ((values >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     return np.searchsorted(high, np.arange(blocks + 1))
 
 
+def _sums(place: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Whole sums of counts by place, exact at any size."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, place, counts)
+    return out
+
+
 def _questions(chunks: DataFrame, blocks: int) -> DataFrame:
     """``block, chunk, keys, counts``: different words (blocks from 0) and bigrams (from ``blocks``) of each chunk with their training counts."""
 
     def ask(table: pa.Table) -> pa.Table:
         t = Tokens.of(table["text"].cast(pa.binary()).to_pylist())
-        train = (~table["held_out"].to_numpy())[t.text].astype(float)
+        train = (~table["held_out"].to_numpy())[t.text]
         block, keys, counts = [], [], []
         for kind, (values, place) in enumerate(((t.words, t.word), (t.pairs, t.pair))):
-            seen = np.bincount(place, train, values.size).astype(np.uint32)
+            seen = np.bincount(place[train], minlength=values.size)
             edge = _blocks(values, blocks)
             for b in np.flatnonzero(np.diff(edge)):
                 block.append(kind * blocks + int(b))
-                keys.append(_pack(values[edge[b] : edge[b + 1]]))
-                counts.append(seen[edge[b] : edge[b + 1]])
+                keys.append(values[edge[b] : edge[b + 1]].tobytes())
+                counts.append(_narrow(seen[edge[b] : edge[b + 1]]))
         return pa.table({"block": pa.array(block, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(block), pa.int32()), "keys": binary(keys), "counts": binary(counts)})
 
     return chunks.select("chunk", "text", "held_out").groupBy("chunk").applyInArrow(ask, "block int, chunk int, keys binary, counts binary")
@@ -94,12 +102,11 @@ def _questions(chunks: DataFrame, blocks: int) -> DataFrame:
 
 def _answer(table: pa.Table) -> pa.Table:
     """Totals in the order of each question; a row of chunk -1 has the block's different keys and its sum."""
-    keys = [_unpack(k) for k in table["keys"].to_pylist()]
+    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
     edge = np.cumsum([0, *(k.size for k in keys)])
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    seen = np.concatenate([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()])
-    total = np.bincount(place, seen)
-    totals = [total[place[a:b]].astype(np.uint32) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    different, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = _sums(place, np.concatenate([_widen(c) for c in table["counts"].to_pylist()]), different.size)
+    totals = [_narrow(total[place[a:b]]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
     block = table["block"][0].as_py()
     return pa.table({
         "chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int32()),
@@ -124,10 +131,9 @@ class Counts:
         t = Tokens.of(table["text"].cast(pa.binary()).to_pylist())
         order = np.argsort(answers["block"].to_numpy(), kind="stable")
         parts, block = answers["totals"].to_pylist(), answers["block"].to_numpy()
-        words = b"".join(parts[i] for i in order if block[i] < blocks)
-        pairs = b"".join(parts[i] for i in order if block[i] >= blocks)
-        word = np.frombuffer(words, np.uint32)[t.word].astype(np.int64)
-        pair = np.frombuffer(pairs, np.uint32)[t.pair].astype(np.int64)
+        none = [np.empty(0, np.int64)]
+        word = np.concatenate(none + [_widen(parts[i]) for i in order if block[i] < blocks])[t.word]
+        pair = np.concatenate(none + [_widen(parts[i]) for i in order if block[i] >= blocks])[t.pair]
         context = np.roll(word, 1)
         context[t.first] = train_texts
         return cls(t, word, pair, context)
@@ -200,10 +206,12 @@ def train(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size, n, texts = rows.agg(F.sum(F.octet_length("text") + 1), F.count("*"), F.sum((~F.col("held_out")).cast("long"))).first()
     count = max(1, -(-(size or 0) // CHUNK))
-    blocks = int(min(1 << 15, max(1, (size or 0) // 8 // BLOCK)))
+    blocks = int(max(1, (size or 0) // 8 // BLOCK))
     # Any even deal will do, and rows that repeat must not meet in one chunk.
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int"))
-    chunks = materialize_bucketed(dealt, "texts", "chunk")
+    # A task reads whole buckets, so their number follows the chunks and not the session's partitions.
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // CHUNKS_PER_TASK))
+    chunks = materialize_bucketed(dealt, "texts", "chunk", min(buckets, MOST_BUCKETS))
     answers = _questions(chunks, blocks).groupBy("block").applyInArrow(_answer, "chunk int, block int, totals binary, different long, seen long")
     answers = materialize(answers, "counts")
     stats = answers.where((F.col("chunk") == -1) & (F.col("block") < blocks)).agg(F.sum("seen"), F.sum("different")).first()

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,25 @@ def test_language_model_matches_plain_counts(spark, odd, monkeypatch):
     assert interpolated_lm.score_by_fold(docs.where("false")).count() == 0
 
 
+def test_language_model_counts_are_whole_at_any_size():
+    keys = np.array([5, 5 + (1 << 48), 5 + (3 << 60)], np.uint64)
+    seen = [np.array([6_000_000_000, 1, 70_000]), np.array([2, 300, 0])]
+    asked = pa.table({
+        "block": pa.array([0, 0], pa.int32()),
+        "chunk": pa.array([3, 9], pa.int32()),
+        "keys": [keys.tobytes()] * 2,
+        "counts": [interpolated_lm._narrow(n) for n in seen],
+    })
+    found = interpolated_lm._answer(asked).to_pylist()
+    assert [interpolated_lm._widen(r["totals"]).tolist() for r in found[:2]] == [[6_000_000_002, 301, 70_000]] * 2
+    assert (found[2]["chunk"], found[2]["different"], found[2]["seen"]) == (-1, 3, 6_000_070_303)
+    for n in ([], [255], [256], [65_536], [1 << 32], [(1 << 62) + 1]):
+        assert interpolated_lm._widen(interpolated_lm._narrow(np.array(n, np.int64))).tolist() == n
+    values = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, np.uint64) * np.uint64(2))
+    edges = interpolated_lm._blocks(values, 200_000)
+    assert len(edges) == 200_001 and edges[0] == 0 and edges[-1] == 1000
+
+
 def test_weights_maximise_the_likelihood():
     cells = [(3, 150, 100, 60), (3, 0, 120, 40)]
     weight = interpolated_lm.learn_weights(cells, 1e-6)[3]
