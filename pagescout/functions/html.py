@@ -11,6 +11,7 @@ close tag ends an element.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html import unescape
 from html.entities import html5
 
@@ -209,6 +210,16 @@ def _crumb_tag() -> str:
     )
 
 
+def _bits(tags_of: Callable[[str], list[str]], tag: Column) -> Column:
+    """One bit for each element of ``S.IMPLIED_ENDS`` that has the tag in its list."""
+    bits: dict[str, int] = {}
+    for bit, name in enumerate(S.IMPLIED_ENDS):
+        for one in tags_of(name):
+            bits[one] = bits.get(one, 0) | 1 << bit
+    entries = F.create_map(*[F.lit(x) for entry in bits.items() for x in entry])
+    return F.coalesce(F.element_at(entries, tag), F.lit(0))
+
+
 def breadcrumb_pieces(html: Column, tags: Column) -> Column:
     """The page cut before each tag, with the tag's name, whether it closes, and whether a breadcrumb element starts; NULL without one."""
     has_crumb = F.exists(tags, lambda t: t.rlike(rf"(?is)^{_crumb_tag()}"))
@@ -224,28 +235,64 @@ def breadcrumb_pieces(html: Column, tags: Column) -> Column:
     return F.when(has_crumb, pieces)
 
 
+def _with_rules(pieces: Column) -> Column:
+    """Tags with three bit sets over ``S.IMPLIED_ENDS``: the element that starts, those the tag ends, those it must be closed for before they end."""
+    rules = S.IMPLIED_ENDS
+
+    def with_bits(p: Column) -> Column:
+        behind = _bits(lambda n: [n, *rules[n][1], *rules[n][2]], p["name"])
+        return F.struct(
+            p["name"].alias("name"), p["closes"].alias("closes"), p["crumb"].alias("crumb"),
+            F.when(p["closes"], behind).otherwise(_bits(lambda n: rules[n][0], p["name"])).alias("ends"),
+            _bits(lambda n: rules[n][1], p["name"]).alias("nests"),
+            _bits(lambda n: [n], p["name"]).alias("own"),
+        )
+
+    return F.transform(pieces, with_bits)
+
+
 def breadcrumb_spans(pieces: Column) -> Column:
     """First piece and number of pieces of every breadcrumb element that is in no other.
 
     One fold over the tags counts those of the open element's name. It holds numbers only, so a page
-    costs what its length asks for; an element that is never closed reaches to the end.
+    costs what its length asks for. An element whose end tag may be left out (``S.IMPLIED_ENDS``) ends where
+    HTML ends it: before the next of its kind, or where the element around it ends. Any other that is never
+    closed reaches to the end.
     """
+    optional = F.exists(pieces, lambda p: p["crumb"] & p["name"].isin(*S.IMPLIED_ENDS))
+    return F.when(optional, _spans(_with_rules(pieces), True)).otherwise(_spans(pieces, False))
+
+
+def _spans(pieces: Column, rules: bool) -> Column:
+    """:func:`breadcrumb_spans`, with implied ends only on the pages that have use for them."""
+    numbers = ["i", "depth", "from", *(["rule", "level"] if rules else [])]
     start = F.struct(
-        F.lit(0).alias("i"), F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("from"),
+        *[F.lit(0).alias(n) for n in numbers], F.lit("").alias("name"),
         F.array().cast("array<struct<from: int, n: int>>").alias("spans"),
     )
 
     def step(acc: Column, p: Column) -> Column:
-        inside = acc["depth"] > 0
-        same = inside & (p["name"] == acc["name"])
-        depth = F.when(same, acc["depth"] + F.when(p["closes"], -1).otherwise(1)).when(inside, acc["depth"]).otherwise(p["crumb"].cast("int"))
-        opens, ends = ~inside & p["crumb"], inside & (depth == 0)
+        inside, turn = acc["depth"] > 0, F.when(p["closes"], -1).otherwise(1)
+        same, opens, more = inside & (p["name"] == acc["name"]), ~inside & p["crumb"], []
+        depth = F.when(same, acc["depth"] + turn).when(inside, acc["depth"]).otherwise(p["crumb"].cast("int"))
+        ends = inside & (depth == 0)
+        if rules:
+            rule, level = acc["rule"], acc["level"]
+            implied = (rule != 0) & (level == 0) & (rule.bitwiseAND(p["ends"]) != 0)
+            ends = F.when(rule != 0, implied).otherwise(ends)
+            # What ends one breadcrumb element by its start may be the next.
+            opens = p["crumb"] & (~inside | implied)
+            depth = F.when(opens, 1).when(implied, 0).when(rule != 0, acc["depth"]).otherwise(depth)
+            rule = F.when(opens, p["own"]).when(implied, 0).otherwise(rule)
+            level = F.when(opens, 0).when(acc["rule"].bitwiseAND(p["nests"]) != 0, F.greatest(level + turn, F.lit(0))).otherwise(level)
+            more = [rule.alias("rule"), level.alias("level")]
         span = F.array(F.struct(acc["from"].alias("from"), (acc["i"] - acc["from"]).alias("n")))
         return F.struct(
             (acc["i"] + 1).alias("i"),
-            F.when(opens, p["name"]).otherwise(acc["name"]).alias("name"),
             depth.alias("depth"),
             F.when(opens, acc["i"]).otherwise(acc["from"]).alias("from"),
+            *more,
+            F.when(opens, p["name"]).otherwise(acc["name"]).alias("name"),
             F.when(ends, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
         )
 

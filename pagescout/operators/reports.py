@@ -67,11 +67,29 @@ def product_urls_by_domain(products: DataFrame, chunk: int = S.URLS_PER_DOCUMENT
     )
 
 
-def product_map(by_domain: DataFrame) -> DataFrame:
+class TooLargeForOneRow(ValueError):
+    """The result does not fit one row; ``size`` and ``limit`` are bytes."""
+
+    def __init__(self, size: int, limit: int):
+        super().__init__(f"the products take {size} bytes and one row at most {limit}: use product_urls_by_domain or write_product_json")
+        self.size, self.limit = size, limit
+
+
+def product_map_bytes(by_domain: DataFrame) -> int:
+    """Bytes of the domains and URLs of a result, summed where the rows are."""
+    urls = F.aggregate("product_urls", F.lit(0).cast("long"), lambda n, u: n + F.octet_length(u) + 8)
+    return by_domain.agg(F.coalesce(F.sum(F.octet_length("domain") + urls), F.lit(0))).first()[0]
+
+
+def product_map(by_domain: DataFrame, limit: int = S.ONE_ROW_BYTES) -> DataFrame:
     """The whole result as one ``MAP<STRING, ARRAY<STRING>>`` row, all chunks of a domain in order.
 
-    One row by definition; for results of any size use :func:`product_urls_by_domain` itself.
+    One row by definition, so it is measured first and built up to ``limit`` bytes only; beyond that
+    :class:`TooLargeForOneRow` tells the size. Results of any size are rows of :func:`product_urls_by_domain`.
     """
+    size = product_map_bytes(by_domain)
+    if size > limit:
+        raise TooLargeForOneRow(size, limit)
     chunks = F.array_sort(F.collect_list(F.struct("chunk", "product_urls")))
     whole = F.flatten(F.transform(chunks, lambda c: c["product_urls"])).alias("product_urls")
     entries = F.collect_list(F.struct("domain", "product_urls"))

@@ -29,16 +29,20 @@ def sitemap_probes(seeds: DataFrame) -> DataFrame:
 def scan_sitemaps(seeds: DataFrame, sitemaps: DataFrame) -> DataFrame:
     """The sitemap documents that exist for the seeds, ``(domain, sitemap_url, body)``.
 
-    Places are compared as normalized URLs, so the spelling of a seed's host does not matter;
-    ``sitemap_url`` is the document's own.
+    Places are compared as normalized URLs without the default port, so neither the spelling of a
+    seed's host nor a written ``:443`` matters; ``sitemap_url`` is the document's own.
     """
     found = _keyed(sitemaps.where(F.col("status") == 200)).select("_key", F.col("url").alias("sitemap_url"), "body")
-    probes = U.with_normal_url(sitemap_probes(seeds), "sitemap_url", "_key").select("domain", "_key").distinct()
+    probes = _keyed(sitemap_probes(seeds), "sitemap_url").select("domain", "_key").distinct()
     return probes.join(found, "_key").drop("_key")
 
 
-def _keyed(sitemaps: DataFrame) -> DataFrame:
-    return U.with_normal_url(sitemaps, "url", "_key")
+def _keyed(df: DataFrame, url: str = "url") -> DataFrame:
+    """Adds ``_key``, the normalized place without the port its scheme has anyway."""
+    key = F.col("_key")
+    for scheme, port in S.DEFAULT_PORTS.items():
+        key = F.regexp_replace(key, rf"^({scheme}://[^/?#]*):{port}(?=[/?#]|$)", "$1")
+    return U.with_normal_url(df, url, "_key").withColumn("_key", key)
 
 
 def sitemap_index_locs(documents: DataFrame, strict: bool = False) -> DataFrame:
@@ -65,7 +69,7 @@ def sitemap_children(index_locs: DataFrame, sitemaps: DataFrame) -> DataFrame:
     Each child document is parsed once, however many indexes name it. A nested index lists no
     pages and is not followed.
     """
-    children = U.with_normal_url(index_locs, "loc", "_key").select("_key", "domain").distinct()
+    children = _keyed(index_locs, "loc").select("_key", "domain").distinct()
     wanted = children.select("_key").distinct()
     documents = _keyed(sitemaps).select("_key", "body").join(wanted, "_key", "left_semi")
     return sitemap_urls(documents).join(children, "_key").select("domain", "loc")

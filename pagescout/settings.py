@@ -68,6 +68,28 @@ SIGNAL_WEIGHTS = {
 PRODUCT_THRESHOLD = 50
 DENSE_ANCHOR_SHARE = 0.3
 
+# The port a scheme has when none is written.
+DEFAULT_PORTS = {"https": 443, "http": 80}
+
+# Fixed values of HTML: elements whose end tag may be left out, start tags that end them, elements inside which
+# those start tags do not, and further elements whose end tag ends them.
+_ROW_GROUPS = ["tbody", "thead", "tfoot"]
+_BLOCKS = [
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "main", "menu",
+    "nav", "ol", "pre", "search", "section", "summary", "ul",
+]
+IMPLIED_ENDS = {
+    "li": (["li"], ["ul", "ol", "menu"], []),
+    "dt": (["dt", "dd"], ["dl"], []),
+    "dd": (["dt", "dd"], ["dl"], []),
+    "p": ([*_BLOCKS, "p", "hr", "li", "dt", "dd", "table"], [], [*_BLOCKS, "li", "dt", "dd", "td", "th", "body", "html"]),
+    "option": (["option", "optgroup"], ["select", "datalist"], ["optgroup"]),
+    "tr": (["tr", *_ROW_GROUPS], ["table"], _ROW_GROUPS),
+    "td": (["td", "th", "tr", *_ROW_GROUPS], ["table"], ["tr", *_ROW_GROUPS]),
+    "th": (["td", "th", "tr", *_ROW_GROUPS], ["table"], ["tr", *_ROW_GROUPS]),
+}
+
 # Crawl limits: link depth, seconds between two fetches of one host, progress interval.
 MAX_DEPTH = 3
 CRAWL_DELAY_SECONDS = 1.0
@@ -89,3 +111,6 @@ FILTER_BITS = 1 << 27
 
 # URLs of one domain held in a single output array.
 URLS_PER_DOCUMENT = 100_000
+
+# Bytes of domains and URLs that the single row of the whole result may hold.
+ONE_ROW_BYTES = 256 * 1024 * 1024

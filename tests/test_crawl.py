@@ -209,6 +209,10 @@ def test_json_lines_and_chunks(spark, tmp_path):
     assert {k: len(v) for k, v in small.items()} == {"a": 25, "b": 1}
     assert {k: len(v) for k, v in RP.product_map(RP.product_urls_by_domain(df, 10)).first().products.items()} == {"a": 25, "b": 1}
     assert RP.product_map(RP.product_urls_by_domain(df, 10)).first().products["a"] == [f"u{i:03}" for i in range(25)]
+    with pytest.raises(RP.TooLargeForOneRow) as too_large:
+        RP.product_map(RP.product_urls_by_domain(df, 10), limit=100)
+    size = RP.product_map_bytes(RP.product_urls_by_domain(df, 10))
+    assert (too_large.value.size, too_large.value.limit) == (size, 100) and size == RP.product_map_bytes(RP.product_urls_by_domain(df)) + 2
 
 
 def test_no_products_give_an_empty_object(spark, tmp_path):

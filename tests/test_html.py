@@ -3,6 +3,7 @@ from html.parser import HTMLParser
 from pyspark.sql import functions as F
 
 from pagescout.functions import html as H
+from pagescout.functions.steps import settle
 from pagescout.operators import links as L
 from pagescout.operators import signals as SG
 from queryset import corpus as C
@@ -234,3 +235,30 @@ def test_breadcrumbs_of_a_long_page_take_linear_time(spark):
     run()
     print("seconds", time.time() - start)
     assert time.time() - start < 6
+
+
+def test_breadcrumbs_end_where_html_ends_them(spark):
+    cases = [
+        ("<ul><li class=breadcrumb>Home<li>Rest<li class=breadcrumb>Shop</ul>after", ["Home", "Shop"]),
+        ("<ul><li class=breadcrumb>Home<li class=breadcrumb>Shop</li></ul>after", ["Home", "Shop"]),
+        ("<ul><li class=breadcrumb>a<ul><li>b<li>c</ul>d</li><li>e</ul>", ["abcd"]),
+        ("<ul><li class=breadcrumb>a<ol><li>b</li></ol>c<li>d</ul>", ["abc"]),
+        ("<ul><li>x<ul><li class=breadcrumb>a</ul>b</ul>", ["a"]),
+        ("<p class=breadcrumb>Home<p>Rest", ["Home"]),
+        ("<div><p class=breadcrumb>Home <b>Shop</b></div>Rest", ["Home Shop"]),
+        ("<p class=breadcrumb>Home<br><img src=x>Shop<hr>Rest", ["HomeShop"]),
+        ("<dl><dt class=breadcrumb>Home<dd class=breadcrumb>Shop</dl>Rest", ["Home", "Shop"]),
+        ("<select><option class=breadcrumb>Home<option>Rest</select>", ["Home"]),
+        ("<table><tr><td class=breadcrumb>Home<td>Rest</table>", ["Home"]),
+        ("<table><tr><td class=breadcrumb>a<table><tr><td>b<td>c</table>d<tr><td>e</table>", ["abcd"]),
+        ("<table><tr class=breadcrumb><td>Home<td>Shop<tr><td>Rest</table>", ["HomeShop"]),
+        ("<ul class=breadcrumb><li>Home<li>Shop</ul>Rest", ["HomeShop"]),
+        ("<div class=breadcrumb><p>Home<p>Shop</div>Rest", ["HomeShop"]),
+        ("<div class=breadcrumb>never closed<p>at all", ["never closedat all"]),
+    ]
+    df = spark.createDataFrame([(i, page) for i, (page, _) in enumerate(cases)], "i INT, html STRING")
+    pieces = H.breadcrumb_pieces(F.col("html"), F.array(F.col("html"), F.lit("<x class=breadcrumb>")))
+    df = settle(df.withColumn("pieces", pieces), "pieces")
+    df = settle(df.withColumn("spans", H.breadcrumb_spans(F.col("pieces"))), "spans")
+    got = {r.i: r.texts for r in df.select("i", H.breadcrumb_texts(F.col("pieces"), F.col("spans")).alias("texts")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]

@@ -50,3 +50,14 @@ def test_the_spelling_of_a_seed_does_not_matter(spark):
         assert [r.url for r in SM.sitemap_products(seeds, maps).collect()] == ["https://shop1.com/p/1"], seed
     seeds = FR.seed_frontier(spark.createDataFrame([("https://X:8443",)], "url STRING"))
     assert [r.url for r in SM.sitemap_products(seeds, maps).collect()] == ["https://x/p"]
+
+
+def test_default_ports_do_not_hide_a_sitemap(spark):
+    seeds = spark.createDataFrame([("https://a:443/",), ("http://b:80",), ("https://c",), ("https://d:80",), ("http://e:8080",)], "url STRING")
+    maps = [("https://a/sitemap.xml", 200, ""), ("http://b/sitemap.xml", 200, ""), ("https://c:443/sitemap.xml", 200, ""), ("https://d/sitemap.xml", 200, ""), ("http://e:80/sitemap.xml", 200, "")]
+    found = SM.scan_sitemaps(FR.seed_frontier(seeds), spark.createDataFrame(maps, "url STRING, status INT, body STRING"))
+    assert {r.sitemap_url for r in found.collect()} == {m[0] for m in maps[:3]}
+    listing = ("https://a:443/sitemap_index.xml", 200, index("https://a:443/item.xml"))
+    maps = [listing, ("https://a/item.xml", 200, urlset("https://a/p/1"))]
+    rows = SM.sitemap_products(FR.seed_frontier(seeds), spark.createDataFrame(maps, "url STRING, status INT, body STRING")).collect()
+    assert [r.url for r in rows] == ["https://a/p/1"]
