@@ -7,8 +7,11 @@ differ little enough in what is left (suffix filter, by the parity of 64 classes
 What passes is verified once, on whole texts.
 
 Links are wanted as components. A shared shingle first compares all its texts with one of
-them; then only texts of one list that are still in different components are paired. So a group of
-thousands of near copies costs a comparison a text, and still no link between components is lost.
+them, a hub. As long as the lists of texts that are still in different components would make more pairs
+than a further turn does, and the last turn has found links, they get other hubs, eight times as many
+each turn. In the end the texts of one list that are still in different components are paired.
+So a group of thousands of near copies costs a few comparisons a text, also if none of them is
+near to all others, and still no link between components is lost.
 
 Rarity comes from counts in a table of fixed size over all shingles of all texts: any fixed order
 gives the same links, the counts only make prefixes rare.
@@ -34,6 +37,10 @@ SHINGLE = 5
 #: Cells of the table of counts: 4 MB. More cells keep rarity sharp on more text.
 CELLS = 1 << 20
 _SLICE = 1 << 16
+#: Hubs that an open list gets in the second turn; each further turn has so many times as many.
+HUBS = 8
+#: Pairs of one text that are verified in one task; the text of a hub goes to as many as it needs.
+PAIRS_A_TASK = 256
 
 
 def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +166,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, tenths: int) -> DataFrame:
 
     a = texts.select(F.col("id").alias("a"), F.col("key").alias("key_a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("id").alias("b"), F.col("key").alias("key_b"), F.col("text").alias("text_b"))
-    rows = pairs.join(b, "b").join(a, "a").select("key_a", "key_b", "text_a", "text_b", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    hot = pairs.groupBy("a").count().where(F.col("count") > PAIRS_A_TASK).select("a", F.ceil(F.col("count") / PAIRS_A_TASK).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    a = a.join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    rows = dealt.join(b, "b").join(a, ["a", "part"]).select("key_a", "key_b", "text_a", "text_b", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     return rows.mapInArrow(compare, "a binary, b binary, id_a long, id_b long")
 
 
@@ -174,42 +186,53 @@ def link_texts(docs: DataFrame, tenths: int = 8) -> DataFrame:
     shared = entries.groupBy("shingle").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a != _b").select("shingle")
     # Copies of a text have the same entries; one of each stays.
     lists = materialize(entries.join(shared, "shingle", "left_semi").distinct(), "prefixes")
-    entry = F.struct("id", "n", "place", "rest")
-    hubs = lists.groupBy("shingle").agg(F.min(entry).alias("b"))
-    star = (
-        lists.select("shingle", entry.alias("a"))
-        .join(hubs, "shingle")
-        .where((F.col("a.id") != F.col("b.id")) & _may_link("a", "b", tenths))
-        .select(F.col("b.id").alias("a"), F.col("a.id").alias("b"))
-        .distinct()
-    )
-    star = materialize(star, "star-pairs")
-    links = materialize(_verified(star, docs, tenths), "star-links")
-    labels = components(links)
-    # Lists with texts of several components: those outside the list's largest one meet all others.
-    known = links.select("a", "id_a").union(links.select("b", "id_b")).distinct().join(labels, F.col("a") == F.col("node"))
-    by_id = known.groupBy(F.col("id_a").alias("id")).agg(F.min("label").alias("label"))
-    own = F.coalesce("label", F.unhex(F.lpad(F.hex("id"), 16, "0")))
-    placed = lists.join(by_id, "id", "left").withColumn("label", own)
-    mixed = placed.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("shingle")
-    open_ = materialize(placed.join(mixed, "shingle", "left_semi"), "open-lists")
-    sizes = open_.groupBy("shingle", "label").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("shingle").agg(F.max(F.struct("m", "label")).alias("top")).select("shingle", F.col("top.label").alias("top"))
-    labelled = F.struct("id", "n", "place", "rest", "label")
-    few = open_.join(largest, "shingle").where("label != top").select("shingle", labelled.alias("a"))
-    cross = (
-        few.join(open_.select("shingle", labelled.alias("b")), "shingle")
+    alone = F.unhex(F.lpad(F.hex("id"), 16, "0"))
+    entry = F.struct("id", "n", "place", "rest", "label")
+    open_, labels, compared, nodes, turn = lists.withColumn("label", alone), None, None, None, 0
+    while True:
+        # The first hub is the same in all lists of a group, so most texts meet one other; later ones differ from list to list.
+        order = F.xxhash64("shingle", "id", F.lit(turn)) if turn else F.col("id")
+        hubs = open_.groupBy("shingle", F.pmod(F.xxhash64("id"), F.lit(HUBS**turn)).alias("_hub")).agg(F.min_by(entry, order).alias("b")).drop("_hub")
+        star = materialize(_candidates(open_.select("shingle", entry.alias("a")), hubs, compared, tenths), "star-pairs")
+        compared = star if compared is None else compared.union(star)
+        links = materialize(_verified(star, docs, tenths), "star-links")
+        nothing = links.isEmpty()
+        if labels is None or not nothing:
+            labels = components(_with_links(labels, links))
+            found = links.select(F.col("a").alias("node"), F.col("id_a").alias("id")).union(links.select("b", "id_b"))
+            nodes = found if nodes is None else nodes.union(found)
+            by_id = nodes.join(labels, "node").groupBy("id").agg(F.min("label").alias("label"))
+            placed = open_.drop("label").join(by_id, "id", "left").withColumn("label", F.coalesce("label", alone))
+            mixed = placed.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("shingle")
+            open_ = materialize(placed.join(mixed, "shingle", "left_semi"), "open-lists")
+        sizes = open_.groupBy("shingle", "label").agg(F.count("*").alias("m"))
+        largest = materialize(sizes.groupBy("shingle").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top")).select("shingle", "m", F.col("top.m").alias("n"), F.col("top.label").alias("top")), "largest")
+        rows, pairs = largest.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - F.col("n")).cast("double")), F.lit(0.0))).first()
+        if nothing or pairs <= HUBS ** (turn + 1) * rows:
+            break
+        turn += 1
+    # Texts outside the largest component of a list that is still open meet all others in it.
+    few = open_.join(largest.select("shingle", "top"), "shingle").where("label != top").select("shingle", entry.alias("a"))
+    cross = _candidates(few, open_.select("shingle", entry.alias("b")), compared, tenths)
+    more = materialize(_verified(materialize(cross, "cross-pairs"), docs, tenths), "cross-links")
+    return labels if more.isEmpty() else components(_with_links(labels, more))
+
+
+def _candidates(left: DataFrame, right: DataFrame, compared: DataFrame | None, tenths: int) -> DataFrame:
+    """``a, b``: ids, the smaller one first, of entries of one shingle in different components that pass the filters and have not been compared."""
+    found = (
+        left.join(right, "shingle")
         .where((F.col("a.label") != F.col("b.label")) & _may_link("a", "b", tenths))
         .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
         .distinct()
-        .join(star, ["a", "b"], "left_anti")
-        .join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     )
-    more = materialize(_verified(materialize(cross, "cross-pairs"), docs, tenths), "cross-links")
-    if not more.limit(1).count():
-        return labels
-    # What star links joined counts as a star around its label.
-    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b").union(more.select("a", "b")))
+    return found if compared is None else found.join(compared, ["a", "b"], "left_anti")
+
+
+def _with_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """New links together with what earlier ones joined, as a star around each label."""
+    new = links.select("a", "b")
+    return new if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b").union(new)
 
 
 def near_duplicates(docs: DataFrame, tenths: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
