@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagescout.llm import decontaminate, line_dedup, mixing, ngram_join, quality_gam
 from pagescout.llm.texts import text_key
-from pagescout.storage import materialize
+from pagescout.storage import Scratch, materialize, scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,12 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
     found = ngram_join.near_duplicates(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_of", text_key(F.col("text")))
-    return keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_key")), "left_semi").drop("_of").distinct()
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id", "key").alias("one")).distinct()
+    rows = docs.select(F.struct("doc_id", text_key(F.col("text")).alias("key")).alias("one"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(stays, F.md5(F.to_json(rows["one"])) == F.md5(F.to_json(stays["one"])), "left_semi")
+    # Of rows with one id and text, copies among them, the one that is least as text stays.
+    as_text = F.to_json(F.col("row"), {"ignoreNullFields": "false"})
+    return kept.groupBy("one").agg(F.min_by("row", F.sha2(as_text, 256)).alias("row")).select("row.*")
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +64,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what the stages write on the way is removed as soon as the next table is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    earlier = Scratch(spark)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as own:
+            kept = stage(spark, docs, sf_dir)
+        with scratch(spark) as result:
+            docs = materialize(kept, name.replace(" ", "-"))
+        own.release()
+        earlier.release()
+        earlier = result
     return docs
