@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagescout.llm.texts import ALNUM, Words, mix, signed, text_chunks, text_key, words_of
 from pagescout.operators.skew import lookup_join
@@ -147,13 +148,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     t = int(w.text[s])
                     found[t].append({"print": p, "whole": h, "start": s - int(w.first[t]), "size": n, "words": _words(w, s, n)})
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(np.diff(w.first), pa.int64()), pa.array(found, pa.list_(_SPAN_TYPE))],
-                names=[*part.schema.names[:-1], "_n_words", "_spans"],
+                [part.column(0), part.column(1), pa.array(np.diff(w.first), pa.int64()), pa.array(found, pa.list_(_SPAN_TYPE))],
+                names=["row", "_key", "_n_words", "_spans"],
             )
 
-    rows = docs.select(*kept, text_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    base = materialize(rows.mapInArrow(run, ", ".join([*fields, "_n_words long", f"_spans {_SPAN_DDL}"])), "windows")
+    # The row goes along as one column, so that no name of its own meets another.
+    rows = docs.select(F.struct(*kept).alias("row"), text_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL(f"_n_words long, _spans {_SPAN_DDL}").fields])
+    base = materialize(rows.mapInArrow(run, schema), "windows")
     suspect = F.size("_spans") > 0
     spans_of = base.where(suspect).groupBy("_key").agg(F.first("_spans").alias("_spans")).select("_key", F.inline("_spans"))
     lookup = items.select("whole", F.col("print").alias("_print"), F.col("words").alias("_words"), "items")
@@ -168,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         {"_starts": F.lit(None).cast(per_text.schema["_starts"].dataType), "_items": F.lit(None).cast(per_text.schema["_items"].dataType)}
     )
     return found.unionByName(clean).select(
-        *[F.col(c) if keep or c != id_col else F.col(c).alias("doc_id") for c in kept],
+        *[F.col("row")[c].alias(c if keep else "doc_id") for c in kept],
         F.col("_n_words").alias("n_words"),
         F.when(no_items, 0).otherwise(words_hit).cast("long").alias("n_hit"),
         F.coalesce("_items", F.array().cast(per_text.schema["_items"].dataType)).alias("items"),

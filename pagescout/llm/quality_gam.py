@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagescout.llm.texts import fold, labelled_sample, text_chunks, words_of
 
@@ -230,17 +231,17 @@ def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3,
     columns replace columns of ``docs`` of the same names.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")] if keep else ["doc_id"]
-    rows = docs.select(*names, F.col("text").cast("string").alias("_text"))
-    types = [f"`{c}` {rows.schema[i].dataType.simpleString()}" for i, c in enumerate(names)]
+    rows = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("score double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, "_text"):
             score = model.score(features(texts))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"]
+                [part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["row", "score", "predicted"]
             )
 
-    return rows.mapInArrow(run, ", ".join([*types, "score double", "predicted int"]))
+    return rows.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in names], "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagescout.llm.fm_index import FMIndex, repeated_stretches
 from pagescout.llm.texts import Words, distinct_texts, mix, signed, text_chunks, text_key, words_of
@@ -187,14 +188,14 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = text_key(F.col(text_col))
     texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = materialize(repeated_passages(texts), "spans").select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    rows = docs.select(*[F.col(c).alias("doc_id") if not keep else F.col(c) for c in kept], key.alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    joined = lookup_join(rows, spans, "_key").drop("_key")
-    joined = joined.select(*joined.columns[:-2], "_spans", "_text")
+    # The row goes along as one column, so that no name of its own meets another.
+    rows = docs.select(F.struct(*kept).alias("row"), key.alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    joined = lookup_join(rows, spans, "_key").select("row", "_spans", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts_ in text_chunks(batches, "_text"):
             n_words, n_removed, left = [], [], []
-            for text, ranges in zip(texts_, part.column(part.num_columns - 2).to_pylist(), strict=True):
+            for text, ranges in zip(texts_, part.column(1).to_pylist(), strict=True):
                 words = (text or b"").split()
                 gone = np.zeros(len(words), bool)
                 for r in ranges or ():
@@ -203,8 +204,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n_removed.append(int(gone.sum()))
                 left.append(b" ".join(x for x, out in zip(words, gone.tolist(), strict=True) if not out).decode() if n_removed[-1] else b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.string())], names=[*part.schema.names[:-2], *added]
+                [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.string())], names=["row", *added]
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]]
-    return joined.mapInArrow(run, ", ".join([*fields, "n_words long", "n_removed long", "kept_words string"]))
+    schema = T.StructType([joined.schema["row"], *T.StructType.fromDDL("n_words long, n_removed long, kept_words string").fields])
+    return joined.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c if keep else "doc_id") for c in kept], *added)

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pagescout.llm import decontaminate, line_dedup, ngram_join, substring_dedup
+from pagescout.llm import decontaminate, line_dedup, ngram_join, quality_gam, substring_dedup
 from pagescout.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size long"
@@ -208,3 +208,28 @@ def test_contamination_matches_brute_force(spark):
     assert kept.columns[:7] == ["doc_id", "text", "lang", "source", "n_chars", "key", "size"] and kept.count() == len(rows)
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
     assert decontaminate.contamination(docs(spark, rows), bench.where("false")).where("contaminated").count() == 0
+
+
+def test_columns_of_own_names_and_maps_pass_through(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, passage, "k", "t", "s", 7, {"a": 1}), (2, passage + " end", None, None, None, None, None), (None, None, "k", "t", "s", 7, {})]
+    own = spark.createDataFrame(rows, "doc_id long, text string, _key string, _text string, _spans string, _n_words long, row map<string, long>")
+    bench = spark.createDataFrame([(1, "w3 w4 w5")], "item_id long, text string")
+    order = lambda df: sorted((tuple(r) for r in df.select(*own.columns).collect()), key=repr)
+    same = sorted(rows, key=repr)
+    hit = decontaminate.contamination(own, bench, keep=True)
+    assert order(hit) == same and sorted(r["n_hit"] for r in hit.collect()) == [0, 3, 3]
+    cut = substring_dedup.remove_passages(own, keep=True)
+    assert order(cut) == same and sorted(r["n_removed"] for r in cut.collect()) == [0, 40, 40]
+    model = quality_gam.train(own, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert order(quality_gam.score_quality(own, model, keep=True)) == same
+
+
+def test_open_lists_get_further_hubs(spark, monkeypatch):
+    """Texts in chains of links, no one near to all others, and texts that share a passage without a link."""
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
+    base, passage = [f"w{i}" for i in range(200)], [f"p{i}" for i in range(12)]
+    rows = [(i, " ".join(base[4 * i : 4 * i + 100])) for i in range(20)]
+    rows += [(100 + i, " ".join(passage + [f"x{i // 3}-{j}" for j in range(20)] + ["z"] * (i % 3))) for i in range(30)]
+    found = ngram_join.near_duplicates(docs(spark, rows)).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_components(rows)
