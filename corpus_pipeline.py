@@ -59,7 +59,7 @@ STAGES = [
     ("mixing sources to target weights", mixture),
 ]
 
-#: The classifier cannot be written in SQL; tests/llm compares the stages with plain Python.
+#: The classifier cannot be written in SQL; tests/llm looks at its stages one by one.
 ORACLE_SQL = None
 
 
