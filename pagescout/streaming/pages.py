@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pagescout.operators.signals import page_signals, product_pages
 from pagescout.sources.tables import FETCHED_SCHEMA, scan_pages
 from pagescout.storage import new_path
 
+#: Groups of domains that share their state in a stream of stalls, counts of domains that may wait there to be added up, ticks told at one time.
+STALL_BUCKETS, PIECES, TICKS = 256, 4096, 100_000
+
 
 def read_page_stream(
     spark: SparkSession, path: str, schema: str = FETCHED_SCHEMA, files_per_trigger: int | None = None
@@ -78,67 +82,111 @@ def stream_progress(
 
 
 class _Ticks(StatefulProcessor):
-    """Per key: the counts of ticks that are still open, the last tick that was told, and the count up to it."""
+    """Per bucket of domains: of each domain the last tick that was told, the count up to it and the counts of ticks that are still open.
+
+    A bucket costs a few calls to the state store a batch, however many domains and ticks it holds. New counts are appended;
+    they meet the older ones when time passes a tick, or when there are more of them than of those.
+    """
 
     def __init__(self, step_ms: int):
         self.step = step_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "tick long", "added long")
-        self.told = handle.getValueState("told", "tick long, visited long")
+        self.domains = handle.getListState("domains", "domain string, told long, visited long, ticks array<long>, added array<long>")
+        self.told = handle.getValueState("told", "tick long, kept long, appended long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        told = self.told.get()[0] if self.told.exists() else None
-        added = Counter()
+        told, kept, appended = self.told.get() if self.told.exists() else (None, 0, 0)
+        counts: dict[str | None, Counter] = {}
         for frame in rows:
-            added.update(frame["tick_ms"].tolist())
-        for tick, n in added.items():
-            # What comes behind its tick was dropped by the watermark already.
-            if told is None or tick > told:
-                before = self.open.getValue((tick,))[0] if self.open.containsKey((tick,)) else 0
-                self.open.updateValue((tick,), (before + n,))
-        if told is None and added:
-            self.handle.registerTimer(min(added))
+            for (domain, tick), n in frame.groupby(["domain", "tick_ms"], dropna=False).size().items():
+                counts.setdefault(domain if isinstance(domain, str) else None, Counter())[int(tick)] += int(n)
+        if not counts:
+            return iter(())
+        self.domains.appendList([(domain, None, 0, list(new), list(new.values())) for domain, new in counts.items()])
+        appended += len(counts)
+        if appended > kept + PIECES:
+            whole = [(domain, last, visited, *self._summed(ticks, added)) for domain, (last, visited, ticks, added) in self._whole().items()]
+            self.domains.put(whole)
+            kept, appended = len(whole), 0
+        self.told.update((told, kept, appended))
+        if told is None:
+            self.handle.registerTimer(min(min(new) for new in counts.values()))
         return iter(())
 
+    def _whole(self) -> dict[str | None, list]:
+        """Of each domain ``[told, visited, ticks, added]``, its rows in the state put together."""
+        out: dict[str | None, list] = {}
+        for domain, last, visited, ticks, added in self.domains.get():
+            one = out.setdefault(domain, [None, 0, [], []])
+            if last is not None:
+                one[:2] = last, visited
+            one[2].extend(ticks)
+            one[3].extend(added)
+        return out
+
+    @staticmethod
+    def _summed(ticks, added) -> tuple[list[int], list[int]]:
+        different, place = np.unique(np.array(ticks, np.int64), return_inverse=True)
+        total = np.zeros(different.size, np.int64)
+        np.add.at(total, place, np.array(added, np.int64))
+        return different.tolist(), total.tolist()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Tells every tick up to the watermark, also those without rows, and waits for the next one."""
         due = timerValues.getCurrentWatermarkInMs() // self.step * self.step
-        if self.told.exists():
-            last, visited = self.told.get()
-        else:
-            last, visited = min(k[0] for k in self.open.keys()) - self.step, 0
-        out = []
-        for tick in range(last + self.step, due + 1, self.step):
-            added = 0
-            if self.open.containsKey((tick,)):
-                added = self.open.getValue((tick,))[0]
-                self.open.removeKey((tick,))
-            visited += added
-            out.append((*key, tick, visited, added == 0))
-        self.told.update((max(last, due), visited))
-        self.handle.registerTimer(max(last, due) + self.step)
+        told = self.told.get()[0]
+        if told is not None and told >= due:
+            self.handle.registerTimer(told + self.step)
+            return
+        kept, out, size = [], [], 0
+        for domain, (last, visited, ticks, added) in self._whole().items():
+            # What comes behind its tick was dropped by the watermark already.
+            open_ = np.array(ticks, np.int64) > (-1 if last is None else last)
+            ticks, added = np.array(ticks, np.int64)[open_], np.array(added, np.int64)[open_]
+            before = int(ticks.min()) - self.step if last is None else last
+            for first in range(before, due, self.step * TICKS):
+                end = min(due, first + self.step * TICKS)
+                now = (ticks > first) & (ticks <= end)
+                counts = np.zeros((end - first) // self.step, np.int64)
+                np.add.at(counts, (ticks[now] - first) // self.step - 1, added[now])
+                total = visited + np.cumsum(counts)
+                out.append(pd.DataFrame({"domain": domain, "tick": np.arange(first + self.step, end + 1, self.step), "visited": total, "stalled": counts == 0}))
+                last, visited, size = end, int(total[-1]), size + counts.size
+                if size >= TICKS:
+                    yield self._rows(out)
+                    out, size = [], 0
+            later = ticks > due
+            kept.append((domain, last, visited, *self._summed(ticks[later], added[later])))
+        self.domains.put(kept)
+        self.told.update((due, len(kept), 0))
+        self.handle.registerTimer(due + self.step)
         if out:
-            frame = pd.DataFrame(out, columns=["domain", "tick", "visited", "stalled"])
-            yield frame.assign(tick=pd.to_datetime(frame["tick"], unit="ms", utc=True))
+            yield self._rows(out)
+
+    @staticmethod
+    def _rows(out: list[pd.DataFrame]) -> pd.DataFrame:
+        frame = pd.concat(out, ignore_index=True)
+        return frame.assign(tick=pd.to_datetime(frame["tick"], unit="ms", utc=True))
 
     def close(self) -> None:
         pass
 
 
-def stream_stalls(feed: DataFrame, interval_seconds: int = S.MONITOR_SECONDS, lateness: str = "10 minutes") -> DataFrame:
+def stream_stalls(feed: DataFrame, interval_seconds: int = S.MONITOR_SECONDS, lateness: str = "10 minutes", buckets: int = STALL_BUCKETS) -> DataFrame:
     """Z3: ``(domain, tick, visited, stalled)``, the ticks of each domain as time passes them.
 
     Like :func:`pagescout.operators.reports.stall_monitor` of each domain, but as a stream: a timer goes off at every tick, so
     that a tick in which *nothing* came is told as soon as the watermark passes it. ``feed`` has ``fetched_at`` and ``domain``. A
-    domain is followed from its first row on. State: open ticks, one count each, and two numbers a domain. Needs the
-    state store that :func:`keyed_state` sets.
+    domain is followed from its first row on. State: open ticks, one count each, and two numbers a domain, kept by ``buckets``
+    hashed groups of domains, whose number stays the same over restarts. Needs the state store that :func:`keyed_state` sets.
     """
     step = interval_seconds
     tick_ms = F.ceil((F.unix_timestamp("fetched_at") + 1) / step).cast("long") * step * 1000
-    ticks = feed.withWatermark("fetched_at", lateness).select("domain", "fetched_at", tick_ms.alias("tick_ms"))
-    return ticks.groupBy("domain").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("domain"), F.lit(buckets))
+    ticks = feed.withWatermark("fetched_at", lateness).select(bucket.alias("bucket"), "domain", "fetched_at", tick_ms.alias("tick_ms"))
+    return ticks.groupBy("bucket").transformWithStateInPandas(
         _Ticks(step * 1000), "domain string, tick timestamp, visited long, stalled boolean", "Append", "EventTime"
     )
 

@@ -107,3 +107,83 @@ def test_dedup_in_windows_over_restarts(spark):
     whole = parts[0].union(parts[1]).union(parts[2])
     want = whole.select(F.col("url").alias("url_key"), F.window("fetched_at", "10 minutes").start.alias("start")).distinct()
     assert fresh.exceptAll(want).isEmpty() and want.exceptAll(fresh).isEmpty()
+
+
+class _Store:
+    """A state store for one bucket that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.kept = 0, [], {}
+
+    def getListState(self, name, schema):
+        return _Variable(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class _Variable:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _call(self, *value, add=False):
+        self.store.calls += 1
+        if value:
+            self.store.kept[self.name] = (self.store.kept.get(self.name, []) if add else []) + list(value[0])
+        return self.store.kept.get(self.name)
+
+    def exists(self):
+        return self._call() is not None
+
+    def get(self):
+        return iter(self._call() or [])
+
+    def put(self, rows):
+        self._call(rows)
+
+    def appendList(self, rows):
+        self._call(rows, add=True)
+
+    def update(self, row):
+        self._call(row)
+
+
+class _Value(_Variable):
+    def get(self):
+        return tuple(self._call())
+
+
+def test_stalls_cost_calls_by_bucket_and_not_by_domain_or_tick(monkeypatch):
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    monkeypatch.setattr(ST, "PIECES", 100)
+    monkeypatch.setattr(ST, "TICKS", 64)
+    store = _Store()
+    store.getValueState = lambda name, schema: _Value(store, name)
+    ticks, rng = ST._Ticks(10), random.Random(3)
+    ticks.init(store)
+    names = [*(f"d{i}" for i in range(200)), None]
+    fed, told, calls = [], [], []
+    for low, high, watermark in ((0, 500, -1), (50, 700, 305), (400, 900, 308), (310, 2000, 1500), (1510, 1600, 2777)):
+        rows = [(rng.choice(names), rng.randrange(low // 10 + 1, high // 10) * 10) for _ in range(1500)]
+        fed += rows
+        store.calls = 0
+        frame = pd.DataFrame(rows, columns=["domain", "tick_ms"])
+        list(ticks.handleInputRows((0,), iter([frame[:700], frame[700:]]), None))
+        if any(t <= watermark for t in store.timers):
+            store.timers.clear()
+            for out in ticks.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w), None):
+                told += [(None if d != d or d is None else d, t.value // 10**6, v, s) for d, t, v, s in out.itertuples(index=False)]
+        calls.append(store.calls)
+    want = []
+    for name in names:
+        mine = [t for d, t in fed if d == name]
+        want += [(name, t, sum(x <= t for x in mine), t not in mine) for t in range(min(mine), 2771, 10)]
+    assert sorted(told, key=str) == sorted(want, key=str)
+    assert max(calls) < 20
