@@ -95,12 +95,15 @@ def fetch_join(frontier: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``frontier`` has each ``url_key`` once. A frontier that is measured as small is broadcast and
     the pages do not move. Beyond that, a bit filter of the frontier's keys cuts the pages down in place,
-    and what passes is joined with a URL stored many times spread over tasks.
+    and what passes is joined with a URL stored many times spread over tasks. The frontier, often the links of all pages, and
+    the pages that pass are written once, as each of these steps reads them again.
     """
+    frontier = materialize(frontier, "wanted")
     wanted = frontier.withColumn("_wanted", F.lit(True))
     if fits_broadcast(frontier, S.BROADCAST_LIMIT_BYTES):
         return pages.join(F.broadcast(frontier), "url_key")
     near = may_match(pages, "url_key", materialize(key_bits(frontier.select("url_key"), "url_key"), "frontier-bits"))
+    near = materialize(near, "near")
     found = salted_join(near, wanted, "url_key", S.ROWS_PER_TASK).where(F.col("_wanted"))
     return found.drop("_wanted")
 

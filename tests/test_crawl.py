@@ -218,3 +218,28 @@ def test_json_lines_and_chunks(spark, tmp_path):
 def test_no_products_give_an_empty_object(spark, tmp_path):
     sinks.write_product_json(spark.createDataFrame([], "domain STRING, url STRING"), str(tmp_path / "none"))
     assert "".join(p.read_text() for p in sorted(Path(tmp_path / "none").glob("part-*"))) == "{}\n"
+
+
+def _counted_frontier(spark):
+    """Frontier rows, and how many were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(300).selectExpr("concat('https://h/', id) AS url_key", "cast(id % 3 AS int) AS depth", "'h' AS domain")
+    return rows.mapInPandas(count, rows.schema), seen
+
+
+def test_a_frontier_is_computed_once(spark, monkeypatch):
+    from pagescout import settings as S
+    from pagescout.operators import frontier as FR
+
+    pages = spark.range(0, 600, 2).selectExpr("id AS page_id", "concat('https://h/', id) AS url_key")
+    for limit in (S.BROADCAST_LIMIT_BYTES, 0):
+        monkeypatch.setattr(S, "BROADCAST_LIMIT_BYTES", limit)
+        frontier, seen = _counted_frontier(spark)
+        assert FR.fetch_join(frontier, pages).count() == 150
+        assert seen.value == 300
