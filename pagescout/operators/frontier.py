@@ -133,9 +133,10 @@ def round_bound(frontier: DataFrame, n: int, ranges: int = 1000, at_once: int =
 
     ``frontier`` has each ``url_key`` once. The last key that stays is found by counting: rows by depth, then the rows of
     the deciding depth in ``ranges`` ranges of URLs, then those of the deciding range again, until at most
-    ``at_once`` URLs are left to be sorted. What stays is one filter on the rows; nothing is sorted as a whole.
+    ``at_once`` URLs are left to be sorted. What stays is one filter on the rows, which are written once; nothing is sorted as a whole.
     """
-    keys = materialize(frontier.select("depth", "url_key"), "round-keys")
+    frontier = materialize(frontier, "round")
+    keys = frontier.select("depth", "url_key")
     left, last_depth = n, None
     for row in keys.groupBy("depth").count().orderBy("depth").collect():  # as many as the crawl has depths
         last_depth = row["depth"]

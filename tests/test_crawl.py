@@ -243,3 +243,7 @@ def test_a_frontier_is_computed_once(spark, monkeypatch):
         frontier, seen = _counted_frontier(spark)
         assert FR.fetch_join(frontier, pages).count() == 150
         assert seen.value == 300
+    frontier, seen = _counted_frontier(spark)
+    kept, dropped = FR.round_bound(frontier, 120, ranges=10, at_once=20)
+    assert (kept.count(), dropped.count()) == (120, 180)
+    assert seen.value == 300
