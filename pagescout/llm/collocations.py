@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pagescout.llm.decontaminate import passes, print_filter
 from pagescout.llm.texts import Words, mix, signed, words_of
-from pagescout.operators.skew import first_n_per_group, lookup_join
+from pagescout.operators.skew import first_n_per_group, fits_broadcast, lookup_join
 from pagescout.storage import materialize
 
 #: A phrase is common with so many occurrences in its language.
@@ -216,6 +216,23 @@ def score() -> Column:
     return F.expr("(1000000BD * (CAST(a AS DECIMAL(15,0)) * CAST(a AS DECIMAL(15,0)))) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
 
 
+def _outside(many: DataFrame, longest: int, share: int) -> DataFrame:
+    """``key, size, a`` of the phrases that no longer one holds with ``share`` percent of their occurrences.
+
+    Phrases and what longer ones hold are grouped together, each once: no join, whose rows would move again.
+    """
+    words, prefix = F.split(_phrase(F.col("key")), " "), F.concat(_lang(F.col("key")), F.lit("\n"))
+    split = many.where("size >= 3").withColumns({"_words": words, "_prefix": prefix})
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = [many.select("key", "size", "a", none("long").alias("longer"))]
+    for n in range(2, longest):
+        for i in range(1, longest - n + 2):
+            inner = F.concat("_prefix", F.array_join(F.slice("_words", i, n), " "))
+            rows.append(split.where(F.col("size") >= max(n + 1, n + i - 1)).select(inner.alias("key"), none("int").alias("size"), none("long").alias("a"), F.col("a").alias("longer")))
+    grouped = reduce(DataFrame.unionByName, rows).groupBy("key").agg(F.max("size").alias("size"), F.max("a").alias("a"), F.max("longer").alias("longer"))
+    return grouped.where(F.col("a").isNotNull() & F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True))).select("key", "size", "a")
+
+
 def collocations(docs: DataFrame, top: int = 2000, share: int = 50, **options) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the best phrases of two words or more, from the best one on.
 
@@ -225,27 +242,22 @@ def collocations(docs: DataFrame, top: int = 2000, share: int = 50, **options) -
     An empty table gives an empty result.
     """
     common, longest = common_phrases(docs, **options), options.get("longest", LONGEST)
-    words = F.split(_phrase(F.col("key")), " ")
-    prefix = F.concat(_lang(F.col("key")), F.lit("\n"))
-    many = common.where("size >= 2").withColumns({"_words": words, "_prefix": prefix})
+    many = _outside(common.where("size >= 2"), longest, share)
+    words, prefix = F.split(_phrase(F.col("key")), " "), F.concat(_lang(F.col("key")), F.lit("\n"))
+    # Written once, as both lookups count the parts before they join.
+    many = materialize(many, "uncut").withColumns({"_words": words, "_prefix": prefix})
     span = lambda first, n: F.concat("_prefix", F.array_join(F.slice("_words", first, n), " "))
-    # What a longer phrase holds goes first, so that only the rest is cut.
-    inner = [many.where(F.col("size") >= max(n + 1, n + i - 1)).select(F.col("a").alias("longer"), span(F.lit(i), F.lit(n)).alias("key"))
-             for n in range(2, longest) for i in range(1, longest - n + 2)]
-    if inner:
-        inside = reduce(DataFrame.unionByName, inner).groupBy("key").agg(F.max("longer").alias("longer"))
-        many = many.join(inside, "key", "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True)))
     cut_at = [
-        many.where(F.col("size") > k).select(
-            "key", "size", "a", F.lit(k).alias("k"), span(F.lit(1), F.lit(k)).alias("left"), span(F.lit(k + 1), F.col("size") - k).alias("right")
-        )
+        many.where(F.col("size") > k).select("a", F.lit(k).alias("k"), span(F.lit(1), F.lit(k)).alias("left"), span(F.lit(k + 1), F.col("size") - k).alias("right"))
         for k in range(1, longest)
     ]
     cuts = reduce(DataFrame.unionByName, cut_at)
-    parts = common.where("size >= 1")
-    cuts = lookup_join(cuts, parts.select(F.col("key").alias("left"), F.col("a").alias("l")), "left")
-    cuts = lookup_join(cuts, parts.select(F.col("key").alias("right"), F.col("a").alias("r")), "right")
-    best = cuts.withColumn("score", score()).groupBy("key", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    parts = common.where("size >= 1").select("key", "a")
+    fits = fits_broadcast(parts)
+    joined = lookup_join(cuts, parts.toDF("left", "l"), "left", fits=fits)
+    joined = lookup_join(joined, parts.toDF("right", "r"), "right", fits=fits, counted=cuts)
+    key = F.concat("left", F.lit(" "), _phrase(F.col("right"))).alias("key")
+    best = joined.withColumn("score", score()).groupBy(key, "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     named = best.select(_lang(F.col("key")).alias("lang"), _phrase(F.col("key")).alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     first = first_n_per_group(named, ["lang"], order, top)

@@ -84,3 +84,24 @@ def test_long_texts_are_cut_between_pieces():
     chunks = list(C._chunks(iter([batch])))
     assert b"".join(t for _, part in chunks for t in part) == text and len(chunks) > 1
     assert all(t.endswith(b".") for _, part in chunks[:-1] for t in part)
+
+
+def test_phrases_are_put_together_and_looked_up_once(spark, monkeypatch):
+    from pagescout.operators import skew
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, "en", " ".join(rnd.choices(words, k=30))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    # No lookup fits a broadcast, so keys are counted and spread.
+    monkeypatch.setattr(C, "fits_broadcast", lambda *_: False)
+    lookups = []
+    salted = skew.salted_join
+    monkeypatch.setattr(skew, "salted_join", lambda left, lookup, key, most, *counted: lookups.append((left, counted)) or salted(left, lookup, key, 50, *counted))
+    many = C._outside(C.common_phrases(docs).where("size >= 2"), 3, 50)
+    assert "Join" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in C.collocations(docs).collect()} == brute(rows)
+    # The parts are counted on what was written, in front of the joins.
+    for left, counted in lookups:
+        plan = (counted[0] if counted and counted[0] is not None else left)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "uncut" in str((counted[0] if counted and counted[0] is not None else left).inputFiles())
