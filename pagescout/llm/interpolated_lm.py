@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagescout.llm.texts import SPACED, binary, fold, mix, words_of
-from pagescout.storage import materialize, materialize_bucketed
+from pagescout.storage import materialize_bucketed
 
 #: Text of a chunk on average, and different words and bigrams of a block about; bytes and entries.
 CHUNK, BLOCK = 8 << 20, 2_000_000
@@ -68,6 +68,23 @@ def _widen(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Rising 64-bit keys: the first, then their distances, byte by byte, without the bytes that are zero in all of them."""
+    gaps = np.diff(keys)
+    width = (int(gaps.max()).bit_length() + 7) // 8 if gaps.size else 0
+    return keys[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() + bytes([width])
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    first, width = np.frombuffer(data, "<u8", 1), data[-1]
+    if not width:
+        return first.astype(np.uint64)
+    planes = np.frombuffer(data, np.uint8, offset=8, count=len(data) - 9).reshape(width, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :width] = planes.T
+    return np.cumsum(np.concatenate([first, gaps.view("<u8").ravel()]), dtype=np.uint64)
+
+
 def _blocks(values: np.ndarray, blocks: int) -> np.ndarray:
     """Where each block begins among sorted values, and the end."""
     high = ((values >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
@@ -93,7 +110,7 @@ def _questions(chunks: DataFrame, blocks: int) -> DataFrame:
             edge = _blocks(values, blocks)
             for b in np.flatnonzero(np.diff(edge)):
                 block.append(kind * blocks + int(b))
-                keys.append(values[edge[b] : edge[b + 1]].tobytes())
+                keys.append(_packed(values[edge[b] : edge[b + 1]]))
                 counts.append(_narrow(seen[edge[b] : edge[b + 1]]))
         return pa.table({"block": pa.array(block, pa.int32()), "chunk": pa.array([table["chunk"][0].as_py()] * len(block), pa.int32()), "keys": binary(keys), "counts": binary(counts)})
 
@@ -117,6 +134,10 @@ def _answer(table: pa.Table) -> pa.Table:
     })
 
 
+def _answer_packed(table: pa.Table) -> pa.Table:
+    return _answer(table.set_column(table.column_names.index("keys"), "keys", binary([_unpacked(k) for k in table["keys"].to_pylist()])))
+
+
 @dataclass
 class Counts:
     """What a chunk knows of its tokens after the answers."""
@@ -211,9 +232,11 @@ def train(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int"))
     # A task reads whole buckets, so their number follows the chunks and not the session's partitions.
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // CHUNKS_PER_TASK))
-    chunks = materialize_bucketed(dealt, "texts", "chunk", min(buckets, MOST_BUCKETS))
-    answers = _questions(chunks, blocks).groupBy("block").applyInArrow(_answer, "chunk int, block int, totals binary, different long, seen long")
-    answers = materialize(answers, "counts")
+    buckets = min(buckets, MOST_BUCKETS)
+    chunks = materialize_bucketed(dealt, "texts", "chunk", buckets)
+    answers = _questions(chunks, blocks).groupBy("block").applyInArrow(_answer_packed, "chunk int, block int, totals binary, different long, seen long")
+    # In buckets like the texts: both steps that bring them together read them in place.
+    answers = materialize_bucketed(answers, "counts", "chunk", buckets)
     stats = answers.where((F.col("chunk") == -1) & (F.col("block") < blocks)).agg(F.sum("seen"), F.sum("different")).first()
     out = Trained(chunks, answers.where("chunk >= 0"), blocks, stats[0] or 0, stats[1] or 0, texts or 0, np.empty(0))
     tokens, train_texts = out.tokens, out.texts

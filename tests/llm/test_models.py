@@ -215,3 +215,18 @@ def test_an_id_is_sampled_once_however_often_it_stands(spark):
     first = {i: min((t or "" for j, t in rows if j == i), key=lambda t: hashlib.md5(t.encode()).digest()) for i in train}
     assert sorted((r[0], r[1] or "", r[2]) for r in got.collect()) == [(i, first[i], i % 2) for i in train]
     assert labelled_sample(docs, labels, "quality", 7).count() == 7
+
+
+def test_language_model_moves_narrow_keys_once(spark, odd, monkeypatch):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 50_000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        assert (interpolated_lm._unpacked(interpolated_lm._packed(keys)) == keys).all()
+        assert len(interpolated_lm._packed(keys)) <= 7 * keys.size + 10
+    ends = np.array([0, 1, (1 << 64) - 1], np.uint64)
+    assert (interpolated_lm._unpacked(interpolated_lm._packed(ends)) == ends).all()
+    monkeypatch.setattr(interpolated_lm, "CHUNK", 60_000)
+    docs = spark.createDataFrame(odd[0], odd[1]) if isinstance(odd, tuple) else odd
+    plan = interpolated_lm.score_by_fold(docs)._jdf.queryExecution().executedPlan().toString()
+    # Texts and answers lie in buckets of their chunk.
+    assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan
