@@ -179,13 +179,13 @@ def stream_stalls(feed: DataFrame, interval_seconds: int = S.MONITOR_SECONDS, la
 
     Like :func:`pagescout.operators.reports.stall_monitor` of each domain, but as a stream: a timer goes off at every tick, so
     that a tick in which *nothing* came is told as soon as the watermark passes it. ``feed`` has ``fetched_at`` and ``domain``. A
-    domain is followed from its first row on. State: open ticks, one count each, and two numbers a domain, kept by ``buckets``
+    domain is followed from its first row on; rows without a time do not count. State: open ticks, one count each, and two numbers a domain, kept by ``buckets``
     hashed groups of domains, whose number stays the same over restarts. Needs the state store that :func:`keyed_state` sets.
     """
     step = interval_seconds
     tick_ms = F.ceil((F.unix_timestamp("fetched_at") + 1) / step).cast("long") * step * 1000
     bucket = F.pmod(F.xxhash64("domain"), F.lit(buckets))
-    ticks = feed.withWatermark("fetched_at", lateness).select(bucket.alias("bucket"), "domain", "fetched_at", tick_ms.alias("tick_ms"))
+    ticks = feed.where(F.col("fetched_at").isNotNull()).withWatermark("fetched_at", lateness).select(bucket.alias("bucket"), "domain", "fetched_at", tick_ms.alias("tick_ms"))
     return ticks.groupBy("bucket").transformWithStateInPandas(
         _Ticks(step * 1000), "domain string, tick timestamp, visited long, stalled boolean", "Append", "EventTime"
     )

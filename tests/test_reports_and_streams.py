@@ -187,3 +187,11 @@ def test_stalls_cost_calls_by_bucket_and_not_by_domain_or_tick(monkeypatch):
         want += [(name, t, sum(x <= t for x in mine), t not in mine) for t in range(min(mine), 2771, 10)]
     assert sorted(told, key=str) == sorted(want, key=str)
     assert max(calls) < 20
+
+
+def test_stalls_of_rows_without_time_or_domain(spark):
+    at = datetime(2024, 1, 1, 10, 0, 5)
+    rows = [("a", at), ("a", None), (None, at), ("b", None), ("a", at + timedelta(seconds=95))]
+    feed = spark.createDataFrame(rows, "domain string, fetched_at timestamp")
+    told = ST.run_in_parts([feed], lambda f: ST.stream_stalls(f, 30, "1 second"), "stalls")
+    assert sorted((r.domain or "", r.visited, r.stalled) for r in told.collect()) == [("", 1, False), ("", 1, True), ("", 1, True), ("a", 1, False), ("a", 1, True), ("a", 1, True)]
