@@ -156,6 +156,10 @@ def _crawl(seeds, pages, robots, sitemaps, o: CrawlOptions) -> tuple[DataFrame,
     facts = materialize_bucketed(page_facts(parsed), "facts", "url_key", buckets)
     # Of the copies of a URL only the standing one is expanded; the join spreads them by page.
     standing = parsed.join(facts.select("url_key", "page_id"), ["url_key", "page_id"], "left_semi")
+    if o.max_depth < 2:
+        # Pages found in the first round are the last: only seeds are expanded, if any page is.
+        expanded = frontier.select("url_key").distinct() if o.max_depth else frontier.select("url_key").limit(0)
+        standing = standing.join(expanded, "url_key", "left_semi")
     edges = materialize_bucketed(page_edges(standing), "edges", "url_key", buckets)
 
     rounds: list[DataFrame] = []

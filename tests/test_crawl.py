@@ -247,3 +247,21 @@ def test_a_frontier_is_computed_once(spark, monkeypatch):
     kept, dropped = FR.round_bound(frontier, 120, ranges=10, at_once=20)
     assert (kept.count(), dropped.count()) == (120, 180)
     assert seen.value == 300
+
+
+@pytest.mark.parametrize("max_depth, resolved", [(0, set()), (1, {"http://h/a"}), (2, {"http://h/a", "http://h/b", "http://h/c"})])
+def test_only_links_that_can_be_followed_are_resolved(spark, monkeypatch, max_depth, resolved):
+    from pagescout.plans import crawl as CR
+
+    seen, page_edges = set(), CR.page_edges
+
+    def noted(parsed):
+        seen.update(r.url_key for r in parsed.collect())
+        return page_edges(parsed)
+
+    monkeypatch.setattr(CR, "page_edges", noted)
+    pages = [("http://h/a", '<a href="/b">b</a>'), ("http://h/b", '<a href="/c">c</a>'), ("http://h/c", "")]
+    result = crawl(spark, ["http://h/a", "http://h/a"], pages, max_depth=max_depth)
+    depths = {(r.url_key, r.depth) for r in result.visited.collect()}
+    assert depths == {(f"http://h/{p}", d) for d, p in enumerate("abc") if d <= max_depth}
+    assert seen == resolved
