@@ -5,7 +5,7 @@ context u was seen, by powers of two. They are learned by expectation-maximisati
 training documents, each against counts from which its own have been deleted.
 
 Counts cover the whole training part and are never brought together in one place. Documents are
-dealt to chunks of a few MB. A chunk asks for the counts of its different words and bigrams, as
+dealt to chunks of a few MB within the partition that reads them. A chunk asks for the counts of its different words and bigrams, as
 64-bit hashes that are dealt to blocks by value; a block adds up what all chunks have seen of
 each and answers every chunk in the order of its question. A frequent word costs one entry a chunk.
 """
@@ -218,6 +218,22 @@ class Trained:
     weights: np.ndarray
 
 
+def chunk_shares(sizes: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], int]:
+    """``(partition, first chunk, chunks)`` and the number of chunks: a large partition has several to itself, small ones share one."""
+    shares, count, room = [], 0, 0
+    for part, size in sorted(sizes):
+        n = -(-size // CHUNK)
+        if n > 1:
+            shares.append((part, count, n))
+            count, room = count + n, 0
+            continue
+        if size > room:
+            count, room = count + 1, CHUNK
+        shares.append((part, count - 1, 1))
+        room -= size
+    return shares, max(1, count)
+
+
 def train(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> Trained:
     """Counts of the rows that are not ``held_out`` (a column), and the weights learned on them.
 
@@ -225,20 +241,25 @@ def train(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size, n, texts = rows.agg(F.sum(F.octet_length("text") + 1), F.count("*"), F.sum((~F.col("held_out")).cast("long"))).first()
-    count = max(1, -(-(size or 0) // CHUNK))
-    blocks = int(max(1, (size or 0) // 8 // BLOCK))
-    # Any even deal will do, and rows that repeat must not meet in one chunk.
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int"))
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.octet_length("text") + 1), F.sum((~F.col("held_out")).cast("long"))).collect()
+    size, texts = sum(p[1] for p in parts), sum(p[2] for p in parts)
+    blocks = int(max(1, size // 8 // BLOCK))
+    # Texts stay in the partition they are read in. Should one of them be cut otherwise when it is read again, its rows go to any chunk.
+    shares, count = chunk_shares([(p[0], p[1]) for p in parts])
+    place = rows.sparkSession.createDataFrame(shares, "_part int, _first int, _n int")
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    numbered = rows.withColumns({"_part": F.spark_partition_id(), "_number": number})
+    chunk = F.coalesce(F.col("_first") + F.col("_number") % F.col("_n"), F.pmod(F.xxhash64("_part", "_number"), F.lit(count)))
+    dealt = numbered.join(F.broadcast(place), "_part", "left").select("doc_id", "text", "held_out", chunk.cast("int").alias("chunk"))
     # A task reads whole buckets, so their number follows the chunks and not the session's partitions.
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // CHUNKS_PER_TASK))
     buckets = min(buckets, MOST_BUCKETS)
-    chunks = materialize_bucketed(dealt, "texts", "chunk", buckets)
+    chunks = materialize_bucketed(dealt, "texts", "chunk", buckets, in_place=True)
     answers = _questions(chunks, blocks).groupBy("block").applyInArrow(_answer_packed, "chunk int, block int, totals binary, different long, seen long")
     # In buckets like the texts: both steps that bring them together read them in place.
     answers = materialize_bucketed(answers, "counts", "chunk", buckets)
     stats = answers.where((F.col("chunk") == -1) & (F.col("block") < blocks)).agg(F.sum("seen"), F.sum("different")).first()
-    out = Trained(chunks, answers.where("chunk >= 0"), blocks, stats[0] or 0, stats[1] or 0, texts or 0, np.empty(0))
+    out = Trained(chunks, answers.where("chunk >= 0"), blocks, stats[0] or 0, stats[1] or 0, texts, np.empty(0))
     tokens, train_texts = out.tokens, out.texts
 
     def cells(table: pa.Table, replies: pa.Table) -> pa.Table:

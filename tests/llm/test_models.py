@@ -230,3 +230,24 @@ def test_language_model_moves_narrow_keys_once(spark, odd, monkeypatch):
     plan = interpolated_lm.score_by_fold(docs)._jdf.queryExecution().executedPlan().toString()
     # Texts and answers lie in buckets of their chunk.
     assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan
+
+
+def test_chunks_follow_the_partitions():
+    chunk = interpolated_lm.CHUNK
+    assert interpolated_lm.chunk_shares([]) == ([], 1)
+    assert interpolated_lm.chunk_shares([(2, 10), (0, 2 * chunk + 1), (1, 20), (3, chunk), (5, 5)]) == ([(0, 0, 3), (1, 3, 1), (2, 3, 1), (3, 4, 1), (5, 5, 1)], 6)
+
+
+def test_texts_stay_in_their_partition(spark, monkeypatch):
+    monkeypatch.setattr(interpolated_lm, "CHUNK", 2_000)
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word ', id % 7, ' ', repeat('x', 20)) AS text").repartition(4, "doc_id")
+    docs = docs.cache()
+    docs.count()
+    place = {r.doc_id: r.part for r in docs.select("doc_id", F.spark_partition_id().alias("part")).collect()}
+    model = interpolated_lm.train(docs, F.col("doc_id") % 7 == 2)
+    parts, rows = collections.defaultdict(set), collections.Counter()
+    for r in model.chunks.collect():
+        parts[r.chunk].add(place[r.doc_id])
+        rows[r.chunk] += 1
+    assert sum(rows.values()) == 400 and len(parts) > 4
+    assert all(len(p) == 1 for p in parts.values())
