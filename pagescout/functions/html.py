@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 from html import unescape
 from html.entities import html5
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,28 +55,29 @@ def tags_named(tags: Column, name: str) -> Column:
     return F.filter(tags, lambda t: t.rlike(rf"(?i)^<{name}[\s/>]"))
 
 
-def _attribute_start(name: str) -> str:
+def _attribute_start(name: str, tag: str = r"[a-zA-Z][^\s/>]*+") -> str:
     """Match of a start tag up to the given attribute name; other attributes are stepped over."""
     other = (
         rf"(?:[\s/]++(?!{name}[\s/>=])[^\s/>=]++"
         r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
     )
-    return rf"<[a-zA-Z][^\s/>]*+{other}[\s/]++{name}(?=[\s/>=])"
-
-
-def _attribute_pattern(name: str) -> str:
-    value = r"""("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
-    return rf"(?is)^{_attribute_start(name)}(?:\s*+=\s*+{value})?"
+    return rf"<{tag}{other}[\s/]++{name}(?=[\s/>=])"
 
 
 def has_attribute(tag: Column, name: str) -> Column:
-    return tag.rlike(_attribute_pattern(name))
+    return tag.rlike(rf"(?is)^{_attribute_start(name)}")
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of an attribute of a start tag, ``""`` when it has none."""
-    value = F.regexp_extract(tag, _attribute_pattern(name), 1)
-    return decode_entities(F.regexp_replace(value, """^["']|["']$""", ""))
+    """Decoded value of an attribute of a start tag, ``""`` when it has none.
+
+    One match gives the value without its quotes: lambdas compute again what is named twice in them. An unquoted
+    value may not start with a quote, and loses one at its end.
+    """
+    quoted = r"""(?<=")[^"]*(?=")|(?<=')[^']*(?=')"""
+    plain = r"""(?<!["'])[^\s>"'][^\s>]*?(?=["']?(?:[\s>]|\z))"""
+    pattern = rf"""(?is)^{_attribute_start(name)}(?:\s*+=\s*+["']?+({quoted}|{plain}))?"""
+    return decode_entities(F.regexp_extract(tag, pattern, 1), tag)
 
 
 # Names that need no semicolon, the longest first, as one may begin another.
@@ -88,10 +91,13 @@ def _table(entries: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(entries)), "map<string, string>")
 
 
-def decode_entities(text: Column) -> Column:
-    """Text with all HTML5 character references replaced, in one pass: what a reference gives is not read again."""
+def decode_entities(text: Column, source: Column | None = None) -> Column:
+    """Text with all HTML5 character references replaced, in one pass: what a reference gives is not read again.
+
+    ``source`` is what the text was cut from, where looking for ``&`` there costs less than the text.
+    """
     pieces = F.transform(F.split(text, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(_reference(piece)))
-    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+    return F.when((text if source is None else source).contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def _reference(piece: Column) -> Column:
@@ -131,7 +137,7 @@ def _named_reference(piece: Column) -> Column:
 
 def element_text(content: Column) -> Column:
     """Text of a piece of markup: tags out, references decoded, nothing put in between."""
-    return decode_entities(F.regexp_replace(content, _ANY_TAG, ""))
+    return decode_entities(F.regexp_replace(content, _ANY_TAG, ""), content)
 
 
 # --- H9 anchors -------------------------------------------------------------------------
@@ -139,17 +145,24 @@ def element_text(content: Column) -> Column:
 
 def anchor_hrefs(tags: Column) -> Column:
     """H9: href of every ``a`` element that has one, in document order, decoded."""
-    linked = F.filter(
-        tags, lambda t: t.rlike(r"(?i)^<a[\s/]") & has_attribute(t, "href")
-    )
-    return F.transform(linked, lambda t: attribute(t, "href"))
+    return hrefs_of(link_tags(tags))
+
+
+def link_tags(tags: Column) -> Column:
+    """The start tags of the ``a`` elements that have a href."""
+    return F.filter(tags, lambda t: t.rlike(rf"(?is)^{_attribute_start('href', 'a')}"))
+
+
+def hrefs_of(links: Column) -> Column:
+    """The decoded href of each of :func:`link_tags`."""
+    return F.transform(links, lambda t: attribute(t, "href"))
 
 
 def _element_pieces(marked: Column, name: str) -> Column:
     """``<name ...>content`` of every element, up to its close tag or the next such element."""
     return F.regexp_extract_all(
         marked,
-        F.lit(rf"(?is)<{name}(?=[\s/>]){_TAG_REST}.*?(?=</?{name}[\s/>]|\z)"),
+        F.lit(rf"(?is)<{name}(?=[\s/>]){_TAG_REST}(?:[^<]++|<(?!/?{name}[\s/>]))*+"),
         F.lit(0),
     )
 
@@ -220,19 +233,26 @@ def _bits(tags_of: Callable[[str], list[str]], tag: Column) -> Column:
     return F.coalesce(F.element_at(entries, tag), F.lit(0))
 
 
+def _is_crumb(tag: Column) -> Column:
+    """Whether a tag has one of the breadcrumb classes; most tags do not even contain a part of their names."""
+    names = [c for c in S.BREADCRUMB_CLASSES if not any(o != c and o in c for o in S.BREADCRUMB_CLASSES)]
+    hint = reduce(or_, [tag.contains(name) for name in names])
+    return hint & tag.rlike(rf"(?is)^{_crumb_tag()}")
+
+
 def breadcrumb_pieces(html: Column, tags: Column) -> Column:
-    """The page cut before each tag, with the tag's name, whether it closes, and whether a breadcrumb element starts; NULL without one."""
-    has_crumb = F.exists(tags, lambda t: t.rlike(rf"(?is)^{_crumb_tag()}"))
+    """The page from each tag to the next, with its place, the tag's name, whether it closes, and whether a breadcrumb element starts; NULL without one."""
     pieces = F.transform(
-        F.split(_text_kept(html), "(?=</?[a-zA-Z])"),
-        lambda p: F.struct(
+        F.regexp_extract_all(_text_kept(html), F.lit("</?[a-zA-Z](?:[^<]++|<(?!/?[a-zA-Z]))*+"), F.lit(0)),
+        lambda p, i: F.struct(
             p.alias("text"),
+            i.alias("at"),
             F.lower(F.regexp_extract(p, r"^</?([a-zA-Z][^\s/>]*)", 1)).alias("name"),
             p.startswith("</").alias("closes"),
-            (p.rlike(rf"(?is)^{_crumb_tag()}") & ~p.rlike(rf"(?i)^<(?:{_VOID})[\s/>]")).alias("crumb"),
+            (_is_crumb(p) & ~p.rlike(rf"(?i)^<(?:{_VOID})[\s/>]")).alias("crumb"),
         ),
     )
-    return F.when(has_crumb, pieces)
+    return F.when(F.exists(tags, _is_crumb), pieces)
 
 
 def _with_rules(pieces: Column) -> Column:
@@ -242,7 +262,7 @@ def _with_rules(pieces: Column) -> Column:
     def with_bits(p: Column) -> Column:
         behind = _bits(lambda n: [n, *rules[n][1], *rules[n][2]], p["name"])
         return F.struct(
-            p["name"].alias("name"), p["closes"].alias("closes"), p["crumb"].alias("crumb"),
+            p["at"].alias("at"), p["name"].alias("name"), p["closes"].alias("closes"), p["crumb"].alias("crumb"),
             F.when(p["closes"], behind).otherwise(_bits(lambda n: rules[n][0], p["name"])).alias("ends"),
             _bits(lambda n: rules[n][1], p["name"]).alias("nests"),
             _bits(lambda n: [n], p["name"]).alias("own"),
@@ -254,8 +274,8 @@ def _with_rules(pieces: Column) -> Column:
 def breadcrumb_spans(pieces: Column) -> Column:
     """First piece and number of pieces of every breadcrumb element that is in no other.
 
-    One fold over the tags counts those of the open element's name. It holds numbers only, so a page
-    costs what its length asks for. An element whose end tag may be left out (``S.IMPLIED_ENDS``) ends where
+    One fold over the tags counts those of the open element's name and passes over all others. It holds numbers
+    only, so a page costs what its length asks for. An element whose end tag may be left out (``S.IMPLIED_ENDS``) ends where
     HTML ends it: before the next of its kind, or where the element around it ends. Any other that is never
     closed reaches to the end.
     """
@@ -265,7 +285,7 @@ def breadcrumb_spans(pieces: Column) -> Column:
 
 def _spans(pieces: Column, rules: bool) -> Column:
     """:func:`breadcrumb_spans`, with implied ends only on the pages that have use for them."""
-    numbers = ["i", "depth", "from", *(["rule", "level"] if rules else [])]
+    numbers = ["depth", "from", *(["rule", "level"] if rules else [])]
     start = F.struct(
         *[F.lit(0).alias(n) for n in numbers], F.lit("").alias("name"),
         F.array().cast("array<struct<from: int, n: int>>").alias("spans"),
@@ -286,18 +306,18 @@ def _spans(pieces: Column, rules: bool) -> Column:
             rule = F.when(opens, p["own"]).when(implied, 0).otherwise(rule)
             level = F.when(opens, 0).when(acc["rule"].bitwiseAND(p["nests"]) != 0, F.greatest(level + turn, F.lit(0))).otherwise(level)
             more = [rule.alias("rule"), level.alias("level")]
-        span = F.array(F.struct(acc["from"].alias("from"), (acc["i"] - acc["from"]).alias("n")))
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
+        span = F.array(F.struct(acc["from"].alias("from"), (p["at"] - acc["from"]).alias("n")))
+        after = F.struct(
             depth.alias("depth"),
-            F.when(opens, acc["i"]).otherwise(acc["from"]).alias("from"),
+            F.when(opens, p["at"]).otherwise(acc["from"]).alias("from"),
             *more,
             F.when(opens, p["name"]).otherwise(acc["name"]).alias("name"),
             F.when(ends, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
         )
+        return after if rules else F.when(p["crumb"] | (p["name"] == acc["name"]), after).otherwise(acc)
 
     def finish(acc: Column) -> Column:
-        last = F.array(F.struct(acc["from"].alias("from"), (acc["i"] - acc["from"]).alias("n")))
+        last = F.array(F.struct(acc["from"].alias("from"), (F.size(pieces) - acc["from"]).alias("n")))
         return F.when(acc["depth"] > 0, F.concat(acc["spans"], last)).otherwise(acc["spans"])
 
     return F.aggregate(pieces, start, step, finish)
@@ -366,8 +386,8 @@ def canonical_href(tags: Column) -> Column:
     links = F.filter(
         tags, lambda t: t.rlike(r"(?i)^<link[\s/]") & (attribute(t, "rel") == "canonical")
     )
-    first = F.get(links, F.lit(0))
-    return F.when(has_attribute(first, "href"), attribute(first, "href"))
+    first = F.transform(F.slice(links, 1, 1), lambda t: F.when(has_attribute(t, "href"), attribute(t, "href")))
+    return F.get(first, F.lit(0))
 
 
 def canonical_signal(href: Column) -> Column:

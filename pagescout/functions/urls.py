@@ -440,3 +440,13 @@ def with_link_target(df: DataFrame, href: str) -> DataFrame:
         "reject_reason", "_target",
     )
     return with_normal_url(narrow, "_target", "dst").drop("_target")
+
+
+def plain_target(href: Column) -> Column:
+    """``dst`` of a link that is a plain path on the page's host, the common case settled by one match; else NULL.
+
+    Joined to the page's site it is in normal form, so resolving and normalizing would leave it as it is.
+    """
+    target = F.concat("base_scheme", F.lit(":"), "base_authority", F.when(href == "/", "").otherwise(href))
+    asset = path_extension(href).isin(S.ASSET_EXTENSIONS)
+    return F.when(href.startswith("/") & F.col("base_valid") & target.rlike(_NORMAL_FORM) & ~asset, target)

@@ -113,16 +113,16 @@ def scored_pages(
     weights: dict[str, int] | None,
     threshold: int,
     keep: list[str],
-    with_hrefs: bool = False,
+    with_links: bool = False,
 ) -> DataFrame:
-    """:func:`page_signals`, on request with the array ``hrefs`` from the same pass."""
+    """:func:`page_signals`, on request with the array ``links``, the different link tags, from the same pass."""
     chosen = SIGNALS if signals is None else signals
     page = PageColumns()
     computed = {f"sig_{name}": build(page) for name, build in chosen.items()}
     if "anchor_density" in chosen:
         computed["anchor_density"] = page.anchor_share
-    if with_hrefs:
-        computed["hrefs"] = H.anchor_hrefs(page.tags)
+    if with_links:
+        computed["links"] = F.array_distinct(H.link_tags(page.tags))
     marked = with_markup(pages) if page.reads_markup() else with_url_key(pages)
     flags = marked.select(
         *keep,

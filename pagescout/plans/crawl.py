@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagescout import settings as S
+from pagescout.functions import html as H
 from pagescout.functions import urls as U
+from pagescout.functions.steps import settle
 from pagescout.operators import frontier as FR
 from pagescout.operators.bits import key_bits, may_match
 from pagescout.operators.robots import host_policy, robots_verdict, rule_index
@@ -73,7 +75,7 @@ def parse_pages(
     """
     o = options or CrawlOptions()
     scored = scored_pages(
-        scan_pages(pages), o.signals, o.weights, o.threshold, ["page_id"], with_hrefs=True
+        scan_pages(pages), o.signals, o.weights, o.threshold, ["page_id"], with_links=True
     )
     weight = o.weights.get("in_sitemap", 0)
     if weight and listed is not None:
@@ -84,7 +86,7 @@ def parse_pages(
             .withColumn("score", score)
             .withColumn("is_product", F.col("score") >= o.threshold)
         )
-    followed = F.when(~F.col("is_product"), F.array_distinct("hrefs"))
+    followed = F.when(~F.col("is_product"), F.array_distinct(H.hrefs_of(F.col("links"))))
     return scored.select("url_key", "page_id", "score", "is_product", followed.alias("hrefs"))
 
 
@@ -103,7 +105,9 @@ def page_edges(parsed: DataFrame) -> DataFrame:
     anchors = U.with_base_parts(parsed.where(~F.col("is_product")), "url_key").select(
         "url_key", *U.BASE_COLUMNS, F.explode("hrefs").alias("href")
     )
-    judged = U.with_link_target(anchors, "href")
+    plain = settle(anchors.withColumn("plain", U.plain_target(F.col("href"))), "plain")
+    other = plain.withColumn("href", F.when(F.col("plain").isNull(), F.col("href")))
+    judged = U.with_link_target(other, "href").withColumn("dst", F.coalesce("plain", "dst"))
     return judged.where(F.col("dst").isNotNull()).select("url_key", "dst").distinct()
 
 

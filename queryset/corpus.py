@@ -396,7 +396,7 @@ def _each(df: DataFrame, n: int) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, url, html, status)``: given pages, part, home and category pages."""
-    supplier = table(spark, sf_dir, "supplier")
+    supplier = spread(table(spark, sf_dir, "supplier"))
     return (
         derive(table(spark, sf_dir, "pages"), GIVEN_PAGE)
         .unionByName(derive(spread(table(spark, sf_dir, "part")), PART_PAGE))
@@ -406,11 +406,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "supplier"), ROBOTS)
+    return derive(spread(table(spark, sf_dir, "supplier")), ROBOTS)
 
 
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(_each(table(spark, sf_dir, "supplier"), len(SITEMAP_NAMES)), SITEMAP)
+    return derive(_each(spread(table(spark, sf_dir, "supplier")), len(SITEMAP_NAMES)), SITEMAP)
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,3 +265,26 @@ def test_only_links_that_can_be_followed_are_resolved(spark, monkeypatch, max_de
     depths = {(r.url_key, r.depth) for r in result.visited.collect()}
     assert depths == {(f"http://h/{p}", d) for d, p in enumerate("abc") if d <= max_depth}
     assert seen == resolved
+
+
+def test_plain_links_have_the_targets_that_resolving_gives(spark):
+    from pagescout.functions import urls as U
+
+    hrefs = ["/", "/a", "/a/", "/a/b.html", "/a.PNG", "/x.pdf?d=1", "//other/x", "/a//b", "/.", "/../a", "/a/..b", "/a/.b", "/%41", "/für", "/a?b=1", "/a#f", " /a", "/a:b", "/:a", "/a\\b", "/a\n", "a", "", None]
+    keys = ["https://h:8080/d/e", "http://h", "http://H/x", "ftp://h/x", "https://u@h/x", "https://h/%zz", "no url", "http://[::1]/x", "mailto:a"]
+    rows = spark.createDataFrame([(k, h) for k in keys for h in hrefs], "url_key string, href string")
+    judged = U.with_link_target(U.with_base_parts(rows, "url_key").withColumn("plain", U.plain_target(F.col("href"))), "href").select("url_key", "href", "plain", "dst").collect()
+    plain = [r for r in judged if r.plain is not None]
+    assert all(r.plain == r.dst for r in plain)
+    assert {r.href for r in plain if r.url_key == "http://h"} == {"/", "/a", "/a/b.html", "/a:b", "/:a"}
+
+
+def test_pages_of_the_shops_are_derived_by_all_cores(spark, tmp_path):
+    from queryset import corpus
+
+    spark.range(40).selectExpr("id AS s_suppkey", "'n' AS s_name").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(40).selectExpr("id AS p_partkey", "'n' AS p_name", "'t' AS p_type").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "http://h/", "")], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    for df, tables in ((corpus.pages(spark, str(tmp_path)), 3), (corpus.robots(spark, str(tmp_path)), 1), (corpus.sitemaps(spark, str(tmp_path)), 1)):
+        assert df.rdd.getNumPartitions() >= tables * cores

@@ -262,3 +262,13 @@ def test_breadcrumbs_end_where_html_ends_them(spark):
     df = settle(df.withColumn("spans", H.breadcrumb_spans(F.col("pieces"))), "spans")
     got = {r.i: r.texts for r in df.select("i", H.breadcrumb_texts(F.col("pieces"), F.col("spans")).alias("texts")).collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_an_attribute_is_read_by_one_match(spark):
+    tags = ["<a href=\"/x\">", "<a href='/y'>", "<a href=/z\">", "<a href=\"/open>", "<a href=''>", "<a href>", "<a title=\"href=/t\" HREF = /u>", "<a href=\"it's &amp; more\">", "<a title='a > b' href=/v'\">"]
+    df = spark.createDataFrame([(t,) for t in tags], "tag string")
+    got = [r[0] for r in df.select(H.attribute(F.col("tag"), "href")).collect()]
+    assert got == ["/x", "/y", "/z", "", "", "", "/u", "it's & more", "/v'"]
+    # A lambda computes an expression as often as it is written: once where references are read, once where there are none.
+    written = str(H.attribute(F.col("tag"), "href"))
+    assert written.count("regexp_extract(tag") + written.count("regexp_replace(regexp_extract(tag") == 2
