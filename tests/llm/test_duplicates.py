@@ -1,9 +1,12 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from pagescout.llm import decontaminate, line_dedup, ngram_join, quality_gam, substring_dedup
 from pagescout.llm.components import components
+from pagescout.operators import skew
+from pagescout.storage import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size long"
 
@@ -132,6 +135,40 @@ def test_line_dedup_keeps_columns_with_its_own_names(spark, monkeypatch):
     assert [tuple(r) for r in line_dedup.dedup_lines(own).orderBy("doc_id").collect()] == [tuple(r) for r in got]
 
 
+def test_line_dedup_broadcasts_only_what_it_has_measured(spark, monkeypatch):
+    text, plans = "one two three four five six %s", []
+    rows = [(i, "\n".join([text % i, "漢字é" * 20 + str(i), "common"])) for i in range(6)]
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    def joined():
+        plans.clear()
+        last = line_dedup.dedup_lines(docs(spark, rows))
+        plans.append(last._jdf.queryExecution().executedPlan().toString())
+        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in last.collect()}
+        assert got == {i: (rows[0][1] if i == 0 else "", 3, 0 if i == 0 else 3) for i in range(6)}
+        found = [x for plan in plans for x in re.findall(r"(\w+Join) \[(\w+#.*?|coalesce.*?)\], \[", plan)]
+        return {kind: [re.sub(r"#\d+L?", "", keys) for name, keys in found if name == kind] for kind in ("BroadcastHashJoin", "SortMergeJoin")}
+
+    monkeypatch.setattr(line_dedup, "materialize", kept)
+    monkeypatch.setattr(skew, "materialize", kept)
+    # Spark takes rows behind an explode for as small as their file: under this limit it would broadcast whatever it is left to guess.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        assert joined()["SortMergeJoin"] == ["head"]
+        monkeypatch.setattr(line_dedup, "fits_broadcast", lambda df: False)
+        monkeypatch.setattr(skew, "fits_broadcast", lambda *_: False)
+        found = joined()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(found["SortMergeJoin"]) == sorted(["half", "line", "key, place, size", "id", "head", "line", "line, _salt", "_row, _salt"])
+    # Left are the places of the ranking's partitions and the keys found more often than a task should read, thrice.
+    assert sorted(x.split(",")[0] for x in found["BroadcastHashJoin"]) == sorted(["_all", "line", "_row", "coalesce(_row"])
+
+
 def test_repeated_passages_match_brute_force(spark):
     rnd = random.Random(9)
     vocabulary = [f"v{i}" for i in range(200)]
